@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescan.operators.joins import lookup_join
+from lurescan.operators.textops import shifted_join
 from lurescan.sources.tables import table
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -61,10 +62,7 @@ def entity_counts(df: DataFrame, gaz: DataFrame, kinds=SMS_KINDS, id_col: str =
     if not name_kinds:
         return base.drop("_tok")
     # unigrams and bigrams of the lower-cased tokens, exploded; only gazetteer hits survive the join
-    n = F.size("_tok")
-    bigrams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1),
-                                         lambda i: F.concat_ws(" ", F.slice(F.col("_tok"), i, 2))))
-    grams = F.concat(F.col("_tok"), F.coalesce(bigrams, F.array().cast("array<string>")))
+    grams = F.concat(F.col("_tok"), shifted_join(F.col("_tok"), 2))
     exploded = base.select(id_col, F.explode(grams).alias("name"))
     hits = lookup_join(exploded, gaz, "name", how="inner")
     counts = (hits.groupBy(id_col).pivot("kind", list(name_kinds)).count())

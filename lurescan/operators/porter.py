@@ -1,0 +1,129 @@
+"""Porter (1980) suffix-stripping stemmer: a small per-word helper.
+
+M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980.
+Used through an Arrow-batched pandas UDF with a per-process memo, so each
+distinct word is stemmed once per Python worker.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+VOWELS = frozenset("aeiou")
+
+
+def _is_cons(w: str, i: int) -> bool:
+    ch = w[i]
+    if ch in VOWELS:
+        return False
+    if ch == "y":
+        return i == 0 or not _is_cons(w, i - 1)
+    return True
+
+
+def _measure(stem: str) -> int:
+    """m in [C](VC)^m[V]."""
+    m, i, n = 0, 0, len(stem)
+    while i < n and _is_cons(stem, i):
+        i += 1
+    while i < n:
+        while i < n and not _is_cons(stem, i):
+            i += 1
+        if i >= n:
+            break
+        while i < n and _is_cons(stem, i):
+            i += 1
+        m += 1
+    return m
+
+
+def _has_vowel(stem: str) -> bool:
+    return any(not _is_cons(stem, i) for i in range(len(stem)))
+
+
+def _double_cons(w: str) -> bool:
+    return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
+
+
+def _cvc(w: str) -> bool:
+    n = len(w)
+    return (n >= 3 and _is_cons(w, n - 3) and not _is_cons(w, n - 2) and _is_cons(w, n - 1)
+            and w[-1] not in "wxy")
+
+
+def _rule_list(w: str, rules, min_m: int):
+    """Longest matching suffix only; replace when the stem's measure exceeds min_m."""
+    for suf, rep in rules:
+        if w.endswith(suf):
+            stem = w[: len(w) - len(suf)]
+            return stem + rep if _measure(stem) > min_m else w
+    return w
+
+
+STEP2 = sorted([
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+], key=lambda r: -len(r[0]))
+STEP3 = sorted([
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""),
+    ("ness", ""),
+], key=lambda r: -len(r[0]))
+STEP4 = sorted(["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
+                "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"], key=lambda s: -len(s))
+
+
+@lru_cache(maxsize=200_000)
+def stem(word: str) -> str:
+    w = word
+    if len(w) <= 2:
+        return w
+    # step 1a
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("ies"):
+        w = w[:-2]
+    elif w.endswith("ss"):
+        pass
+    elif w.endswith("s"):
+        w = w[:-1]
+    # step 1b
+    extra = False
+    if w.endswith("eed"):
+        if _measure(w[:-3]) > 0:
+            w = w[:-1]
+    elif w.endswith("ed") and _has_vowel(w[:-2]):
+        w, extra = w[:-2], True
+    elif w.endswith("ing") and _has_vowel(w[:-3]):
+        w, extra = w[:-3], True
+    if extra:
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif _double_cons(w) and w[-1] not in "lsz":
+            w = w[:-1]
+        elif _measure(w) == 1 and _cvc(w):
+            w += "e"
+    # step 1c
+    if w.endswith("y") and _has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    # steps 2, 3
+    w = _rule_list(w, STEP2, 0)
+    w = _rule_list(w, STEP3, 0)
+    # step 4
+    for suf in STEP4:
+        if w.endswith(suf):
+            stem_ = w[: len(w) - len(suf)]
+            if _measure(stem_) > 1 and (suf != "ion" or stem_.endswith(("s", "t"))):
+                w = stem_
+            break
+    # step 5a
+    if w.endswith("e"):
+        s = w[:-1]
+        m = _measure(s)
+        if m > 1 or (m == 1 and not _cvc(s)):
+            w = s
+    # step 5b
+    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
+        w = w[:-1]
+    return w
