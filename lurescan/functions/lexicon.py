@@ -36,6 +36,13 @@ PY_WHITESPACE_CLASS = (
     "\\u2028\\u2029\\u202F\\u205F\\u3000"
 )
 
+# the same set as literal characters
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # ---- fixed values: small irregular-noun lemma table (user-replaceable) ----
 LEMMA_TABLE = {
     "children": "child",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lurescan.functions.lexicon import ASCII_PUNCTUATION, PY_WHITESPACE_CLASS
+from lurescan.functions.lexicon import ASCII_PUNCTUATION, PY_WHITESPACE_CHARS, PY_WHITESPACE_CLASS
 
 WS = f"[{PY_WHITESPACE_CLASS}]"          # one Python whitespace character
 NON_WS = f"[^{PY_WHITESPACE_CLASS}]"     # one Python non-whitespace character
@@ -21,6 +21,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spaces_only(c) -> Column:
+    """Every Python whitespace character turned into a plain space (translate, no regex)."""
+    return F.translate(_c(c), PY_WHITESPACE_CHARS, " " * len(PY_WHITESPACE_CHARS))
+
+
+def drop_whitespace(c) -> Column:
+    return F.translate(_c(c), PY_WHITESPACE_CHARS, "")
+
+
+def split_words(c) -> Column:
+    """Python ``str.split()`` as an array: whitespace normalised by translate, split on runs of spaces."""
+    return F.filter(F.split(spaces_only(c), " +"), lambda t: t != "")
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
     return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
@@ -127,7 +141,10 @@ def has_url(c) -> Column:
 
 
 def has_email(c) -> Column:
-    return _c(c).rlike(f"{NON_WS}+@{NON_WS}+").cast("int")
+    # \S+@\S+ matches exactly when some '@' has a non-space on both sides; this
+    # form is linear (the + form backtracks over long tokens)
+    c = _c(c)
+    return F.when(c.contains("@"), c.rlike(f"{NON_WS}@{NON_WS}")).otherwise(F.lit(False)).cast("int")
 
 
 def has_phone(c) -> Column:
@@ -155,13 +172,13 @@ def num_digits(c) -> Column:
 
 
 def num_words(c) -> Column:
-    return regex_count(c, f"{NON_WS}+")
+    return F.size(split_words(c)).cast("long")
 
 
 def avg_word_length(c) -> Column:
     c = _c(c)
     n = num_words(c)
-    chars = F.length(F.regexp_replace(c, f"{WS}+", ""))
+    chars = F.length(drop_whitespace(c))
     return F.when(n > 0, chars / n).otherwise(F.lit(0.0)).cast("double")
 
 

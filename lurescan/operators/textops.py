@@ -26,7 +26,7 @@ def _c(c) -> Column:
 
 def tokenize_ws(c) -> Column:
     """Python ``str.split()``: runs of non-whitespace."""
-    return F.regexp_extract_all(_c(c), F.lit(f"{T.NON_WS}+"), 0)
+    return T.split_words(c)
 
 
 def tokenize_words(c) -> Column:

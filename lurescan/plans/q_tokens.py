@@ -188,11 +188,19 @@ register("chunk_tokens", sql=(
 
 
 def ngrams(spark, sf):
-    """Corpus n-gram (1..3) frequencies after stop-word removal: document frequency and count."""
+    """Corpus n-gram (1..3) frequencies after stop-word removal: document frequency and count.
+
+    One aggregation: every occurrence is emitted with first = 0, and every
+    distinct n-gram of a document once more with first = 1; so df = sum(first)
+    and tf = count - df, with map-side partial aggregation before the shuffle.
+    """
     d = _docs(spark, sf).select("doc_id", X.ngrams(_normal_tokens(F.col("text")), 1, 3).alias("g"))
-    per_doc = (d.select("doc_id", F.explode("g").alias("ngram"))
-               .groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("tf")))
-    return per_doc.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    items = F.concat(F.transform("g", lambda x: F.struct(x.alias("ngram"), F.lit(0).alias("first"))),
+                     F.transform(F.array_distinct("g"), lambda x: F.struct(x.alias("ngram"), F.lit(1).alias("first"))))
+    ex = d.select(F.explode_outer(items).alias("it")).where(F.col("it").isNotNull())
+    agg = ex.groupBy(F.col("it.ngram").alias("ngram")).agg(F.sum("it.first").alias("df"),
+                                                            F.count(F.lit(1)).alias("n"))
+    return agg.select("ngram", F.col("df").cast("long").alias("df"), (F.col("n") - F.col("df")).cast("long").alias("tf"))
 
 
 register("ngrams", bench=True, sql=(
