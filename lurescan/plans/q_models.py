@@ -230,4 +230,19 @@ def sequence_inputs(spark, sf):
     return back.select("msg_id", "label", _seq_str("ids").alias("ids"))
 
 
-register("sequence_inputs")(sequence_inputs)
+def _sql_sequence_inputs():
+    from lurescan.plans.q_vectors import KERAS_TOK_SQL, _sql_pad
+    return FX.with_ctes(
+        FX.SQL_M2,
+        "kc AS (SELECT term, count(*) AS cnt FROM (SELECT unnest(" + KERAS_TOK_SQL + ") AS term FROM m2) x GROUP BY term)",
+        "wi AS (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) + 1 AS idx FROM kc)",
+        "tok AS (SELECT msg_id, label, " + KERAS_TOK_SQL + " AS t FROM m2)",
+        "ex AS (SELECT msg_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM tok)",
+        "so AS (SELECT ex.msg_id, list(CASE WHEN w.idx < 5000 THEN w.idx ELSE 1 END ORDER BY ex.pos) AS s "
+        "FROM ex LEFT JOIN wi w ON ex.term = w.term GROUP BY ex.msg_id)",
+        "seqs AS (SELECT tok.msg_id, tok.label, coalesce(so.s, []::BIGINT[]) AS s FROM tok "
+        "LEFT JOIN so ON tok.msg_id = so.msg_id)") + (
+        "SELECT msg_id, label, array_to_string(" + _sql_pad("s", 100, "pre", "pre") + ", ',') AS ids FROM seqs")
+
+
+register("sequence_inputs", sql=_sql_sequence_inputs())(sequence_inputs)
