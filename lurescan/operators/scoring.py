@@ -34,7 +34,8 @@ def score_chunks_any(df: DataFrame, id_col: str, text_col: str, scorer: Callable
     The chunks of a message live in its own row, so the "any chunk" reduction
     is an array_max inside the row: no explode, no shuffle, no join back.
     """
-    chunks = df.select(id_col, X.chunk_tokens(X.tokenize_ws(text_col), chunk_size).alias("_ch"))
+    toks = df.select(id_col, X.tokenize_ws(text_col).alias("_t"))  # a column: chunking reads it per chunk
+    chunks = toks.select(id_col, X.chunk_tokens(F.col("_t"), chunk_size).alias("_ch"))
     flags = F.transform("_ch", lambda t: (scorer(F.array_join(t, " ")) > 0).cast("int"))
     return chunks.select(id_col, F.coalesce(F.array_max(flags), F.lit(0)).alias("prediction"),
                          F.size("_ch").cast("long").alias("n_chunks"))

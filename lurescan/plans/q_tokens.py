@@ -174,7 +174,8 @@ CHUNK_TOKENS = 512
 
 
 def chunk_tokens(spark, sf):
-    d = _docs(spark, sf).select("doc_id", X.chunk_tokens(X.tokenize_ws("text"), CHUNK_TOKENS).alias("ch"))
+    t = _docs(spark, sf).select("doc_id", X.tokenize_ws("text").alias("t"))
+    d = t.select("doc_id", X.chunk_tokens(F.col("t"), CHUNK_TOKENS).alias("ch"))
     return d.select("doc_id", F.posexplode("ch").alias("chunk_no", "toks")).select(
         "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
         F.size("toks").cast("long").alias("n_tokens"), F.array_join("toks", " ").alias("chunk"))
@@ -194,7 +195,9 @@ def ngrams(spark, sf):
     distinct n-gram of a document once more with first = 1; so df = sum(first)
     and tf = count - df, with map-side partial aggregation before the shuffle.
     """
-    d = _docs(spark, sf).select("doc_id", X.ngrams(_normal_tokens(F.col("text")), 1, 3).alias("g"))
+    # tokens become a column first: the n-gram expression reads them many times
+    t = _docs(spark, sf).select("doc_id", _normal_tokens(F.col("text")).alias("t"))
+    d = t.select("doc_id", X.ngrams(F.col("t"), 1, 3).alias("g"))
     items = F.concat(F.transform("g", lambda x: F.struct(x.alias("ngram"), F.lit(0).alias("first"))),
                      F.transform(F.array_distinct("g"), lambda x: F.struct(x.alias("ngram"), F.lit(1).alias("first"))))
     ex = d.select(F.explode_outer(items).alias("it")).where(F.col("it").isNotNull())

@@ -18,7 +18,8 @@ from lurescan.operators.scoring import rule_scorer, verdict_text
 
 def score_frame(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, prediction, n_chunks, verdict, has_url, has_email, has_phone) in one projection."""
-    chunks = X.chunk_tokens(X.tokenize_ws(text_col), 512)
+    df = df.select("*", X.tokenize_ws(text_col).alias("_t"))  # a column: chunking reads it per chunk
+    chunks = X.chunk_tokens(F.col("_t"), 512)
     flags = F.transform(chunks, lambda t: (rule_scorer(F.array_join(t, " ")) > 0).cast("int"))
     pred = F.coalesce(F.array_max(flags), F.lit(0))
     text = F.col(text_col)
