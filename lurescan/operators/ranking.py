@@ -21,7 +21,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurescan.operators.joins import lookup_join
 from lurescan.session import ensure_checkpoint_dir
 from lurescan.sources.fixtures import hash48
 
@@ -37,22 +36,30 @@ def bucket_bits(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(4, min(24, math.ceil(math.log2(max(2, n_rows / rows_per_bucket))) + 4))
 
 
+HASH_BUCKET_BITS = 16
+
+
 def rank_by_hash(df: DataFrame, id_col: str, key: Column, partition_cols=(), rank_col: str = "rank",
-                 n_rows: int | None = None, key_range: tuple[int, int] | None = (0, 2 ** 48)) -> DataFrame:
+                 n_rows: int | None = None, key_range: tuple[int, int] | None = (0, 2 ** 48),
+                 per_group: DataFrame | None = None) -> DataFrame:
     """1-based row number of every row within ``partition_cols`` ordered by (key, id).
 
-    ``key`` is a non-negative long; by default a uniform 48-bit md5 prefix.
-    With ``key_range=None`` its range is measured first (e.g. dense ids), and
-    buckets split that range evenly.
+    ``key`` is a non-negative long; by default a uniform 48-bit md5 prefix,
+    split into 2^16 buckets by its top bits.  With ``key_range=None`` the
+    key's range is measured first (e.g. dense ids) and split evenly.
+
+    The offsets join is keyed on (partition_cols, bucket), the same keys the
+    row-number window is partitioned on, so the big side is not shuffled
+    again; only the (groups x buckets) offsets table moves.  ``per_group``
+    (a small frame keyed by ``partition_cols``, e.g. quotas) is attached to
+    that offsets table, never joined to the big side on the group key alone.
     """
     parts = list(partition_cols)
     keyed = df.withColumn("_k", key.cast("long"))
-    if key_range is None or n_rows is None:
-        st = keyed.agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
-        n_rows = st["n"] if n_rows is None else n_rows
-        if key_range is None:
-            key_range = (st["lo"] or 0, (st["hi"] or 0) + 1)
-    bits = bucket_bits(n_rows)
+    bits = HASH_BUCKET_BITS if n_rows is None else bucket_bits(n_rows)
+    if key_range is None:
+        st = keyed.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()  # one row
+        key_range = (st["lo"] or 0, (st["hi"] or 0) + 1)
     lo, hi = key_range
     width = max(1, hi - lo)
     bucket = F.floor((F.col("_k") - F.lit(lo)).cast("double") * F.lit(float(2 ** bits) / width)).cast("long")
@@ -60,9 +67,13 @@ def rank_by_hash(df: DataFrame, id_col: str, key: Column, partition_cols=(), ran
     counts = keyed.groupBy(*parts, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_start"))
+    if per_group is not None:
+        if not parts:
+            raise ValueError("per_group needs partition columns")
+        offsets = offsets.join(per_group, parts)
     w_in = Window.partitionBy(*parts, "_b").orderBy("_k", id_col)
     ranked = keyed.withColumn("_rn", F.row_number().over(w_in))
-    out = lookup_join(ranked, offsets, parts + ["_b"], how="inner")
+    out = ranked.join(offsets, parts + ["_b"])
     return out.withColumn(rank_col, (F.col("_start") + F.col("_rn")).cast("long")).drop("_k", "_b", "_rn", "_start")
 
 

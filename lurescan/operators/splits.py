@@ -12,7 +12,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurescan.operators.joins import lookup_join
 from lurescan.operators.ranking import hash_key, rank_by_hash
 
 
@@ -55,8 +54,8 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str, test_size: floa
                      seed: int = 42) -> DataFrame:
     """Adds ``is_test`` with exact per-class quotas; within a class the seeded order decides."""
     quotas = class_quotas(df, label_col, test_size).select(label_col, "n_test")
-    r = rank_by_hash(df, id_col, hash_key(seed, id_col), partition_cols=[label_col], rank_col="_r")
-    r = lookup_join(r, quotas, label_col, how="inner")
+    r = rank_by_hash(df, id_col, hash_key(seed, id_col), partition_cols=[label_col], rank_col="_r",
+                     per_group=quotas)
     return r.withColumn("is_test", (F.col("_r") <= F.col("n_test")).cast("int")).drop("_r", "n_test")
 
 

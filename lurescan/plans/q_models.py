@@ -32,7 +32,7 @@ def prepared(spark, sf, three: bool = False, weighted: bool = False, k: int = 5)
     m = FX.m3(spark, sf) if three else FX.m2(spark, sf)
     sp = SP.split_stratified(m, "msg_id", "label", 0.25, 42)
     train_txt = sp.where(F.col("is_test") == 0)
-    feats = MD.featurize(sp, "text", VOCAB, "email", fit_on=train_txt)
+    feats = MD.featurize(sp, "text", VOCAB, "email", fit_on=train_txt).cache()
     train = SP.kfold_stratified(feats.where(F.col("is_test") == 0).drop("is_test"), "msg_id", "label", k=k, seed=42)
     test = feats.where(F.col("is_test") == 1).drop("is_test")
     if weighted:
