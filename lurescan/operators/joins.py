@@ -23,10 +23,13 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
                 max_rows: int | None = None) -> DataFrame:
     """Equi join of a large frame with a lookup table.
 
-    The lookup side is broadcast when its row count is checked to be below
-    ``lurescan.broadcast.maxRows``; otherwise both sides shuffle on the key and
-    AQE's skew-join handling splits hot keys.
+    The lookup side is cached and counted once; it is broadcast when the count
+    is below ``lurescan.broadcast.maxRows``, and the cached rows feed the join
+    (no second pass over its lineage).  Otherwise it is released and both
+    sides shuffle on the key, with AQE's skew-join handling splitting hot keys.
     """
+    small = small.cache()
     if small_enough(small, max_rows):
-        small = F.broadcast(small)
+        return big.join(F.broadcast(small), on, how)
+    small.unpersist()
     return big.join(small, on, how)

@@ -13,7 +13,6 @@ Ties are broken by the neighbour id, so results are deterministic.
 
 from __future__ import annotations
 
-import math
 from functools import partial
 
 import numpy as np
@@ -21,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lurescan.operators.joins import lookup_join
+
 OUT_SCHEMA = "qid long, nid long, dist double"
 DEFAULT_BLOCK_ROWS = 2048
 
@@ -61,16 +62,28 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec
     """
     spark = queries.sparkSession
     b = block_rows or int(spark.conf.get("lurescan.knn.blockRows", str(DEFAULT_BLOCK_ROWS)))
-    nq, nr = queries.count(), refs.count()
-    nqb, nrb = max(1, math.ceil(nq / b)), max(1, math.ceil(nr / b))
-    g = [group_col] if group_col else []
-    q = (queries.select(*g, F.col(id_col).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("qv"))
-         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)))
-         .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nrb - 1).cast("long")))))
-    r = (refs.select(*g, F.col(id_col).cast("long").alias("nid"), F.col(vec_col).cast("array<double>").alias("nv"))
-         .withColumn("rb", F.pmod(F.xxhash64("nid"), F.lit(nrb)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nqb - 1).cast("long")))))
-    keys = g + ["qb", "rb"]
+    # every side gets its own aliased group column (a constant when ungrouped), so the
+    # two sides of the cogroup never share attribute ids even when they are the same frame
+    grp = (lambda df: F.col(group_col)) if group_col else (lambda df: F.lit(0))
+    q = queries.select(grp(queries).alias("_g"), F.col(id_col).cast("long").alias("qid"),
+                       F.col(vec_col).cast("array<double>").alias("qv"))
+    r = refs.select(grp(refs).alias("_g"), F.col(id_col).cast("long").alias("nid"),
+                    F.col(vec_col).cast("array<double>").alias("nv"))
+    # block counts per group: a small group gets few blocks, a big one many
+    nq = q.groupBy("_g").agg(F.count(F.lit(1)).alias("_nq"))
+    nr = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_nr"))
+    sizes = nq.join(nr, "_g").select(
+        "_g", F.greatest(F.ceil(F.col("_nq") / b), F.lit(1)).cast("long").alias("nqb"),
+        F.greatest(F.ceil(F.col("_nr") / b), F.lit(1)).cast("long").alias("nrb"))
+    q = lookup_join(q, sizes, "_g", how="inner")
+    r = lookup_join(r, sizes, "_g", how="inner")
+    q = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")))
+         .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nrb") - 1)))
+         .select(F.col("_g").alias("g"), "qid", "qv", "qb", "rb"))
+    r = (r.withColumn("rb", F.pmod(F.xxhash64("nid"), F.col("nrb")))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nqb") - 1)))
+         .select(F.col("_g").alias("g"), "nid", "nv", "qb", "rb"))
+    keys = ["g", "qb", "rb"]
     fn = partial(_block_topk, k=k, metric=metric, exclude_self=exclude_self)
     cand = (q.groupBy(*keys).cogroup(r.groupBy(*keys))
             .applyInPandas(lambda lft, rgt: fn(lft, rgt), schema=OUT_SCHEMA))
