@@ -1,7 +1,10 @@
 """Uncentred truncated SVD of a long-form weight matrix.
 
-The fit is MLlib's distributed ``RowMatrix.computeSVD`` (Gramian by tree
-aggregation, eigendecomposition of a d x d matrix, d = capped vocabulary);
+The fit is one distributed pass: MLlib's ``RowMatrix.computeGramianMatrix``
+(tree aggregation of X^T X, a d x d matrix with d = the capped vocabulary),
+then a local symmetric eigendecomposition of that bounded matrix (what
+``computeSVD`` does in its local mode; its distributed ARPACK mode would run
+one job per iteration);
 the projection X V is a broadcast join of the (term, component) loadings,
 which are bounded by vocabulary cap x k, followed by a sum per document and
 component.  Not PCA: no centring.
@@ -9,6 +12,7 @@ component.  Not PCA: no centring.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.mllib.linalg import Vectors as MLV
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
@@ -20,11 +24,14 @@ def truncated_svd(weights: DataFrame, id_col: str, vocab: DataFrame, k: int) ->
     spark = weights.sparkSession
     terms = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("j"))
     d = terms.count()
-    w = weights.join(F.broadcast(terms), "term").select(id_col, "j", "weight")
+    # read twice (fit and projection); the nonzeros of a capped-vocabulary matrix
+    w = weights.join(F.broadcast(terms), "term").select(id_col, "j", "weight").cache()
     rows = (w.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("e"))
             .rdd.map(lambda r: MLV.sparse(d, [x["j"] for x in r["e"]], [x["weight"] for x in r["e"]])))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    v = svd.V.toArray()  # d x k, bounded by the vocabulary cap
+    gram = RowMatrix(rows).computeGramianMatrix().toArray()  # d x d, bounded by the vocabulary cap
+    evals, evecs = np.linalg.eigh(gram)
+    order = np.argsort(evals)[::-1][:k]
+    v = evecs[:, order]  # right singular vectors; singular values are sqrt(evals[order])
     load = spark.createDataFrame([(int(j), int(c), float(v[j, c])) for j in range(v.shape[0])
                                   for c in range(v.shape[1])], "j long, component long, v double")
     proj = (w.join(F.broadcast(load), "j")
