@@ -246,3 +246,52 @@ def _sql_sequence_inputs():
 
 
 register("sequence_inputs", sql=_sql_sequence_inputs())(sequence_inputs)
+
+
+def model_nb_long(spark, sf):
+    """Multinomial naive Bayes (alpha 1) in long form over the 1000 most frequent train terms."""
+    from lurescan.operators import naive_bayes as NB
+    m = FX.m2(spark, sf)
+    sp = SP.split_stratified(m, "msg_id", "label", 0.25, 42).cache()
+    tc = V.term_counts(sp, "msg_id", V.sklearn_tokens("text"))
+    train_docs = sp.where(F.col("is_test") == 0).select("msg_id", "label")
+    test_docs = sp.where(F.col("is_test") == 1).select("msg_id", "label")
+    train_tc = tc.join(train_docs.select("msg_id"), "msg_id")
+    test_tc = tc.join(test_docs.select("msg_id"), "msg_id")
+    vocab = V.vocabulary_topk(train_tc, n_docs=0, k=VOCAB, max_df=2 ** 62).select("term")
+    model = NB.fit(train_tc, train_docs, vocab)
+    return NB.predict(model, test_tc, test_docs).join(test_docs, "msg_id").select("msg_id", "label", "pred")
+
+
+def _sql_nb_long():
+    from lurescan.plans.q_splits import h48_sql, sql_quotas
+    return FX.with_ctes(
+        FX.SQL_M2, sql_quotas("m2", 0.25),
+        "sp AS (SELECT m.msg_id, m.text, m.label, row_number() OVER (PARTITION BY m.label ORDER BY "
+        + h48_sql(42, "m.msg_id") + ", m.msg_id) <= q.n - q.n_train AS is_test FROM m2 m JOIN quota q ON m.label = q.label)",
+        "tc AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(regexp_extract_all(lower(text), "
+        "'[\\p{L}\\p{N}_]{2,}')) AS term FROM sp) x GROUP BY msg_id, term)",
+        "vocab AS (SELECT tc.term FROM tc JOIN sp ON tc.msg_id = sp.msg_id WHERE NOT sp.is_test GROUP BY tc.term "
+        f"ORDER BY sum(tc.tf) DESC, tc.term LIMIT {VOCAB})",
+        "vs AS (SELECT count(*) AS v FROM vocab)",
+        "nd AS (SELECT label AS cls, count(*) AS n FROM sp WHERE NOT is_test GROUP BY label)",
+        "nct AS (SELECT tc.term, sp.label AS cls, sum(tc.tf) AS n_ct FROM tc JOIN sp ON tc.msg_id = sp.msg_id "
+        "JOIN vocab ON tc.term = vocab.term WHERE NOT sp.is_test GROUP BY tc.term, sp.label)",
+        "nc AS (SELECT cls, sum(n_ct) AS n_c FROM nct GROUP BY cls)",
+        "cl AS (SELECT nd.cls, ln(nd.n / (SELECT sum(n) FROM nd)) AS log_prior, "
+        "0.0 - ln(coalesce(nc.n_c, 0) + 1.0 * vs.v) AS log_norm FROM nd LEFT JOIN nc ON nd.cls = nc.cls, vs)",
+        "w AS (SELECT term, cls, ln(n_ct + 1.0) AS w FROM nct)",
+        "te AS (SELECT msg_id, label FROM sp WHERE is_test)",
+        "ttc AS (SELECT tc.msg_id, tc.term, tc.tf FROM tc JOIN te ON tc.msg_id = te.msg_id "
+        "JOIN vocab ON tc.term = vocab.term)",
+        "ln_ AS (SELECT msg_id, sum(tf) AS l FROM ttc GROUP BY msg_id)",
+        "s AS (SELECT ttc.msg_id, w.cls, sum(ttc.tf * w.w) AS s FROM ttc JOIN w ON ttc.term = w.term "
+        "GROUP BY ttc.msg_id, w.cls)",
+        "sc AS (SELECT te.msg_id, te.label, cl.cls, cl.log_prior + coalesce(ln_.l, 0) * cl.log_norm "
+        "+ coalesce(s.s, 0.0) AS score FROM te CROSS JOIN cl LEFT JOIN ln_ ON ln_.msg_id = te.msg_id "
+        "LEFT JOIN s ON s.msg_id = te.msg_id AND s.cls = cl.cls)") + (
+        "SELECT msg_id, label, CAST(cls AS INTEGER) AS pred FROM (SELECT *, row_number() OVER ("
+        "PARTITION BY msg_id ORDER BY score DESC, cls) AS r FROM sc) x WHERE r = 1")
+
+
+register("model_nb_long", sql=_sql_nb_long())(model_nb_long)
