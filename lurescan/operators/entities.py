@@ -51,11 +51,15 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_counts(df: DataFrame, gaz: DataFrame, kinds=SMS_KINDS, id_col: str = "msg_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", extra: list | None = None) -> DataFrame:
+    """Entity counts per row; ``extra`` columns (e.g. other features of the same text)
+    are computed in the same projection and carried along."""
     pattern_kinds = [k for k in kinds if k in PATTERNS]
     name_kinds = [k for k in kinds if k in NAME_KINDS]
+    extra = extra or []
     base = df.select(
         id_col,
+        *extra,
         *[F.regexp_count(F.col(text_col), F.lit(PATTERNS[k])).cast("long").alias(k) for k in pattern_kinds],
         F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0).alias("_tok"),
     )
@@ -67,7 +71,7 @@ def entity_counts(df: DataFrame, gaz: DataFrame, kinds=SMS_KINDS, id_col: str =
     hits = lookup_join(exploded, gaz, "name", how="inner")
     counts = (hits.groupBy(id_col).pivot("kind", list(name_kinds)).count())
     out = base.drop("_tok").join(counts, id_col, "left")
-    cols = [id_col] + [F.coalesce(F.col(k), F.lit(0)).cast("long").alias(k) if k in name_kinds else F.col(k)
+    cols = [id_col] + [c for c in out.columns if c not in kinds and c != id_col] + [F.coalesce(F.col(k), F.lit(0)).cast("long").alias(k) if k in name_kinds else F.col(k)
                        for k in kinds]
     return out.select(*cols)
 

@@ -116,18 +116,19 @@ def edited_nn(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int =
 
 
 def knn_vote(test: DataFrame, train: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-             label_col: str = "label", metric: str = "cosine", weights: str = "uniform") -> DataFrame:
-    """(id, pred): majority (or 1/distance) vote of the k nearest training rows.
+             label_col: str = "label", metric: str = "cosine", weights=("uniform",)) -> DataFrame:
+    """(id, pred_<weights>...): votes of the k nearest training rows, one neighbour search for all.
 
-    A zero distance takes the whole vote; ties go to the smallest label.
+    ``uniform`` counts votes; ``distance`` weighs them by 1/distance, where a
+    zero distance takes the whole vote.  Ties go to the smallest label.
     """
+    weights = [weights] if isinstance(weights, str) else list(weights)
     nn = knn(test, train, k, id_col=id_col, vec_col=vec_col, metric=metric, exclude_self=False)
     j = nn.join(train.select(F.col(id_col).alias("nid"), F.col(label_col).alias("nl")), "nid")
-    if weights == "distance":
-        zero = F.min("dist").over(Window.partitionBy("qid")) == 0
-        w = F.when(zero, (F.col("dist") == 0).cast("double")).otherwise(F.lit(1.0) / F.col("dist"))
-    else:
-        w = F.lit(1.0)
-    votes = j.withColumn("w", w).groupBy("qid", "nl").agg(F.sum("w").alias("score"))
-    best = votes.groupBy("qid").agg(F.max_by("nl", F.struct(F.col("score"), -F.col("nl"))).alias("pred"))
-    return best.select(F.col("qid").alias(id_col), F.col("pred").cast("int").alias("pred"))
+    zero = F.min("dist").over(Window.partitionBy("qid")) == 0  # k rows per query
+    w_dist = F.when(zero, (F.col("dist") == 0).cast("double")).otherwise(F.lit(1.0) / F.col("dist"))
+    j = j.withColumn("w_uniform", F.lit(1.0)).withColumn("w_distance", w_dist)
+    votes = j.groupBy("qid", "nl").agg(*[F.sum(f"w_{w}").alias(f"s_{w}") for w in weights])
+    best = votes.groupBy("qid").agg(*[F.max_by("nl", F.struct(F.col(f"s_{w}"), -F.col("nl"))).cast("int")
+                                      .alias(f"pred_{w}") for w in weights])
+    return best.withColumnRenamed("qid", id_col)

@@ -28,17 +28,18 @@ def rule_scorer(chunk: Column) -> Column:
 
 
 def score_chunks_any(df: DataFrame, id_col: str, text_col: str, scorer: Callable[[Column], Column] = rule_scorer,
-                     chunk_size: int = 512) -> DataFrame:
+                     chunk_size: int = 512, keep: list[str] | None = None) -> DataFrame:
     """(id, prediction, n_chunks): 1 when any chunk's class is non-zero.
 
     The chunks of a message live in its own row, so the "any chunk" reduction
     is an array_max inside the row: no explode, no shuffle, no join back.
     """
-    toks = df.select(id_col, X.tokenize_ws(text_col).alias("_t"))  # a column: chunking reads it per chunk
-    chunks = toks.select(id_col, X.chunk_tokens(F.col("_t"), chunk_size).alias("_ch"))
+    keep = keep or []
+    toks = df.select(id_col, *keep, X.tokenize_ws(text_col).alias("_t"))  # a column: chunking reads it per chunk
+    chunks = toks.select(id_col, *keep, X.chunk_tokens(F.col("_t"), chunk_size).alias("_ch"))
     flags = F.transform("_ch", lambda t: (scorer(F.array_join(t, " ")) > 0).cast("int"))
     return chunks.select(id_col, F.coalesce(F.array_max(flags), F.lit(0)).alias("prediction"),
-                         F.size("_ch").cast("long").alias("n_chunks"))
+                         F.size("_ch").cast("long").alias("n_chunks"), *keep)
 
 
 def verdict_text(prediction: Column, body: Column) -> Column:

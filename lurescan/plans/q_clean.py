@@ -38,12 +38,9 @@ _text_query("strip_urls", "pages", "page_id", "html", T.strip_urls, S.strip_urls
 
 def extract_email(spark, sf):
     """First address in sender / receiver of the mail rows and in every document body."""
-    mail = FX.mail_table(spark, sf)
-    docs = _docs(spark, sf)
-    return (mail.select("msg_id", T.extract_email("sender").alias("sender"),
-                        T.extract_email("receiver").alias("receiver"))
-            .join(docs.select(F.col("doc_id").alias("msg_id"), T.extract_email("text").alias("body_email")),
-                  "msg_id"))
+    mail = FX.mail_table(spark, sf)  # one row per document: its body is the document text
+    return mail.select("msg_id", T.extract_email("sender").alias("sender"),
+                       T.extract_email("receiver").alias("receiver"), T.extract_email("body").alias("body_email"))
 
 
 register("extract_email", sql=FX.with_ctes(FX.SQL_MAIL) + (
@@ -162,8 +159,15 @@ register("drop_unlabelled", sql=FX.with_ctes(FX.SQL_RAW_LABELS) + (
 
 
 def filter_max_length(spark, sf, max_len: int = 10000):
+    """Keep texts of at most ``max_len`` characters.
+
+    ``n_chars`` is the length stored at ingest, so ``n_chars <= max_len`` reaches
+    the Parquet scan (row-group skipping); the exact ``length(text)`` predicate
+    stays, so the result never depends on the stored column alone.
+    """
     d = _docs(spark, sf)
-    return d.where(F.length("text") <= max_len).select("doc_id", F.length("text").cast("long").alias("length"))
+    return (d.where((F.col("n_chars") <= max_len) & (F.length("text") <= max_len))
+            .select("doc_id", F.length("text").cast("long").alias("length")))
 
 
 register("filter_max_length", sql=(

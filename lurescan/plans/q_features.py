@@ -104,12 +104,11 @@ register("entity_counts_sms", sql=entities.oracle_sql(entities.SMS_KINDS))(entit
 
 
 def bind_columns(spark, sf):
-    """Hand-made features and entity counts attached row by row (equi join on the id)."""
+    """Hand-made features and entity counts attached row by row (one projection, no join on the id)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    feats = d.select("doc_id", *_feature_cols(T.FEATURE_BUNDLES["email"]))
-    ents = entities.entity_counts(d, entities.gazetteer(spark, sf), kinds=entities.EMAIL_KINDS,
-                                  id_col="doc_id")
-    return feats.join(ents, "doc_id")
+    # one projection over the text: features and pattern counts side by side (no self-join)
+    return entities.entity_counts(d, entities.gazetteer(spark, sf), kinds=entities.EMAIL_KINDS,
+                                  id_col="doc_id", extra=_feature_cols(T.FEATURE_BUNDLES["email"]))
 
 
 register("bind_columns", sql=(

@@ -42,9 +42,8 @@ def model_knn(spark, sf):
     sp = _v_split(spark, sf)
     train = sp.where(F.col("is_test") == 0)
     test = sp.where(F.col("is_test") == 1)
-    u = knn_vote(test, train, 5, weights="uniform").withColumnRenamed("pred", "pred_uniform")
-    d = knn_vote(test, train, 5, weights="distance").withColumnRenamed("pred", "pred_distance")
-    return test.select("vec_id", "label").join(u, "vec_id").join(d, "vec_id")
+    votes = knn_vote(test, train, 5, weights=("uniform", "distance"))
+    return test.select("vec_id", "label").join(votes, "vec_id")
 
 
 register("model_knn", sql=FX.with_ctes(

@@ -32,9 +32,8 @@ register("score_chunks_any", bench=True, sql=SQL_CHUNK_SCORES + "SELECT doc_id,
 
 def verdict_text(spark, sf):
     d = table(spark, sf, "documents")
-    s = SC.score_chunks_any(d, "doc_id", "text")
-    return s.join(d.select("doc_id", "text"), "doc_id").select(
-        "doc_id", "prediction", SC.verdict_text(F.col("prediction"), F.col("text")).alias("verdict"))
+    s = SC.score_chunks_any(d, "doc_id", "text", keep=["text"])  # scored in the row: no join back
+    return s.select("doc_id", "prediction", SC.verdict_text(F.col("prediction"), F.col("text")).alias("verdict"))
 
 
 register("verdict_text", sql=SQL_CHUNK_SCORES + (
