@@ -78,13 +78,19 @@ def balanced_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 # ---------------------------------------------------------------- estimators
 
+# convergence tolerances of the scripts' estimators (scikit-learn defaults: SVC 1e-3,
+# LogisticRegression 1e-4); Spark's own default (1e-6) runs many more iterations
+SVC_TOL = 1e-3
+LOGREG_TOL = 1e-4
+
+
 def estimator(name: str, n_features: int | None = None, n_classes: int = 2, weighted: bool = False, seed: int = 42):
     wc = {"weightCol": "weight"} if weighted else {}
     common = {"featuresCol": FEATURES, "labelCol": "label"}
     if name == "nb":
         return NaiveBayes(modelType="multinomial", smoothing=1.0, **common)
     if name == "logreg":
-        return LogisticRegression(maxIter=1000, regParam=0.0, family="auto", **common, **wc)
+        return LogisticRegression(maxIter=1000, regParam=0.0, family="auto", tol=LOGREG_TOL, **common, **wc)
     if name == "tree":
         return DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=1, impurity="gini", seed=seed, **common, **wc)
     if name == "forest":
@@ -93,8 +99,9 @@ def estimator(name: str, n_features: int | None = None, n_classes: int = 2, weig
     if name == "gbt":
         return GBTClassifier(maxIter=100, seed=seed, **common)
     if name == "svm_linear":
-        svc = LinearSVC(maxIter=100, regParam=0.01, **common, **wc)
-        return svc if n_classes == 2 else OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), **common)
+        svc = LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL, **common, **wc)
+        return svc if n_classes == 2 else OneVsRest(
+            classifier=LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL), **common)
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 100, n_classes], maxIter=300, seed=seed, **common)
     raise ValueError(name)
@@ -141,14 +148,14 @@ def platt_svm(train: DataFrame, test: DataFrame, fold_col: str = "fold", id_col:
     folds = [r[0] for r in train.select(fold_col).distinct().collect()]  # k fold ids
     oof = None
     for f in sorted(folds):
-        m = LinearSVC(maxIter=100, regParam=0.01, featuresCol=FEATURES, labelCol="label").fit(
+        m = LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL, featuresCol=FEATURES, labelCol="label").fit(
             train.where(F.col(fold_col) != f))
         part = m.transform(train.where(F.col(fold_col) == f)).select(
             id_col, "label", vector_to_array("rawPrediction")[1].alias("margin"))
         oof = part if oof is None else oof.unionByName(part)
     va = VectorAssembler(inputCols=["margin"], outputCol="m")
-    lr = LogisticRegression(featuresCol="m", labelCol="label", maxIter=100).fit(va.transform(oof))
-    full = LinearSVC(maxIter=100, regParam=0.01, featuresCol=FEATURES, labelCol="label").fit(train)
+    lr = LogisticRegression(featuresCol="m", labelCol="label", maxIter=100, tol=LOGREG_TOL).fit(va.transform(oof))
+    full = LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL, featuresCol=FEATURES, labelCol="label").fit(train)
     scored = full.transform(test).select(id_col, "label", vector_to_array("rawPrediction")[1].alias("margin"))
     out = lr.transform(va.transform(scored))
     return out.select(id_col, "label", F.col("prediction").cast("int").alias("pred"),

@@ -35,9 +35,17 @@ def keras_tokens(c) -> Column:
     return F.filter(F.split(s, " "), lambda t: t != "")
 
 
-def term_counts(df: DataFrame, id_cols, tokens: Column) -> DataFrame:
-    """(ids..., term, tf): the tokens of each row counted (map-side partial aggregation)."""
+def term_counts(df: DataFrame, id_cols, tokens: Column, colocate: bool = True) -> DataFrame:
+    """(ids..., term, tf): the tokens of each row counted.
+
+    With ``colocate`` the rows are hash-partitioned by the first id before
+    tokenising: the text moves once (smaller than its token rows), the
+    (id, term) count needs no further exchange, and later per-document work
+    (the L2-norm window) finds its partitioning already in place.
+    """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    if colocate:
+        df = df.repartition(ids[0])
     return (df.select(*ids, F.explode(tokens).alias("term"))
             .groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf")))
 
@@ -47,16 +55,18 @@ def term_stats(tc: DataFrame) -> DataFrame:
     return tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
-def vocabulary_topk(tc: DataFrame, n_docs: int, k: int | None = None, min_df: int = 1,
-                    max_df: float | int = 1.0) -> DataFrame:
+def vocabulary_topk(tc: DataFrame, n_docs: int = 0, k: int | None = None, min_df: int = 1,
+                    max_df: float | int | None = None) -> DataFrame:
     """Vocabulary after document-frequency bounds, top ``k`` by total count (ties by term).
 
-    A float ``max_df`` is a share of documents; an int is a document count.
-    The top-k is a distributed take-ordered (k rows per partition, merged).
+    A float ``max_df`` is a share of ``n_docs``; an int is a document count;
+    None is no upper bound.  The top-k is a distributed take-ordered (k rows
+    per partition, merged).
     """
-    st = term_stats(tc)
-    max_count = max_df * n_docs if isinstance(max_df, float) else max_df
-    st = st.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_count)))
+    st = term_stats(tc).where(F.col("df") >= min_df)
+    if max_df is not None:
+        max_count = max_df * n_docs if isinstance(max_df, float) else max_df
+        st = st.where(F.col("df") <= F.lit(max_count))
     if k is not None:
         st = st.orderBy(F.desc("total"), F.asc("term")).limit(k)
     return st

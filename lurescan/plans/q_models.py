@@ -258,7 +258,7 @@ def model_nb_long(spark, sf):
     test_docs = sp.where(F.col("is_test") == 1).select("msg_id", "label")
     train_tc = tc.join(train_docs.select("msg_id"), "msg_id")
     test_tc = tc.join(test_docs.select("msg_id"), "msg_id")
-    vocab = V.vocabulary_topk(train_tc, n_docs=0, k=VOCAB, max_df=2 ** 62).select("term")
+    vocab = V.vocabulary_topk(train_tc, k=VOCAB).select("term")
     model = NB.fit(train_tc, train_docs, vocab)
     return NB.predict(model, test_tc, test_docs).join(test_docs, "msg_id").select("msg_id", "label", "pred")
 

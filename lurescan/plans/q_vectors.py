@@ -38,7 +38,7 @@ SQL_DOC_TC = ("tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, u
 def count_vectors(spark, sf):
     """Bag of words over the 1000 most frequent terms, long form (doc_id, term, count)."""
     tc, _ = _doc_tc(spark, sf)
-    vocab = V.vocabulary_topk(tc, n_docs=0, k=1000, max_df=2 ** 62).select("term")
+    vocab = V.vocabulary_topk(tc, k=1000).select("term")
     return (lookup_join(tc, vocab, "term", how="inner", max_rows=1000)
             .select("doc_id", "term", F.col("tf").alias("count")))
 
