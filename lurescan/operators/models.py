@@ -82,6 +82,12 @@ def balanced_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 # LogisticRegression 1e-4); Spark's own default (1e-6) runs many more iterations
 SVC_TOL = 1e-3
 LOGREG_TOL = 1e-4
+# forest node batching: each pass over the data splits as many open nodes (of all
+# trees) as their split statistics fit in this budget.  The statistics grow with
+# features x bins x nodes, not with rows, so a larger budget means fewer passes at
+# any data size; node ids are cached with the rows (checkpointed to the shared
+# checkpoint folder every 10 passes) instead of re-walking the trees each pass.
+FOREST_NODE_MB = 1024
 
 
 def estimator(name: str, n_features: int | None = None, n_classes: int = 2, weighted: bool = False, seed: int = 42):
@@ -92,12 +98,15 @@ def estimator(name: str, n_features: int | None = None, n_classes: int = 2, weig
     if name == "logreg":
         return LogisticRegression(maxIter=1000, regParam=0.0, family="auto", tol=LOGREG_TOL, **common, **wc)
     if name == "tree":
-        return DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=1, impurity="gini", seed=seed, **common, **wc)
+        return DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=1, impurity="gini", seed=seed,
+                                      maxMemoryInMB=FOREST_NODE_MB, **common, **wc)
     if name == "forest":
         return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", bootstrap=True, seed=seed,
-                                      maxDepth=10, **common, **wc)
+                                      maxDepth=10, maxMemoryInMB=FOREST_NODE_MB, cacheNodeIds=True,
+                                      **common, **wc)
     if name == "gbt":
-        return GBTClassifier(maxIter=100, seed=seed, **common)
+        # 100 stages of depth-3 trees, step 0.1: the scripts' boosting defaults
+        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common)
     if name == "svm_linear":
         svc = LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL, **common, **wc)
         return svc if n_classes == 2 else OneVsRest(

@@ -124,7 +124,8 @@ def pipeline_fit(spark, sf):
         CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=VOCAB),
         IDF(inputCol="tf", outputCol="tfidf"),
         VectorAssembler(inputCols=["tfidf"] + names, outputCol="features"),
-        RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", seed=42, labelCol="label"),
+        RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", seed=42, labelCol="label",
+                               maxMemoryInMB=MD.FOREST_NODE_MB, cacheNodeIds=True),
     ])
     model = pipe.fit(prep(train))
     out = model.transform(prep(test))
