@@ -82,11 +82,10 @@ def balanced_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 # LogisticRegression 1e-4); Spark's own default (1e-6) runs many more iterations
 SVC_TOL = 1e-3
 LOGREG_TOL = 1e-4
-# forest node batching: each pass over the data splits as many open nodes (of all
+# tree node batching: each pass over the data splits as many open nodes (of all
 # trees) as their split statistics fit in this budget.  The statistics grow with
 # features x bins x nodes, not with rows, so a larger budget means fewer passes at
-# any data size; node ids are cached with the rows (checkpointed to the shared
-# checkpoint folder every 10 passes) instead of re-walking the trees each pass.
+# any data size (sf0.1 forest fit, warm: 20.3 s at Spark's 256 MB, 15.2 s here).
 FOREST_NODE_MB = 1024
 
 
@@ -102,8 +101,7 @@ def estimator(name: str, n_features: int | None = None, n_classes: int = 2, weig
                                       maxMemoryInMB=FOREST_NODE_MB, **common, **wc)
     if name == "forest":
         return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", bootstrap=True, seed=seed,
-                                      maxDepth=10, maxMemoryInMB=FOREST_NODE_MB, cacheNodeIds=True,
-                                      **common, **wc)
+                                      maxDepth=10, maxMemoryInMB=FOREST_NODE_MB, **common, **wc)
     if name == "gbt":
         # 100 stages of depth-3 trees, step 0.1: the scripts' boosting defaults
         return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common)

@@ -125,7 +125,7 @@ def pipeline_fit(spark, sf):
         IDF(inputCol="tf", outputCol="tfidf"),
         VectorAssembler(inputCols=["tfidf"] + names, outputCol="features"),
         RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", seed=42, labelCol="label",
-                               maxMemoryInMB=MD.FOREST_NODE_MB, cacheNodeIds=True),
+                               maxMemoryInMB=MD.FOREST_NODE_MB),
     ])
     model = pipe.fit(prep(train))
     out = model.transform(prep(test))
