@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from lurescan.llm import bpe, exact_dedup, minhash, mixing, quality_rules, token_files
+from lurescan.llm import (
+    bpe,
+    byte_cnn,
+    exact_dedup,
+    minhash,
+    mixing,
+    pseudonyms,
+    quality_rules,
+    substrings,
+    token_counts,
+    token_files,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_pseudonyms": pseudonyms.query,
     "op4_mixing": mixing.query,
     "op5_byte_bpe": bpe.query,
+    "op6_token_counts": token_counts.query,
     "op7_token_files": token_files.query,
+    "op8_byte_cnn": byte_cnn.query,
+    "op9_substrings": substrings.query,
     "op10_minhash": minhash.query,
 }
 
