@@ -58,6 +58,7 @@ def clean_html(c) -> Column:
     return py_strip(F.regexp_replace(no_tags, f"{WS}+", " "))
 
 
+# Patterns that decide what counts as an address, URL or phone number
 EMAIL_PATTERN = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 
 
@@ -66,17 +67,19 @@ def extract_email(c) -> Column:
     return F.nullif(F.regexp_extract(_c(c).cast("string"), EMAIL_PATTERN, 0), F.lit(""))
 
 
-# formats tried in order after the weekday prefix and zone suffix are removed;
-# month-first for the ambiguous numeric form (dateutil's default)
+# Date forms of mail headers and logs, tried in order once weekday, comments,
+# clock time and zone are removed; month-first for the ambiguous numeric form
 DATE_FORMATS = (
-    "dd MMM yyyy HH:mm:ss",
-    "dd MMM yyyy HH:mm",
-    "dd MMM yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "MMMM d, yyyy",
-    "MM/dd/yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "yyyy-M-d",
+    "MMM d yyyy",
+    "MMMM d yyyy",
+    "M/d/yyyy",
 )
+_WEEKDAY = r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+_CLOCK = r"[T\s]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[ap]m)?"
+_ZONE = r"\s*(?:(?:UTC|GMT)?[+-]\d{2}:?\d{2}|Z|[A-Z]{3,4})$"
 
 
 def clean_date(c) -> Column:
@@ -84,9 +87,11 @@ def clean_date(c) -> Column:
 
     The wall-clock date is kept: a zone offset is removed, not applied.
     """
-    s = F.trim(_c(c).cast("string"))
-    s = F.regexp_replace(s, r"^[A-Za-z]{3,9},\s*", "")
-    s = F.regexp_replace(s, r"\s*(?:[+-]\d{4}|UTC|GMT|Z)$", "")
+    s = F.trim(F.regexp_replace(_c(c).cast("string"), r"\([^()]*\)", " "))
+    s = F.regexp_replace(s, "(?i)" + _WEEKDAY, "")
+    s = F.regexp_replace(s, "(?<=[0-9T:\\sm.])" + _ZONE, "")
+    s = F.regexp_replace(s, "(?i)" + _CLOCK, " ")
+    s = F.trim(F.regexp_replace(F.translate(s, ",", " "), r"\s+", " "))
     parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
     return F.date_format(parsed, "dd/MM/yyyy")
 
@@ -110,7 +115,7 @@ def clean_sms(c) -> Column:
     """Decode only &lt; / &gt;, drop mojibake and non-ASCII, collapse whitespace."""
     out = F.replace(_c(c), F.lit("&lt;"), F.lit("<"))
     out = F.replace(out, F.lit("&gt;"), F.lit(">"))
-    out = F.regexp_replace(out, "[Âï¿½]+", "")
+    out = F.regexp_replace(out, "[Âï¿½]+", "")  # fixed value: mojibake characters
     out = F.regexp_replace(out, "[^\\x00-\\x7F]+", "")
     return py_strip(F.regexp_replace(out, f"{WS}+", " "))
 
@@ -131,12 +136,14 @@ def strip_punct(c) -> Column:
 
 
 def strip_urls(c) -> Column:
+    # fixed value: the URL pattern of this cleaner
     return F.regexp_replace(_c(c), f"http{NON_WS}+|www{NON_WS}+|https{NON_WS}+", "")
 
 
 # ---------------------------------------------------------------- features
 
 def has_url(c) -> Column:
+    # fixed value: the URL pattern
     return _c(c).rlike(f"http{NON_WS}+|www\\.{NON_WS}+").cast("int")
 
 
@@ -148,6 +155,7 @@ def has_email(c) -> Column:
 
 
 def has_phone(c) -> Column:
+    # fixed value: the phone patterns
     return _c(c).rlike("(?U)\\b\\d{10}\\b|\\(\\d{3}\\)\\s*\\d{3}-\\d{4}").cast("int")
 
 
@@ -167,7 +175,18 @@ def num_uppercase(c) -> Column:
     return regex_count(c, "\\p{IsUppercase}")
 
 
+#: Characters that ``str.isdigit`` takes beside the decimal digits (superscripts, circled digits, ...),
+#: by Python's Unicode tables.
+DIGITS_BEYOND_DECIMAL = "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())
+
+
 def num_digits(c) -> Column:
+    """Characters for which ``str.isdigit`` holds."""
+    return regex_count(c, f"[\\p{{Nd}}{DIGITS_BEYOND_DECIMAL}]")
+
+
+def num_decimals(c) -> Column:
+    """Decimal digits only (the pattern ``\\d``)."""
     return regex_count(c, "\\p{Nd}")
 
 

@@ -25,11 +25,13 @@ def pair_counts(df: DataFrame, y: str = "label", p: str = "pred") -> DataFrame:
 
 def per_class(counts: DataFrame) -> DataFrame:
     """(cls, tp, support, predicted, precision, recall, f1) for every class seen in y or p."""
-    sup = counts.groupBy(F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
-    pred = counts.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = counts.where(F.col("y") == F.col("p")).select(F.col("y").alias("cls"), F.col("n").alias("tp"))
-    j = sup.join(pred, "cls", "full").join(tp, "cls", "left")
-    j = j.select("cls", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "support", "predicted")])
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    zero = F.lit(0)
+    both = counts.select(F.explode(F.array(
+        F.struct(F.col("y").alias("cls"), hit.cast("long").alias("tp"), F.col("n").cast("long").alias("support"), zero.cast("long").alias("predicted")),
+        F.struct(F.col("p").alias("cls"), zero.cast("long").alias("tp"), zero.cast("long").alias("support"), F.col("n").cast("long").alias("predicted")),
+    )).alias("c")).select("c.*")
+    j = both.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
     prec = _div(F.col("tp"), F.col("predicted"))
     rec = _div(F.col("tp"), F.col("support"))
     f1 = _div(2 * F.col("tp"), F.col("support") + F.col("predicted"))

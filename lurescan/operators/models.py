@@ -14,7 +14,6 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -26,7 +25,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -41,31 +40,38 @@ FEATURES = "features"
 
 # ---------------------------------------------------------------- features
 
-def featurize(df: DataFrame, text_col: str = "text", vocab: int = 1000, bundle: str = "email",
-              fit_on: DataFrame | None = None) -> DataFrame:
-    """Bag of words over a capped vocabulary plus the hand-made features, as one vector.
+#: Spark's own bound for a vectoriser without a cap.
+NO_CAP = 1 << 18
 
-    The vocabulary is fitted on ``fit_on`` (the train rows: no leakage) or on
-    ``df``.  Returns ``df`` without the text, with ``features``.
-    """
-    keep = [c for c in df.columns if c != text_col]
 
-    def prep(frame):
-        k = [c for c in frame.columns if c != text_col]
-        return frame.select(*k, *T.message_features(F.col(text_col), bundle), sklearn_tokens(text_col).alias("_tok"))
+def vocabulary(df: DataFrame, text_col: str = "text", size: int | None = None) -> list[str]:
+    """The ``size`` most frequent terms (ties by term), the same for every partitioning of ``df``.
 
-    base = prep(df)
-    cv = CountVectorizer(inputCol="_tok", outputCol="_bow", vocabSize=vocab, minDF=1.0)
-    va = VectorAssembler(inputCols=["_bow"] + T.FEATURE_BUNDLES[bundle], outputCol=FEATURES)
-    model = Pipeline(stages=[cv, va]).fit(prep(fit_on) if fit_on is not None else base)
-    return model.transform(base).select(*keep, FEATURES)
+    Counts are aggregated by term and the top is taken on the executors; only
+    the capped list, which a vectoriser model holds on the driver anyway, is
+    brought there.
+    """
+    terms = df.select(F.explode(sklearn_tokens(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    top = terms.orderBy(F.desc("n"), F.asc("term")).limit(size or NO_CAP)
+    return [r["term"] for r in top.collect()]
 
 
-def vocabulary_names(df: DataFrame, text_col: str = "text", vocab: int = 1000, bundle: str = "email") -> list[str]:
-    """Feature names in vector order (vocabulary then hand-made features)."""
-    base = df.select(sklearn_tokens(text_col).alias("_tok"))
-    cv = CountVectorizer(inputCol="_tok", outputCol="_bow", vocabSize=vocab).fit(base)
-    return list(cv.vocabulary) + T.FEATURE_BUNDLES[bundle]
+def featurize(df: DataFrame, text_col: str = "text", vocab: int | None = 1000, bundle: str | None = "email",
+              fit_on: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(``df`` with ``features`` for its text, feature names in vector order).
+
+    Features are counts over a vocabulary fitted on ``fit_on`` (the train rows:
+    no leakage) or on ``df``, then the hand-made features of ``bundle``; with
+    ``bundle`` None counts only.
+    """
+    keep = [c for c in df.columns if c != text_col]
+    extra = T.FEATURE_BUNDLES[bundle] if bundle else []
+    made = T.message_features(F.col(text_col), bundle) if bundle else []
+    names = vocabulary(df if fit_on is None else fit_on, text_col, vocab)
+    cv = CountVectorizerModel.from_vocabulary(names, inputCol="_tok", outputCol="_bow")
+    va = VectorAssembler(inputCols=["_bow", *extra], outputCol=FEATURES)
+    base = df.select(*keep, *made, sklearn_tokens(text_col).alias("_tok"))
+    return va.transform(cv.transform(base)).select(*keep, FEATURES), names + extra
 
 
 def balanced_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -89,28 +95,38 @@ LOGREG_TOL = 1e-4
 FOREST_NODE_MB = 1024
 
 
-def estimator(name: str, n_features: int | None = None, n_classes: int = 2, weighted: bool = False, seed: int = 42):
+#: Depth of a tree without a limit: Spark's largest.
+UNLIMITED_DEPTH = 30
+
+
+def inverse_c(n_rows: int, c: float = 1.0) -> float:
+    """Spark's regParam for a penalty C: the loss is a mean there and a sum in the scripts' library."""
+    return 1.0 / (c * max(1, n_rows))
+
+
+def estimator(name: str, n_features: int | None = None, n_classes: int = 2, weighted: bool = False, seed: int = 42,
+              n_rows: int = 1, c: float = 1.0, max_depth: int = UNLIMITED_DEPTH, layers: tuple = (100,)):
+    """A Spark ML estimator by the scripts' settings; ``n_rows`` (train rows) sets the penalty."""
     wc = {"weightCol": "weight"} if weighted else {}
     common = {"featuresCol": FEATURES, "labelCol": "label"}
     if name == "nb":
         return NaiveBayes(modelType="multinomial", smoothing=1.0, **common)
     if name == "logreg":
-        return LogisticRegression(maxIter=1000, regParam=0.0, family="auto", tol=LOGREG_TOL, **common, **wc)
+        return LogisticRegression(maxIter=1000, regParam=inverse_c(n_rows, c), family="auto", tol=LOGREG_TOL, **common, **wc)
     if name == "tree":
-        return DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=1, impurity="gini", seed=seed,
+        return DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=1, impurity="gini", seed=seed,
                                       maxMemoryInMB=FOREST_NODE_MB, **common, **wc)
     if name == "forest":
         return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", bootstrap=True, seed=seed,
-                                      maxDepth=10, maxMemoryInMB=FOREST_NODE_MB, **common, **wc)
+                                      maxDepth=max_depth, maxMemoryInMB=FOREST_NODE_MB, **common, **wc)
     if name == "gbt":
         # 100 stages of depth-3 trees, step 0.1: the scripts' boosting defaults
-        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common)
+        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common, **wc)
     if name == "svm_linear":
-        svc = LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL, **common, **wc)
-        return svc if n_classes == 2 else OneVsRest(
-            classifier=LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL), **common)
+        svc = LinearSVC(maxIter=100, regParam=inverse_c(n_rows, c), tol=SVC_TOL, **common, **wc)
+        return svc if n_classes == 2 else OneVsRest(classifier=svc, **common, **wc)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 100, n_classes], maxIter=300, seed=seed, **common)
+        return MultilayerPerceptronClassifier(layers=[n_features, *layers, n_classes], maxIter=300, seed=seed, **common)
     raise ValueError(name)
 
 
@@ -124,14 +140,23 @@ def prediction_frame(model, df: DataFrame, id_col: str = "msg_id") -> DataFrame:
 
 # ---------------------------------------------------------------- RBF via random Fourier features
 
-def random_fourier(df: DataFrame, n_features: int, n_components: int = 256, gamma: float | None = None,
+def scale_gamma(df: DataFrame, n_features: int, in_col: str = FEATURES) -> float:
+    """1 / (d * variance of all entries of the matrix): the library's default."""
+    x = df.select(vector_to_array(in_col).alias("x")).select(
+        F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("q"))
+    r = x.agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("n")).first()  # one row
+    cells = max(1, r["n"] * n_features)
+    var = (r["q"] or 0.0) / cells - ((r["s"] or 0.0) / cells) ** 2
+    return 1.0 / (n_features * var) if var > 0 else 1.0
+
+
+def random_fourier(df: DataFrame, n_features: int, gamma: float, n_components: int = 256,
                    seed: int = 42, in_col: str = FEATURES, out_col: str = FEATURES) -> DataFrame:
     """z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U[0, 2 pi) (Rahimi and Recht, 2007).
 
     W is a D x d parameter matrix fixed by the seed; it ships with the task
     closure (size set by the parameters, not by the data).
     """
-    gamma = gamma if gamma is not None else 1.0 / n_features
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(n_components, n_features))
     b = rng.uniform(0.0, 2.0 * np.pi, size=n_components)
@@ -150,20 +175,20 @@ def random_fourier(df: DataFrame, n_features: int, n_components: int = 256, gamm
 
 # ---------------------------------------------------------------- Platt scaling
 
-def platt_svm(train: DataFrame, test: DataFrame, fold_col: str = "fold", id_col: str = "msg_id") -> DataFrame:
+def platt_svm(train: DataFrame, test: DataFrame, fold_col: str = "fold", id_col: str = "msg_id", n_rows: int = 1,
+              weighted: bool = False) -> DataFrame:
     """LinearSVC margins turned into probabilities by a logistic fit on out-of-fold margins."""
+    svc = estimator("svm_linear", weighted=weighted, n_rows=n_rows)
     folds = [r[0] for r in train.select(fold_col).distinct().collect()]  # k fold ids
     oof = None
     for f in sorted(folds):
-        m = LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL, featuresCol=FEATURES, labelCol="label").fit(
-            train.where(F.col(fold_col) != f))
+        m = svc.fit(train.where(F.col(fold_col) != f))
         part = m.transform(train.where(F.col(fold_col) == f)).select(
             id_col, "label", vector_to_array("rawPrediction")[1].alias("margin"))
         oof = part if oof is None else oof.unionByName(part)
     va = VectorAssembler(inputCols=["margin"], outputCol="m")
     lr = LogisticRegression(featuresCol="m", labelCol="label", maxIter=100, tol=LOGREG_TOL).fit(va.transform(oof))
-    full = LinearSVC(maxIter=100, regParam=0.01, tol=SVC_TOL, featuresCol=FEATURES, labelCol="label").fit(train)
-    scored = full.transform(test).select(id_col, "label", vector_to_array("rawPrediction")[1].alias("margin"))
+    scored = svc.fit(train).transform(test).select(id_col, "label", vector_to_array("rawPrediction")[1].alias("margin"))
     out = lr.transform(va.transform(scored))
     return out.select(id_col, "label", F.col("prediction").cast("int").alias("pred"),
                       vector_to_array("probability").alias("proba"))
@@ -171,56 +196,60 @@ def platt_svm(train: DataFrame, test: DataFrame, fold_col: str = "fold", id_col:
 
 # ---------------------------------------------------------------- ensembles
 
-def soft_vote(models: list, df: DataFrame, id_col: str = "msg_id") -> DataFrame:
-    """Mean of the class probabilities of fitted models -> argmax (chained transforms, no join)."""
-    cur = df
-    probs = []
-    for i, m in enumerate(models):
-        m = m.copy()
-        for p, v in (("predictionCol", f"_pred{i}"), ("probabilityCol", f"_prob{i}"), ("rawPredictionCol", f"_raw{i}")):
-            if m.hasParam(p):
-                m.set(m.getParam(p), v)
-        cur = m.transform(cur)
-        probs.append(vector_to_array(f"_prob{i}"))
-    n = len(probs)
-    avg = F.zip_with(probs[0], probs[1], lambda a, b: a + b)
-    for p in probs[2:]:
-        avg = F.zip_with(avg, p, lambda a, b: a + b)
-    avg = F.transform(avg, lambda x: x / n)
-    out = cur.select(id_col, "label", avg.alias("proba"))
+def vote_frames(frames: list[DataFrame], id_col: str = "msg_id") -> DataFrame:
+    """Soft vote: mean class probabilities of several prediction frames, then the largest.
+
+    The frames hold one row an id; they meet in one aggregation on the id.
+    """
+    every = None
+    for f in frames:
+        part = f.select(id_col, "label", F.posexplode("proba").alias("cls", "p"))
+        every = part if every is None else every.unionByName(part)
+    mean = every.groupBy(id_col, "label", "cls").agg(F.avg("p").alias("p"))
+    out = mean.groupBy(id_col, "label").agg(F.sort_array(F.collect_list(F.struct("cls", "p"))).alias("s"))  # k classes
+    out = out.select(id_col, "label", F.transform("s", lambda x: x["p"]).alias("proba"))
     return out.select(id_col, "label", EV.argmax_class(F.col("proba")).alias("pred"), "proba")
 
 
-def stack(train: DataFrame, test: DataFrame, base_names: list[str], meta_name: str, n_features: int,
-          fold_col: str = "fold", id_col: str = "msg_id", n_classes: int = 2) -> DataFrame:
-    """Stacking: out-of-fold base probabilities -> meta model; bases refit on all train rows.
+def class_scores(fitted, n_classes: int, i: int) -> tuple:
+    """(fitted model with its own output columns, column of its class scores).
+
+    Probabilities where the model has them (one class is left out of two, as it
+    follows from the other), else its margins.
+    """
+    m = fitted.copy()
+    for p, v in (("predictionCol", f"_bp{i}"), ("probabilityCol", f"_bq{i}"), ("rawPredictionCol", f"_br{i}")):
+        if m.hasParam(p):
+            m.set(m.getParam(p), v)
+    arr = vector_to_array(f"_bq{i}" if m.hasParam("probabilityCol") else f"_br{i}")
+    return m, F.slice(arr, 2, 1) if n_classes == 2 else arr
+
+
+def stack(train: DataFrame, test: DataFrame, bases: list, meta, n_classes: int = 2,
+          fold_col: str = "fold", id_col: str = "msg_id") -> DataFrame:
+    """Stacking: out-of-fold class scores of the bases -> meta model; bases refit on all train rows.
 
-    Every train row is scored exactly once by bases that did not see it.
+    ``bases`` and ``meta`` are estimators.  Every train row is scored exactly
+    once, by bases that did not see it; every class has a column (the second
+    one only for two classes).  A ``weight`` column reaches the meta model.
     """
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())  # k fold ids
+    more = ["weight"] if "weight" in train.columns else []
 
-    def base_probs(fitted, frame):
-        cols = []
-        cur = frame
+    def base_scores(fitted, frame, cols):
+        parts, cur = [], frame
         for i, m in enumerate(fitted):
-            m = m.copy()
-            for p, v in (("predictionCol", f"_bp{i}"), ("probabilityCol", f"_bq{i}"), ("rawPredictionCol", f"_br{i}")):
-                if m.hasParam(p):
-                    m.set(m.getParam(p), v)
+            m, part = class_scores(m, n_classes, i)
             cur = m.transform(cur)
-            cols.append(vector_to_array(f"_bq{i}")[1].alias(f"b{i}"))
-        return cur.select(id_col, "label", *cols)
+            parts.append(part)
+        return cur.select(id_col, "label", *cols, array_to_vector(F.concat(*parts)).alias(FEATURES))
 
     oof = None
     for f in folds:
         tr = train.where(F.col(fold_col) != f)
-        fitted = [estimator(b, n_features, n_classes).fit(tr) for b in base_names]
-        part = base_probs(fitted, train.where(F.col(fold_col) == f))
+        part = base_scores([b.fit(tr) for b in bases], train.where(F.col(fold_col) == f), more)
         oof = part if oof is None else oof.unionByName(part)
-    va = VectorAssembler(inputCols=[f"b{i}" for i in range(len(base_names))], outputCol=FEATURES)
-    meta = estimator(meta_name, len(base_names), n_classes).fit(va.transform(oof))
-    fitted_all = [estimator(b, n_features, n_classes).fit(train) for b in base_names]
-    return prediction_frame(meta, va.transform(base_probs(fitted_all, test)), id_col)
+    return prediction_frame(meta.fit(oof), base_scores([b.fit(train) for b in bases], test, []), id_col)
 
 
 # ---------------------------------------------------------------- tuning

@@ -37,12 +37,15 @@ def _block_topk(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str, ex
     if metric == "cosine":
         qn = np.sqrt(np.einsum("ij,ij->i", qm, qm))
         rn = np.sqrt(np.einsum("ij,ij->i", rm, rm))
-        d = 1.0 - (qm @ rm.T) / (qn[:, None] * rn[None, :])
+        norm = qn[:, None] * rn[None, :]
+        # a zero vector is at distance 1 from everything
+        d = 1.0 - np.divide(qm @ rm.T, norm, out=np.zeros_like(norm), where=norm > 0)
     else:
         d = np.empty((len(qm), len(rm)))
-        for i in range(len(qm)):
-            diff = rm - qm[i]
-            d[i] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        step = max(1, (1 << 22) // max(1, rm.size))  # a few query rows at once, by exact differences
+        for i in range(0, len(qm), step):
+            diff = rm[None, :, :] - qm[i:i + step, None, :]
+            d[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
     if exclude_self:
         d[qid[:, None] == nid[None, :]] = np.inf
     kk = min(k, len(nid))
@@ -70,13 +73,17 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec
     r = refs.select(grp(refs).alias("_g"), F.col(id_col).cast("long").alias("nid"),
                     F.col(vec_col).cast("array<double>").alias("nv"))
     # block counts per group: a small group gets few blocks, a big one many
-    nq = q.groupBy("_g").agg(F.count(F.lit(1)).alias("_nq"))
-    nr = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_nr"))
-    sizes = nq.join(nr, "_g").select(
-        "_g", F.greatest(F.ceil(F.col("_nq") / b), F.lit(1)).cast("long").alias("nqb"),
-        F.greatest(F.ceil(F.col("_nr") / b), F.lit(1)).cast("long").alias("nrb"))
-    q = lookup_join(q, sizes, "_g", how="inner")
-    r = lookup_join(r, sizes, "_g", how="inner")
+    if group_col:
+        nq = q.groupBy("_g").agg(F.count(F.lit(1)).alias("_nq"))
+        nr = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_nr"))
+        sizes = nq.join(nr, "_g").select(
+            "_g", F.greatest(F.ceil(F.col("_nq") / b), F.lit(1)).cast("long").alias("nqb"),
+            F.greatest(F.ceil(F.col("_nr") / b), F.lit(1)).cast("long").alias("nrb"))
+        q = lookup_join(q, sizes, "_g", how="inner")
+        r = lookup_join(r, sizes, "_g", how="inner")
+    else:  # one group: two counts, as literals
+        blocks = {n: F.lit(max(1, -(-df.count() // b))).cast("long") for n, df in (("nqb", q), ("nrb", r))}
+        q, r = q.withColumns(blocks), r.withColumns(blocks)
     q = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")))
          .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nrb") - 1)))
          .select(F.col("_g").alias("g"), "qid", "qv", "qb", "rb"))

@@ -40,13 +40,11 @@ HASH_BUCKET_BITS = 16
 
 
 def rank_by_hash(df: DataFrame, id_col: str, key: Column, partition_cols=(), rank_col: str = "rank",
-                 n_rows: int | None = None, key_range: tuple[int, int] | None = (0, 2 ** 48),
-                 per_group: DataFrame | None = None) -> DataFrame:
+                 n_rows: int | None = None, per_group: DataFrame | None = None) -> DataFrame:
     """1-based row number of every row within ``partition_cols`` ordered by (key, id).
 
-    ``key`` is a non-negative long; by default a uniform 48-bit md5 prefix,
-    split into 2^16 buckets by its top bits.  With ``key_range=None`` the
-    key's range is measured first (e.g. dense ids) and split evenly.
+    ``key`` is a uniform 48-bit hash, split into buckets by its top bits; for
+    keys that are not uniform use ``rank_in_groups``.
 
     The offsets join is keyed on (partition_cols, bucket), the same keys the
     row-number window is partitioned on, so the big side is not shuffled
@@ -55,15 +53,8 @@ def rank_by_hash(df: DataFrame, id_col: str, key: Column, partition_cols=(), ran
     that offsets table, never joined to the big side on the group key alone.
     """
     parts = list(partition_cols)
-    keyed = df.withColumn("_k", key.cast("long"))
     bits = HASH_BUCKET_BITS if n_rows is None else bucket_bits(n_rows)
-    if key_range is None:
-        st = keyed.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()  # one row
-        key_range = (st["lo"] or 0, (st["hi"] or 0) + 1)
-    lo, hi = key_range
-    width = max(1, hi - lo)
-    bucket = F.floor((F.col("_k") - F.lit(lo)).cast("double") * F.lit(float(2 ** bits) / width)).cast("long")
-    keyed = keyed.withColumn("_b", bucket)
+    keyed = df.withColumn("_k", key.cast("long")).withColumn("_b", F.shiftright(F.col("_k"), 48 - bits))
     counts = keyed.groupBy(*parts, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_start"))
@@ -77,6 +68,18 @@ def rank_by_hash(df: DataFrame, id_col: str, key: Column, partition_cols=(), ran
     return out.withColumn(rank_col, (F.col("_start") + F.col("_rn")).cast("long")).drop("_k", "_b", "_rn", "_start")
 
 
+def rank_in_groups(df: DataFrame, group_cols: list[str], order_cols: list, rank_col: str = "rank") -> DataFrame:
+    """1-based row number within each group by any sort keys, however they are spread.
+
+    One global order over (group, keys) with balanced range partitions, minus
+    the group's first position: no group sits in one task, no arithmetic on
+    the keys.
+    """
+    ranked = global_rank(df, [*group_cols, *order_cols], rank_col="_pos")
+    first = ranked.groupBy(*group_cols).agg((F.min("_pos") - 1).alias("_before"))
+    return ranked.join(first, group_cols).withColumn(rank_col, (F.col("_pos") - F.col("_before")).cast("long")).drop("_pos", "_before")
+
+
 def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
     """1-based position of every row in the total order ``order_cols`` (must be a strict order)."""
@@ -88,11 +91,9 @@ def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
               .withColumn("_pid", pid)
               .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
     ranged = ranged.checkpoint(eager=True)
-    sizes = {r["_pid"]: r["n"] for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, run = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(run)
-        run += sizes.get(p, 0)
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (F.col("_pid") + 1).cast("int")) \
-        if offsets else F.lit(0).cast("long")
-    return ranged.withColumn(rank_col, off + F.col("_local") + 1).drop("_pid", "_local")
+    # one row a partition: a running sum over them gives every partition its start
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_start"))
+    out = ranged.join(F.broadcast(starts), "_pid")
+    return out.withColumn(rank_col, F.col("_start") + F.col("_local") + 1).drop("_pid", "_local", "_start")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurescan.operators.neighbors import knn
-from lurescan.operators.ranking import rank_by_hash
+from lurescan.session import ensure_checkpoint_dir, scoped_cache
+from lurescan.operators.ranking import rank_in_groups
 from lurescan.sources.fixtures import hash48, hash_fraction
 
 DRAW_BLOCK = 1_000_000
@@ -43,7 +44,7 @@ def draws(needs: DataFrame, label_col: str) -> DataFrame:
 
 
 def _ranked(df: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    return rank_by_hash(df, id_col, F.col(id_col), partition_cols=[label_col], rank_col="rank", key_range=None)
+    return rank_in_groups(df, [label_col], [id_col])
 
 
 def oversample_random(df: DataFrame, id_col: str, label_col: str, seed: int = 42) -> DataFrame:
@@ -59,7 +60,10 @@ def oversample_random(df: DataFrame, id_col: str, label_col: str, seed: int = 42
 
 
 def synthetic_id(label: Column, i: Column) -> Column:
-    return -((label.cast("long") + 1) * F.lit(SYN_BASE) + i)
+    """A negative id of (label, draw): distinct while labels are below 2^31 and draws below 2^32."""
+    ok = label.between(0, 2 ** 31 - 2) & (i < F.lit(SYN_BASE))
+    return F.when(ok, -((label.cast("long") + 1) * F.lit(SYN_BASE) + i)).otherwise(
+        F.raise_error(F.lit("synthetic ids need labels of 0 to 2^31 - 2 and fewer than 2^32 draws a class")).cast("long"))
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, seed: int = 42,
@@ -67,18 +71,27 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     """Synthetic rows x + u * (nn - x) with nn one of x's k same-class neighbours (Euclidean).
 
     Returns (id, label, vec, base_id, nbr_id, u) for the synthetic rows only.
+    A class that must grow needs more than k rows; otherwise a ValueError says so.
     """
-    needs = class_needs(df, label_col)
+    ensure_checkpoint_dir(df.sparkSession)
+    needs = scoped_cache(class_needs(df, label_col))
+    small = needs.where((F.col("need") > 0) & (F.col("n") <= k)).orderBy(label_col).first()  # one row
+    if small is not None:
+        raise ValueError(f"class {small[label_col]!r} has {small['n']} rows; {k} neighbours need at least {k + 1}")
     d = draws(needs, label_col)
-    kk = F.least(F.lit(k), F.col("n") - 1)
+    kk = F.lit(k)
     d = d.select(label_col, "i",
                  (F.pmod(hash48(_key(seed, F.col(label_col), F.col("i"), "b")), F.col("n")) + 1).alias("rank"),
                  (F.pmod(hash48(_key(seed, F.col(label_col), F.col("i"), "n")), kk) + 1).alias("nbr_rank"),
                  hash_fraction(F.lit(str(seed)), F.col(label_col), F.col("i"), F.lit("u")).alias("u"))
     vecs = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"), label_col)
+    # only classes that need rows take part, and only drawn rows look for neighbours
+    vecs = vecs.join(F.broadcast(needs.where("need > 0").select(label_col)), label_col)  # one row a class
     base = d.join(_ranked(vecs, "_id", label_col).select(label_col, "rank", F.col("_id").alias("base_id"),
                                                          F.col("_v").alias("base_v")), [label_col, "rank"])
-    nn = knn(vecs, vecs, k, id_col="_id", vec_col="_v", metric="euclidean", group_col=label_col,
+    base = base.checkpoint(eager=True)  # read for its ids and again for its vectors
+    asked = vecs.join(base.select(F.col("base_id").alias("_id")).distinct(), "_id", "left_semi")
+    nn = knn(asked, vecs, k, id_col="_id", vec_col="_v", metric="euclidean", group_col=label_col,
              block_rows=block_rows).select(F.col("qid").alias("base_id"), F.col("rank").alias("nbr_rank"),
                                             F.col("nid").alias("nbr_id"))
     s = base.join(nn, ["base_id", "nbr_rank"]).join(
@@ -89,8 +102,10 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
 
 
 def with_synthetic(df: DataFrame, syn: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """Originals and synthetic rows, written once: the editing steps read them many times."""
     orig = df.select(id_col, label_col, F.col(vec_col).cast("array<double>").alias(vec_col))
-    return orig.unionByName(syn.select(id_col, label_col, vec_col))
+    ensure_checkpoint_dir(df.sparkSession)
+    return orig.unionByName(syn.select(id_col, label_col, vec_col)).checkpoint(eager=True)
 
 
 def tomek_links(df: DataFrame, id_col: str, vec_col: str, label_col: str, block_rows: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurescan.operators.ranking import hash_key, rank_by_hash
+from lurescan.operators.ranking import hash_key, rank_by_hash, rank_in_groups
 
 
 def shuffle_rows(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
@@ -65,8 +65,7 @@ def kfold_stratified(df: DataFrame, id_col: str, label_col: str, k: int = 5, see
     ``seed=None`` is the unshuffled form: rows dealt in id order.
     """
     if seed is None:
-        r = rank_by_hash(df, id_col, F.col(id_col), partition_cols=[label_col], rank_col="_r",
-                         key_range=None)
+        r = rank_in_groups(df, [label_col], [id_col], rank_col="_r")
     else:
         r = rank_by_hash(df, id_col, hash_key(seed, id_col), partition_cols=[label_col], rank_col="_r")
     return r.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r")

@@ -35,19 +35,32 @@ def keras_tokens(c) -> Column:
     return F.filter(F.split(s, " "), lambda t: t != "")
 
 
-def term_counts(df: DataFrame, id_cols, tokens: Column, colocate: bool = True) -> DataFrame:
-    """(ids..., term, tf): the tokens of each row counted.
+def row_counts(tokens: Column) -> Column:
+    """array<struct(term, tf)> of one row's tokens: sorted, then the lengths of the runs.
 
-    With ``colocate`` the rows are hash-partitioned by the first id before
-    tokenising: the text moves once (smaller than its token rows), the
-    (id, term) count needs no further exchange, and later per-document work
-    (the L2-norm window) finds its partitioning already in place.
+    Built-in array functions only; outer arrays reach the lambdas as
+    ``zip_with`` arguments, so they are evaluated once a row.
+    """
+    s = F.sort_array(tokens)
+    starts = F.filter(
+        F.zip_with(F.zip_with(s, F.concat(F.array(F.lit(None).cast("string")), s), lambda a, b: F.struct(a.alias("term"), b.alias("before"))),
+                   F.sequence(F.lit(1), F.greatest(F.size(s) + 1, F.lit(1))),
+                   lambda x, i: F.struct(x["term"].alias("term"), x["before"].alias("before"), i.alias("at"))),
+        lambda x: x["term"].isNull() | x["before"].isNull() | (x["term"] != x["before"]))
+    # the entry behind the last token has no term and closes the last run
+    runs = F.zip_with(starts, F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda a, b: F.struct(
+        a["term"].alias("term"), (b["at"] - a["at"]).cast("long").alias("tf")))
+    return F.filter(runs, lambda r: r["tf"].isNotNull())
+
+
+def term_counts(df: DataFrame, id_cols, tokens: Column) -> DataFrame:
+    """(ids..., term, tf): the tokens of each row counted within the row; nothing is shuffled.
+
+    ``id_cols`` must identify a row.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    if colocate:
-        df = df.repartition(ids[0])
-    return (df.select(*ids, F.explode(tokens).alias("term"))
-            .groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tok = df.select(*ids, tokens.alias("_tok"))
+    return tok.select(*ids, F.explode(row_counts(F.col("_tok"))).alias("_c")).select(*ids, "_c.term", "_c.tf")
 
 
 def term_stats(tc: DataFrame) -> DataFrame:

@@ -159,14 +159,8 @@ register("drop_unlabelled", sql=FX.with_ctes(FX.SQL_RAW_LABELS) + (
 
 
 def filter_max_length(spark, sf, max_len: int = 10000):
-    """Keep texts of at most ``max_len`` characters.
-
-    ``n_chars`` is the length stored at ingest, so ``n_chars <= max_len`` reaches
-    the Parquet scan (row-group skipping); the exact ``length(text)`` predicate
-    stays, so the result never depends on the stored column alone.
-    """
-    d = _docs(spark, sf)
-    return (d.where((F.col("n_chars") <= max_len) & (F.length("text") <= max_len))
+    """Keep texts of at most ``max_len`` characters, by the text itself (a stored length may be stale)."""
+    return (_docs(spark, sf).where(F.length("text") <= max_len)
             .select("doc_id", F.length("text").cast("long").alias("length")))
 
 

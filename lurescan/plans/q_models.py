@@ -1,15 +1,16 @@
-"""Model, ensemble, tuning and scoring keys — rows-only checks.
+"""Model, ensemble, tuning and scoring keys.
 
 All fit on the train part of a stratified split (25 % test) with the
 vocabulary fitted on train rows only, folds dealt inside the train part,
-and report predictions for the test rows.
+and report predictions for the test rows.  Vocabularies are taken by (count,
+term), so they do not depend on how the table is partitioned.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -18,29 +19,37 @@ from lurescan.operators import evaluate as EV
 from lurescan.operators import models as MD
 from lurescan.operators import resample as RS
 from lurescan.operators import splits as SP
-from lurescan.operators import textops as X
 from lurescan.operators import vectorize as V
 from lurescan.plans.registry import register
-from lurescan.session import scratch_dir
+from lurescan.session import scoped_cache, scratch_dir
 from lurescan.sources import fixtures as FX
 
+# the scripts' vectoriser sizes: the voting and tree scripts, the SVM and the kNN scripts
 VOCAB = 1000
+SVM_VOCAB = 10000
+FOREST_VOCAB = 3000
 
 
-def prepared(spark, sf, three: bool = False, weighted: bool = False, k: int = 5):
-    """(train, test, n_features, n_classes): featurised, train rows carry a stratified ``fold``."""
+def split_texts(spark, sf, three: bool = False):
+    """Messages with ``is_test``: the split ranks (id, label) only and joins the flag once."""
     m = FX.m3(spark, sf) if three else FX.m2(spark, sf)
-    sp = SP.split_stratified(m, "msg_id", "label", 0.25, 42)
-    train_txt = sp.where(F.col("is_test") == 0)
-    feats = MD.featurize(sp, "text", VOCAB, "email", fit_on=train_txt).cache()
-    train = SP.kfold_stratified(feats.where(F.col("is_test") == 0).drop("is_test"), "msg_id", "label", k=k, seed=42)
+    flag = SP.split_stratified(m.select("msg_id", "label"), "msg_id", "label", 0.25, 42).select("msg_id", "is_test")
+    return m.join(flag, "msg_id")
+
+
+def prepared(spark, sf, three: bool = False, weighted: bool = False, k: int = 5, vocab: int | None = VOCAB,
+             bundle: str | None = "email"):
+    """(train, test, names, n_classes, n_train): featurised, train rows carry a stratified ``fold``."""
+    sp = scoped_cache(split_texts(spark, sf, three))
+    feats, names = MD.featurize(sp, "text", vocab, bundle, fit_on=sp.where(F.col("is_test") == 0))
+    fold = SP.kfold_stratified(sp.where(F.col("is_test") == 0).select("msg_id", "label"), "msg_id", "label", k=k, seed=42)
+    train = feats.where(F.col("is_test") == 0).drop("is_test").join(fold.select("msg_id", "fold"), "msg_id")
     test = feats.where(F.col("is_test") == 1).drop("is_test")
     if weighted:
         train = MD.balanced_weights(train)
     # fits and searches read these many times: keep them (recomputed from lineage if an executor is lost)
-    train, test = train.cache(), test.cache()
-    n_features = VOCAB + len(T.FEATURE_BUNDLES["email"])
-    return train, test, n_features, (3 if three else 2)
+    train, test = scoped_cache(train), scoped_cache(test)
+    return train, test, names, (3 if three else 2), train.count()
 
 
 def _out(df):
@@ -50,31 +59,54 @@ def _out(df):
     return df.select(*cols)
 
 
-def _fit_predict(name, three=False, weighted=False):
+def _fit_predict(name, three=False, weighted=False, vocab=VOCAB, bundle="email", **options):
     def q(spark, sf):
-        train, test, d, k = prepared(spark, sf, three, weighted)
-        est = MD.estimator(name, d, k, weighted=weighted)
+        train, test, names, k, n = prepared(spark, sf, three, weighted, vocab=vocab, bundle=bundle)
+        est = MD.estimator(name, len(names), k, weighted=weighted, n_rows=n, **options)
         return _out(MD.prediction_frame(est.fit(train), test))
     q.__name__ = f"model_{name}"
     return q
 
 
-register("model_nb")(_fit_predict("nb"))
+def _sql_nb():
+    """Multinomial naive Bayes on counts with Spark's smoothed class prior, and its class-1 probability."""
+    from lurescan.plans.q_splits import h48_sql, sql_quotas
+    return FX.with_ctes(
+        FX.SQL_M2, sql_quotas("m2", 0.25),
+        "sp AS (SELECT m.msg_id, m.text, m.label, row_number() OVER (PARTITION BY m.label ORDER BY "
+        + h48_sql(42, "m.msg_id") + ", m.msg_id) <= q.n - q.n_train AS is_test FROM m2 m JOIN quota q ON m.label = q.label)",
+        "tc AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(regexp_extract_all(lower(text), "
+        "'[\\p{L}\\p{N}_]{2,}')) AS term FROM sp) x GROUP BY msg_id, term)",
+        "vocab AS (SELECT tc.term FROM tc JOIN sp ON tc.msg_id = sp.msg_id WHERE NOT sp.is_test GROUP BY tc.term "
+        f"ORDER BY sum(tc.tf) DESC, tc.term LIMIT {VOCAB})",
+        "nd AS (SELECT label AS cls, count(*) AS n FROM sp WHERE NOT is_test GROUP BY label)",
+        "nct AS (SELECT sp.label AS cls, tc.term, sum(tc.tf) AS n_ct FROM tc JOIN sp ON tc.msg_id = sp.msg_id "
+        "JOIN vocab ON tc.term = vocab.term WHERE NOT sp.is_test GROUP BY ALL)",
+        "w AS (SELECT nd.cls, v.term, ln(coalesce(nct.n_ct, 0) + 1.0) - ln((SELECT sum(n_ct) FROM nct t WHERE t.cls = nd.cls) "
+        "+ (SELECT count(*) FROM vocab)) AS w FROM nd CROSS JOIN vocab v LEFT JOIN nct ON nct.cls = nd.cls AND nct.term = v.term)",
+        "sc AS (SELECT sp.msg_id, sp.label, nd.cls, ln(nd.n + 1.0) - ln((SELECT sum(n) FROM nd) + (SELECT count(*) FROM nd)) "
+        "+ coalesce(sum(tc.tf * w.w), 0) AS s FROM sp CROSS JOIN nd LEFT JOIN tc ON tc.msg_id = sp.msg_id "
+        "LEFT JOIN w ON w.term = tc.term AND w.cls = nd.cls WHERE sp.is_test GROUP BY sp.msg_id, sp.label, nd.cls, nd.n)") + (
+        "SELECT msg_id, label, CAST(max(s) FILTER (cls = 1) > max(s) FILTER (cls = 0) AS INTEGER) AS pred, "
+        "round(1 / (1 + exp(least(greatest(max(s) FILTER (cls = 0) - max(s) FILTER (cls = 1), -700), 700))), 6) AS p1 "
+        "FROM sc GROUP BY msg_id, label")
+
+
+register("model_nb", sql=_sql_nb())(_fit_predict("nb", bundle=None))
 register("model_logreg")(_fit_predict("logreg", three=True, weighted=True))
 register("model_tree")(_fit_predict("tree"))
-register("model_forest", bench=True)(_fit_predict("forest", weighted=True))
+register("model_forest", bench=True)(_fit_predict("forest", weighted=True, vocab=FOREST_VOCAB))
 register("model_gbt")(_fit_predict("gbt"))
-register("model_svm_linear")(_fit_predict("svm_linear", three=True))
-register("model_mlp")(_fit_predict("mlp"))
+register("model_svm_linear")(_fit_predict("svm_linear", three=True, weighted=True, vocab=SVM_VOCAB))
+register("model_mlp")(_fit_predict("mlp", layers=(128, 64)))
 
 
 def model_svm_rbf(spark, sf):
-    """RBF-kernel SVM re-aimed: random Fourier features (256) then a linear SVM."""
-    train, test, d, _ = prepared(spark, sf)
-    tr = MD.random_fourier(train, d)
-    te = MD.random_fourier(test, d)
-    m = MD.estimator("svm_linear").fit(tr)
-    return _out(MD.prediction_frame(m, te))
+    """RBF-kernel SVM re-aimed: random Fourier features (256, library's gamma) then a linear SVM."""
+    train, test, names, _, n = prepared(spark, sf)
+    d, gamma = len(names), MD.scale_gamma(train, len(names))
+    m = MD.estimator("svm_linear", n_rows=n).fit(MD.random_fourier(train, d, gamma))
+    return _out(MD.prediction_frame(m, MD.random_fourier(test, d, gamma)))
 
 
 register("model_svm_rbf")(model_svm_rbf)
@@ -82,53 +114,89 @@ register("model_svm_rbf")(model_svm_rbf)
 
 def svm_probability(spark, sf):
     """Linear SVM with Platt-scaled probabilities from out-of-fold margins."""
-    train, test, _, _ = prepared(spark, sf)
-    return _out(MD.platt_svm(train, test))
+    train, test, _, _, n = prepared(spark, sf)
+    return _out(MD.platt_svm(train, test, n_rows=n))
 
 
 register("svm_probability")(svm_probability)
 
 
 def vote_soft(spark, sf):
-    """Soft vote of naive Bayes, random forest and logistic regression."""
-    train, test, d, k = prepared(spark, sf)
-    models = [MD.estimator(n, d, k).fit(train) for n in ("nb", "forest", "logreg")]
-    return _out(MD.soft_vote(models, test))
+    """Soft vote of naive Bayes, random forest and a linear SVM with probabilities, on counts."""
+    train, test, names, k, n = prepared(spark, sf, bundle=None)
+    frames = [MD.prediction_frame(MD.estimator(x, len(names), k, n_rows=n).fit(train), test) for x in ("nb", "forest")]
+    return _out(MD.vote_frames([*frames, MD.platt_svm(train, test, n_rows=n)]))
 
 
 register("vote_soft")(vote_soft)
 
 
+def vote_boosted(spark, sf):
+    """Soft vote of a perceptron, a random forest and boosted trees."""
+    train, test, names, k, n = prepared(spark, sf)
+    return _out(MD.vote_frames([MD.prediction_frame(MD.estimator(x, len(names), k, n_rows=n).fit(train), test)
+                                for x in ("mlp", "forest", "gbt")]))
+
+
+register("vote_boosted")(vote_boosted)
+
+
 def stack_models(spark, sf):
-    """Forest + logistic regression bases (5-fold out-of-fold), logistic meta model."""
-    train, test, d, k = prepared(spark, sf)
-    return _out(MD.stack(train, test, ["forest", "logreg"], "logreg", d))
+    """Forest and logistic regression (5-fold out-of-fold) under a logistic meta model, class weights throughout."""
+    train, test, names, k, n = prepared(spark, sf, weighted=True)
+    bases = [MD.estimator(x, len(names), k, weighted=True, n_rows=n) for x in ("forest", "logreg")]
+    return _out(MD.stack(train, test, bases, MD.estimator("logreg", 2, k, weighted=True, n_rows=n), k))
 
 
 register("stack_models")(stack_models)
 
 
-def pipeline_fit(spark, sf):
-    """Tokens -> counts -> idf -> assemble -> forest, with oversampling applied to the train rows only."""
-    m = FX.m2(spark, sf)
-    sp = SP.split_stratified(m, "msg_id", "label", 0.25, 42)
-    train = RS.oversample_random(sp.where(F.col("is_test") == 0).drop("is_test"), "msg_id", "label", 42)
-    test = sp.where(F.col("is_test") == 1).drop("is_test")
-    names = T.FEATURE_BUNDLES["sms"]
+def stack_three(spark, sf):
+    """Three classes: every class's score of the forest and the logistic base reaches the logistic meta model."""
+    train, test, names, k, n = prepared(spark, sf, three=True)
+    bases = [MD.estimator(x, len(names), k, n_rows=n, max_depth=20) for x in ("forest", "logreg")]
+    return _out(MD.stack(train, test, bases, MD.estimator("logreg", 2 * k, k, n_rows=n), k))
+
+
+register("stack_three")(stack_three)
+
+
+def stack_svc_tree(spark, sf):
+    """Linear SVC margins and tree probabilities under a forest meta model."""
+    train, test, names, k, n = prepared(spark, sf)
+    bases = [MD.estimator(x, len(names), k, n_rows=n) for x in ("svm_linear", "tree")]
+    return _out(MD.stack(train, test, bases, MD.estimator("forest", 2, k), k))
+
+
+register("stack_svc_tree")(stack_svc_tree)
+
+PIPE_NAMES = T.FEATURE_BUNDLES["sms"]
+
 
-    def prep(df):
-        return df.select("msg_id", "label", V.sklearn_tokens("text").alias("tokens"),
-                         *[c.cast("double") for c in T.message_features(F.col("text"), "sms")])
+def _message_rows(df, *keep):
+    return df.select(*keep, V.sklearn_tokens("text").alias("tokens"),
+                     *[c.cast("double") for c in T.message_features(F.col("text"), "sms")])
 
+
+def fitted_pipeline(train, vocab: int | None = FOREST_VOCAB):
+    """Counts -> idf -> assemble -> forest (depth unlimited), fitted on the given rows."""
+    names = MD.vocabulary(train, "text", vocab)
     pipe = Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=VOCAB),
+        CountVectorizerModel.from_vocabulary(names, inputCol="tokens", outputCol="tf"),
         IDF(inputCol="tf", outputCol="tfidf"),
-        VectorAssembler(inputCols=["tfidf"] + names, outputCol="features"),
+        VectorAssembler(inputCols=["tfidf"] + PIPE_NAMES, outputCol="features"),
         RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", seed=42, labelCol="label",
-                               maxMemoryInMB=MD.FOREST_NODE_MB),
+                               maxDepth=MD.UNLIMITED_DEPTH, maxMemoryInMB=MD.FOREST_NODE_MB),
     ])
-    model = pipe.fit(prep(train))
-    out = model.transform(prep(test))
+    return pipe.fit(_message_rows(train, "msg_id", "label"))
+
+
+def pipeline_fit(spark, sf):
+    """Tokens -> counts -> idf -> assemble -> forest, with oversampling applied to the train rows only."""
+    sp = split_texts(spark, sf)
+    train = RS.oversample_random(sp.where(F.col("is_test") == 0).drop("is_test"), "msg_id", "label", 42)
+    test = sp.where(F.col("is_test") == 1).drop("is_test")
+    out = fitted_pipeline(train).transform(_message_rows(test, "msg_id", "label"))
     return out.select("msg_id", "label", F.col("prediction").cast("int").alias("pred"),
                       F.round(vector_to_array("probability")[1], 6).alias("p1"))
 
@@ -137,31 +205,37 @@ register("pipeline_fit")(pipeline_fit)
 
 
 def score_messages(spark, sf):
-    """A fitted pipeline applied to a message table: table -> table + prediction."""
-    return pipeline_fit(spark, sf).select("msg_id", F.col("pred").alias("prediction"))
+    """A pipeline fitted on the labelled messages, saved, loaded, and applied to every message of the table."""
+    path = scratch_dir(spark, "model")
+    fitted_pipeline(FX.m2(spark, sf)).write().overwrite().save(path)
+    every = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("msg_id"), "text", "lang", "source")
+    out = PipelineModel.load(path).transform(_message_rows(every, "msg_id", "text", "lang", "source"))
+    return out.select("msg_id", F.col("text").alias("body"), "lang", "source", F.col("prediction").cast("int").alias("prediction"))
 
 
 register("score_messages")(score_messages)
 
+# the scripts' tree grid has 36 points; pass it (or any other) as ``values``
+TREE_GRID = {"maxDepth": [5, 10, 30], "minInstancesPerNode": [1, 2, 4]}
+FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10, 20], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
 
-def grid_search(spark, sf):
-    """Exhaustive grid over tree depth and leaf size, 5-fold (fold column), macro F1."""
-    train, test, d, k = prepared(spark, sf)
-    est = MD.estimator("tree", d, k)
-    grid = MD.param_grid(est, maxDepth=[5, 10, 30], minInstancesPerNode=[1, 2, 4])
-    cv = MD.grid_search(est, grid, train, metric="f1_macro")
+
+def grid_search(spark, sf, values=TREE_GRID, metric: str = "f1_macro"):
+    """Exhaustive grid over a tree's settings, 5-fold (fold column)."""
+    train, test, names, k, n = prepared(spark, sf)
+    est = MD.estimator("tree", len(names), k, n_rows=n)
+    cv = MD.grid_search(est, MD.param_grid(est, **values), train, metric=metric)
     return _out(MD.prediction_frame(cv.bestModel, test))
 
 
 register("grid_search")(grid_search)
 
 
-def random_search(spark, sf):
-    """Ten sampled points of a forest grid, 4-fold, accuracy."""
-    train, test, d, k = prepared(spark, sf, k=4)
-    est = MD.estimator("forest", d, k)
-    grid = MD.param_grid(est, numTrees=[50, 100], maxDepth=[5, 10, 20], featureSubsetStrategy=["sqrt", "log2", "all"])
-    cv = MD.random_search(est, grid, 10, train, metric="accuracy")
+def random_search(spark, sf, values=FOREST_GRID, n_iter: int = 10, metric: str = "accuracy"):
+    """Sampled points of a forest grid, 4-fold."""
+    train, test, names, k, n = prepared(spark, sf, k=4)
+    est = MD.estimator("forest", len(names), k, n_rows=n)
+    cv = MD.random_search(est, MD.param_grid(est, **values), n_iter, train, metric=metric)
     return _out(MD.prediction_frame(cv.bestModel, test))
 
 
@@ -169,8 +243,8 @@ register("random_search")(random_search)
 
 
 def cross_val_scores(spark, sf):
-    train, _, d, k = prepared(spark, sf)
-    return MD.cross_val_scores(MD.estimator("forest", d, k), train)
+    train, _, names, k, n = prepared(spark, sf)
+    return MD.cross_val_scores(MD.estimator("forest", len(names), k, n_rows=n), train)
 
 
 register("cross_val_scores")(cross_val_scores)
@@ -185,15 +259,11 @@ register("mean_scores")(mean_scores)
 
 
 def top_features(spark, sf):
-    """Forest importances joined to feature names, top 20."""
-    m = FX.m2(spark, sf)
-    sp = SP.split_stratified(m, "msg_id", "label", 0.25, 42)
-    train_txt = sp.where(F.col("is_test") == 0)
-    names = MD.vocabulary_names(train_txt, "text", VOCAB, "email")
-    train, _, d, k = prepared(spark, sf)
-    model = MD.estimator("forest", d, k).fit(train)
+    """Forest importances by feature name, top 20, from one fit."""
+    train, _, names, k, n = prepared(spark, sf)
+    model = MD.estimator("forest", len(names), k, n_rows=n).fit(train)
     imp = model.featureImportances.toArray()  # one value per feature: bounded by the vocabulary cap
-    rows = [(names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]
+    rows = [(name, float(v)) for name, v in zip(names, imp, strict=True)]
     return (spark.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), "feature").limit(20))
 
@@ -203,10 +273,10 @@ register("top_features")(top_features)
 
 def model_comparison(spark, sf):
     """Accuracy of several models side by side on the same test rows."""
-    train, test, d, k = prepared(spark, sf)
+    train, test, names, k, n = prepared(spark, sf, bundle=None)
     parts = []
     for name in ("nb", "logreg", "forest", "tree"):
-        pred = MD.prediction_frame(MD.estimator(name, d, k).fit(train), test)
+        pred = MD.prediction_frame(MD.estimator(name, len(names), k, n_rows=n).fit(train), test)
         parts.append(EV.accuracy(pred).select(F.lit(name).alias("model"), F.round("accuracy", 6).alias("accuracy")))
     out = parts[0]
     for p in parts[1:]:
@@ -253,7 +323,7 @@ def model_nb_long(spark, sf):
     """Multinomial naive Bayes (alpha 1) in long form over the 1000 most frequent train terms."""
     from lurescan.operators import naive_bayes as NB
     m = FX.m2(spark, sf)
-    sp = SP.split_stratified(m, "msg_id", "label", 0.25, 42).cache()
+    sp = scoped_cache(SP.split_stratified(m, "msg_id", "label", 0.25, 42))
     tc = V.term_counts(sp, "msg_id", V.sklearn_tokens("text"))
     train_docs = sp.where(F.col("is_test") == 0).select("msg_id", "label")
     test_docs = sp.where(F.col("is_test") == 1).select("msg_id", "label")

@@ -70,7 +70,7 @@ register("sink_clean_email", sql=FX.with_ctes(FX.SQL_MAIL) + SQL_CLEAN_MAIL)(sin
 def src_word_vectors(spark, sf):
     """Word vectors written as space-separated text and parsed back (term, dims, sum)."""
     c = table(spark, sf, "conversations")
-    idx = V.word_index(c, V.keras_tokens("text"), num_words=1000, oov=False)
+    idx = V.word_index(c, V.keras_tokens("text"), num_words=None, oov=False)
     path = io.write_word_vectors(word_vectors(spark, sf, idx.select("term")), scratch_dir(spark, "vectors-txt"))
     wv = io.read_word_vectors(spark, path)
     return wv.select("term", F.size("vec").cast("long").alias("dims"),
@@ -81,8 +81,7 @@ def _sql_word_vectors():
     from lurescan.plans.q_vectors import SQL_KERAS_COUNTS
     return FX.with_ctes(
         SQL_KERAS_COUNTS,
-        "wi AS (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) AS idx FROM kc) q "
-        "WHERE idx < 1000)",
+        "wi AS (SELECT term FROM kc)",
         "ne AS (SELECT count(*) AS n FROM embeddings)") + (
         "SELECT wi.term, CAST(len(e.embedding) AS BIGINT) AS dims, round(list_sum(list_transform(e.embedding, "
         "lambda x: CAST(x AS DOUBLE))), 6) AS vec_sum FROM wi CROSS JOIN ne JOIN embeddings e ON e.vec_id = "

@@ -218,7 +218,7 @@ register("pad_sequences", sql=SQL_SEQ + (
 
 def embedding_matrix(spark, sf):
     c = _conv(spark, sf)
-    idx = V.word_index(c, V.keras_tokens("text"), num_words=1000, oov=False)
+    idx = V.word_index(c, V.keras_tokens("text"), num_words=None, oov=False)
     vecs = _word_vectors(spark, sf, idx.select("term"))
     m = _embedding_matrix(idx, vecs, dim=64)
     return m.select("idx", "term", F.size("vec").cast("long").alias("dims"),
@@ -228,8 +228,7 @@ def embedding_matrix(spark, sf):
 
 register("embedding_matrix", sql=FX.with_ctes(
     SQL_KERAS_COUNTS,
-    "wi AS (SELECT term, idx FROM (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) AS idx FROM kc) q "
-    "WHERE idx < 1000)",
+    "wi AS (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) AS idx FROM kc)",
     "ne AS (SELECT count(*) AS n FROM embeddings)",
     "vec AS (SELECT wi.term, e.embedding FROM wi CROSS JOIN ne JOIN embeddings e ON e.vec_id = "
     + FX.sql_hash48("'v|' || wi.term") + " % ne.n WHERE " + FX.sql_hash_fraction("'w'", "wi.term") + " < 0.75)") + (

@@ -54,7 +54,8 @@ def num_uppercase(t):
 
 
 def num_digits(t):
-    return rcount(t, "\\p{Nd}")
+    from lurescan.functions.text import DIGITS_BEYOND_DECIMAL
+    return rcount(t, f"[\\p{{Nd}}{DIGITS_BEYOND_DECIMAL}]")
 
 
 def num_words(t):
@@ -106,15 +107,26 @@ def extract_email(t):
             f"'\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b', 0), '')")
 
 
-DATE_FORMATS_SQL = ("['%d %b %Y %H:%M:%S', '%d %b %Y %H:%M', '%d %b %Y', '%Y-%m-%d %H:%M:%S', "
-                    "'%Y-%m-%d', '%B %d, %Y', '%m/%d/%Y']")
+MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+# (pattern, year, month, day groups; whether the month is a name): shapes searched anywhere in the text,
+# unlike the Spark side, which strips the text and tries formats
+DATE_SHAPES = (
+    ("(\\d{4})-(\\d{1,2})-(\\d{1,2})", 1, 2, 3, False),
+    ("(\\d{1,2}) +([A-Za-z]{3})[a-z]* +(\\d{4})", 3, 2, 1, True),
+    ("([A-Za-z]{3})[a-z]* +(\\d{1,2}),? +(?:\\d{1,2}:\\d{2}:\\d{2} +)?(\\d{4})", 3, 1, 2, True),
+    ("(\\d{1,2})/(\\d{1,2})/(\\d{4})", 3, 1, 2, False),
+)
 
 
 def clean_date(t):
-    s = f"trim(CAST({t} AS VARCHAR))"
-    s = f"regexp_replace({s}, '^[A-Za-z]{{3,9}},\\s*', '')"
-    s = f"regexp_replace({s}, '\\s*([+-]\\d{{4}}|UTC|GMT|Z)$', '')"
-    return f"strftime(try_strptime({s}, {DATE_FORMATS_SQL}), '%d/%m/%Y')"
+    s = f"CAST({t} AS VARCHAR)"
+    arms = []
+    for p, y, m, d, named in DATE_SHAPES:
+        part = lambda g: f"regexp_extract({s}, '{p}', {g})"  # noqa: B023, E731
+        month = f"list_position({MONTHS}, lower({part(m)}))" if named else f"try_cast({part(m)} AS INTEGER)"
+        arms.append(f"WHEN regexp_matches({s}, '{p}') THEN strftime(try_cast(printf('%04d-%02d-%02d', "
+                    f"try_cast({part(y)} AS INTEGER), {month}, try_cast({part(d)} AS INTEGER)) AS DATE), '%d/%m/%Y')")
+    return "CASE " + " ".join(arms) + " END"
 
 
 def clean_subject(t):

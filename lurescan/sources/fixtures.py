@@ -127,28 +127,37 @@ SQL_MAIL = """mail AS (SELECT doc_id AS msg_id,
 
 # ---------------------------------------------------------------- DT: date texts
 
+# (Spark pattern, DuckDB pattern, text behind) of each rendering; %-d and d have no leading zero
+DATE_RENDERINGS = (
+    ("EEE, dd MMM yyyy HH:mm:ss", "%a, %d %b %Y %H:%M:%S", " -0700"),
+    ("yyyy-MM-dd", "%Y-%m-%d", ""),
+    ("dd MMM yyyy", "%d %b %Y", ""),
+    ("MMMM d, yyyy", "%B %-d, %Y", ""),
+    ("MM/dd/yyyy", "%m/%d/%Y", ""),
+    ("EEE, d MMM yyyy HH:mm:ss", "%a, %-d %b %Y %H:%M:%S", " -0700 (PDT)"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "Z"),
+    ("d MMM yyyy", "%-d %b %Y", ""),
+    ("M/d/yyyy", "%-m/%-d/%Y", ""),
+    ("MMM d, yyyy", "%b %-d, %Y", ""),
+    ("EEE MMM d HH:mm:ss yyyy", "%a %b %-d %H:%M:%S %Y", ""),
+    ("EEE, d MMM yyyy HH:mm:ss", "%a, %-d %b %Y %H:%M:%S", " GMT"),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", ".250+02:00"),
+)
+
+
 def date_texts(spark: SparkSession, sf: str) -> DataFrame:
     """orders.o_orderdate rendered in several text forms (status P rows are junk)."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    k = F.pmod(F.col("o_orderkey"), F.lit(5))
-    d = F.col("o_orderdate")
-    txt = (F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("n/a #"), F.col("o_orderkey").cast("string")))
-           .when(k == 0, F.concat(F.date_format(d, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -0700")))
-           .when(k == 1, F.date_format(d, "yyyy-MM-dd"))
-           .when(k == 2, F.date_format(d, "dd MMM yyyy"))
-           .when(k == 3, F.date_format(d, "MMMM d, yyyy"))
-           .otherwise(F.date_format(d, "MM/dd/yyyy")))
+    k, d = F.pmod(F.col("o_orderkey"), F.lit(len(DATE_RENDERINGS))), F.col("o_orderdate")
+    txt = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("n/a #"), F.col("o_orderkey").cast("string")))
+    for i, (form, _, tail) in enumerate(DATE_RENDERINGS):
+        txt = txt.when(k == i, F.concat(F.date_format(d, form), F.lit(tail)))
     return o.select(F.col("o_orderkey").alias("msg_id"), txt.alias("date"))
 
 
-SQL_DATE_TEXTS = """dt AS (SELECT o_orderkey AS msg_id,
-    CASE WHEN o_orderstatus = 'P' THEN 'n/a #' || CAST(o_orderkey AS VARCHAR)
-         WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') || ' -0700'
-         WHEN o_orderkey % 5 = 1 THEN strftime(o_orderdate, '%Y-%m-%d')
-         WHEN o_orderkey % 5 = 2 THEN strftime(o_orderdate, '%d %b %Y')
-         WHEN o_orderkey % 5 = 3 THEN strftime(o_orderdate, '%B %-d, %Y')
-         ELSE strftime(o_orderdate, '%m/%d/%Y') END AS date
-  FROM orders)"""
+SQL_DATE_TEXTS = ("dt AS (SELECT o_orderkey AS msg_id, CASE WHEN o_orderstatus = 'P' THEN 'n/a #' || CAST(o_orderkey AS VARCHAR) "
+                  + " ".join(f"WHEN o_orderkey % {len(DATE_RENDERINGS)} = {i} THEN strftime(o_orderdate, '{form}') || '{tail}'"
+                             for i, (_, form, tail) in enumerate(DATE_RENDERINGS)) + " END AS date FROM orders)")
 
 
 # ---------------------------------------------------------------- S: score table

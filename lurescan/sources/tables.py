@@ -9,24 +9,15 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# tables whose rows carry heavy per-row work (long texts, vectors)
-WIDE_WORK = {"documents", "pages", "conversations", "embeddings", "benchmark"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a given table.
+    """Read a given table as its files are split (``spark.sql.files.maxPartitionBytes``).
 
-    A scan yields one task per file split / row group.  When that is fewer
-    than the cluster's default parallelism for a table with heavy per-row
-    work (a small file with one row group), the rows are spread round-robin
-    over that many partitions; at scale the scan is already split and the
-    data is left where it is (no extra shuffle).
+    A caller who reads few large row groups on many cores may ask for more
+    partitions by ``lurescan.scan.partitions``; unset, nothing is moved.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in WIDE_WORK:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-    return df
+    want = spark.conf.get("lurescan.scan.partitions", None)
+    return df.repartition(int(want)) if want else df
