@@ -27,7 +27,7 @@ def connected(links: DataFrame) -> DataFrame:
         # large star: every node's larger neighbours go to the least of it and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         # small star: a node and its smaller neighbours go to the least of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")

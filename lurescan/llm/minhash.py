@@ -9,15 +9,18 @@
 3. ``BANDS`` bands of ``ROWS`` bins give buckets.  The smallest id of a bucket
    is its hub; candidate edges form a star from the hub, so a bucket of n
    documents gives n - 1 edges.
-4. Candidates whose sizes or signatures rule out the limit go; the others are
-   confirmed on the full sets of words, exactly.
-5. Links become components.  Buckets whose members are still in different
-   components are not done: their members take the hub's part in turn (up to
-   ``HUBS`` at once, strangers to the bucket's main component first) and are
-   compared with all members of other components, until every bucket is either
-   one component or all its members have been hubs.  So the star loses no pair
-   that shares a bucket, whatever the size of the bucket, and no step emits
-   all pairs of a group that is already linked.
+4. Documents that the candidate edges connect form a cluster; pairs that share
+   a bucket are always in one.  Within a cluster links are confirmed on the full
+   sets: the largest component so far is left alone, and each document outside
+   it takes the hub's part in turn and is compared with all documents of other
+   components.  So the stars lose no link, no pair is ever written, and documents
+   that are already together are not compared.
+5. A cluster of more than ``CLUSTER`` documents or ``CLUSTER_SHINGLES`` shingles
+   is not given to one task.  There the stars themselves are confirmed by joins
+   on the full texts; buckets whose members are still in different components
+   let up to ``HUBS`` members a round (strangers to the bucket's main component
+   first) meet all members of other components, until every bucket is one
+   component or all its members have been hubs.
 
 With 24 bands of 5 rows a pair at similarity 0.85 shares no bucket with a
 probability of about 1e-6.
@@ -48,9 +51,7 @@ from lurescan.llm.words import LOWER, PLACES, Words, in_doc, mix
 WIDTH = 5
 BINS, BANDS, ROWS = 120, 24, 5
 HUBS = 64
-#: Signature agreement below which a pair can be left out: at similarity 0.8 and
-#: 120 bins fewer than 66 agreeing bins has a probability under 1e-9.
-LEAST_AGREE = 66
+CLUSTER, CLUSTER_SHINGLES = 8192, 6_000_000
 SMALL_SET = 64  # densified bins repeat each other in smaller sets, so these are always confirmed
 _U = np.uint64
 
@@ -182,12 +183,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def least_agreement(percent: int) -> int:
+    """Agreeing bins that a pair at the limit has but for a chance of about 1e-8."""
+    p = percent / 100
+    return int(BINS * p - 5.5 * (BINS * p * (1 - p)) ** 0.5)
+
+
 def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs that sizes rule out, or signatures (see LEAST_AGREE)."""
+    """Drop pairs that sizes rule out, or signatures (see least_agreement)."""
     sa = signed.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     sb = signed.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     both = pairs.join(sb, "b").join(sa, "a").where(
         100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    least = least_agreement(percent)
 
     def check(batches):
         for batch in batches:
@@ -196,53 +204,97 @@ def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, BINS) for i in (3, 5))
             small = np.minimum(batch.column(2).to_numpy(), batch.column(4).to_numpy()) < SMALL_SET
-            good = small | ((x == y).sum(axis=1) >= LEAST_AGREE)
+            good = small | ((x == y).sum(axis=1) >= least)
             part = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
 
     return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(check, "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id and kept for every row of ``docs``."""
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), common.text_of(F.col(f"`{text_col}`")).alias("text"))
-    signed = common.materialise(common.map_texts(texts, _kernel, SIGNED), "op10-signed")
-    rows = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
+def join_cluster(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
+    """The component (smallest id) of each member of one cluster, on the full sets."""
+    n = len(ids)
+    size = np.array([len(x) for x in sets])
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    mark = np.zeros(word.max() + 1, np.int32)
+    comp, todo = np.arange(n), np.ones(n, bool)
+    while True:
+        main = np.bincount(comp, minlength=n).argmax()
+        left = np.flatnonzero(todo & (comp != main)) if n > 1 else ()
+        if not len(left):
+            break
+        hub = left[0]
+        todo[hub] = False
+        own = word[start[hub]:start[hub] + size[hub]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[word], start)
+        mark[own] = 0
+        linked = (100 * both >= percent * (size + size[hub] - both)) & (comp != comp[hub])
+        if linked.any():
+            merged = np.isin(comp, comp[linked]) | (comp == comp[hub])
+            comp[merged] = main if (comp[merged] == main).any() else comp[hub]
+    least: dict[int, int] = {}
+    for c, i in zip(comp.tolist(), ids):
+        least[c] = min(i, least.get(c, i))
+    return [least[c] for c in comp.tolist()]
+
+
+def in_clusters(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(id, cluster) of clusters that fit a task -> (id, component)."""
+    rows = texts.join(members, "id").select("cluster", "id", "text").dropDuplicates(["id"]).repartition("cluster")
+
+    def run(batches):
+        held: tuple[list, list] = ([], [])
+        last = None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(join_cluster(*held, percent), pa.int64())],
+                                              ["id", "component"])
 
-    # classes of equal sets: hot ones collapse before the shuffle
-    digest = ["d1", "d2", "n_shingles"]
-    classes = rows.groupBy(*digest).agg(F.min("id").alias("rep"))
-    member = common.materialise(rows.select("id", *digest).join(classes, digest).select("id", "rep").distinct(), "op10-member")
-    reps = common.materialise(
-        rows.join(member.where(F.col("id") == F.col("rep")).select("id"), "id", "left_semi")
-        .dropDuplicates(["id"]).select("id", "n_shingles", "sig", "keys"), "op10-reps")
-    signatures = reps.select("id", "n_shingles", "sig")
-    rep_texts = texts  # pairs name representatives only
-
-    entries = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    hubs = entries.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = common.materialise(entries.join(hubs.drop("n"), ["band", "key"]), "op10-buckets")
+        for batch in batches:
+            clusters, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            offsets, data = common.string_parts(batch.column(2))
+            for a, b in common.slices(offsets):
+                own = offsets[a:b + 1]
+                doc, h = shingles(own - own[0], data[own[0]:own[-1]])
+                order = np.argsort(doc, kind="stable")
+                cut = np.searchsorted(doc[order], np.arange(b - a + 1))
+                h = h[order]
+                for i in range(a, b):
+                    if held[0] and clusters[i] != last:
+                        yield done()
+                        held[0].clear(), held[1].clear()
+                    last = clusters[i]
+                    held[0].append(ids[i]), held[1].append(h[cut[i - a]:cut[i - a + 1]])
+        if held[0]:
+            yield done()
+
+    return rows.sortWithinPartitions("cluster", "id").mapInArrow(run, "id long, component long")
+
+
+def in_rounds(buckets: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(band, key, id, hub) of clusters of any size -> (id, component) of linked ids, by joins alone."""
 
     def confirmed(pairs, k):
         few = common.materialise(likely(pairs, signatures, percent), f"op10-likely{k}")
-        return common.materialise(confirm(few, rep_texts, percent), f"op10-links{k}")
+        return common.materialise(confirm(few, texts, percent), f"op10-links{k}")
 
     star = buckets.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(star, 0)
     label = connected(links)
     # the hub has met all members of its bucket, so it leaves
-    open_ = buckets.where(F.col("id") != F.col("hub")).select("band", "key", "id", F.col("hub").alias("first"))
+    open_ = buckets.where(F.col("id") != F.col("hub")).select("band", "key", "id")
     k = 0
     while True:
         k += 1
-        own = F.coalesce(F.col("component"), F.col("id"))
-        tagged = open_.join(label, "id", "left").withColumn("comp", own).drop("component")
+        tagged = open_.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         mixed = (tagged.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                                    F.min_by("comp", "id").alias("main"))
                  .where("lo < hi").select("band", "key", "main"))
         tagged = common.materialise(tagged.join(mixed, ["band", "key"]), f"op10-open{k}")
         if tagged.isEmpty():
-            break
+            return label
         order = Window.partitionBy("band", "key").orderBy((F.col("comp") == F.col("main")).cast("int"), "id")
         turn = tagged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= HUBS)
         turn = common.materialise(turn.select("band", "key", F.col("id").alias("h"), F.col("comp").alias("hcomp")), f"op10-hubs{k}")
@@ -253,11 +305,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             links = links.unionByName(more)
             label = connected(links)
         open_ = tagged.join(turn.select("band", "key", F.col("h").alias("id")), ["band", "key", "id"], "left_anti").select(
-            "band", "key", "id", "main").withColumnRenamed("main", "first")
+            "band", "key", "id")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """id, n_shingles, component_id and kept for every row of ``docs``."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), common.text_of(F.col(f"`{text_col}`")).alias("text"))
+    signed = common.materialise(common.map_texts(texts, _kernel, SIGNED), "op10-signed")
+    rows = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
+
+    # classes of equal sets: hot ones collapse before the shuffle
+    digest = ["d1", "d2", "n_shingles"]
+    classes = rows.groupBy(*digest).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    member = common.materialise(rows.select("id", *digest).join(classes, digest).select("id", "rep"), "op10-member")
+    others = member.where("id <> rep").select("id").distinct()
+    entries = rows.join(others, "id", "left_anti").select("id", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    hubs = entries.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").drop("far")
+    buckets = common.materialise(entries.join(hubs, ["band", "key"]).distinct(), "op10-buckets")
 
-    comp = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
+    star = buckets.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    cluster = common.materialise(connected(star).withColumnRenamed("component", "cluster")
+                                 .join(buckets.select("id", "n_shingles").distinct(), "id"), "op10-clusters")
+    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    large = sizes.where((F.col("n") > CLUSTER) | (F.col("s") > CLUSTER_SHINGLES)).select("cluster")
+    large = common.materialise(cluster.join(large, "cluster", "left_semi").select("id"), "op10-large")
+    if large.isEmpty():
+        label = in_clusters(cluster.select("id", "cluster"), texts, percent)
+    else:
+        label = in_clusters(cluster.select("id", "cluster").join(large, "id", "left_anti"), texts, percent).unionByName(
+            in_rounds(buckets.join(large, "id", "left_semi").select("band", "key", "id", "hub"),
+                      rows.join(large, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "sig"), texts, percent))
+    label = common.materialise(label, "op10-label")
+
+    comp = member.distinct().join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n_shingles").join(comp, "id", "left").withColumn(
+    alone = label.join(member.select("id"), "id", "left_anti")
+    out = signed.select("id", "n_shingles").join(comp.unionByName(alone), "id", "left").withColumn(
         "component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id",
                       (F.col("id").isNull() | (F.col("component_id") == F.col("id"))).alias("kept"))

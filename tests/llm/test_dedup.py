@@ -84,10 +84,12 @@ def test_minhash_odd(odd, empty, spark):
     assert got == [(0, None, True), (1, 1, True), (1, 1, True)]
 
 
-def test_minhash_loses_no_link_when_hubs_fail(spark):
+@pytest.mark.parametrize("cluster", [8192, 3])
+def test_minhash_loses_no_link_when_hubs_fail(spark, monkeypatch, cluster):
     """Families whose smallest member is linked to few others: stars alone would miss links."""
     import random
 
+    monkeypatch.setattr(minhash, "CLUSTER", cluster)  # over it: rounds of joins
     rng = random.Random(5)
     rows = []
     for fam in range(12):
@@ -103,6 +105,34 @@ def test_minhash_loses_no_link_when_hubs_fail(spark):
     assert got == brute.near(rows)
 
 
+def test_join_cluster_equals_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    for n in (1, 2, 30):
+        base = list(range(100))
+        sets = []
+        for _ in range(n):
+            own = base[:]
+            for _ in range(rng.randrange(0, 14)):
+                own[rng.randrange(100)] = rng.randrange(1000, 10**6)
+            sets.append(set(own))
+        ids = rng.sample(range(1000), n)
+        got = minhash.join_cluster(ids, [np.array(sorted(s), np.uint64) for s in sets], 85)
+        root = list(range(n))
+        for _ in range(n):
+            for a in range(n):
+                for b in range(n):
+                    if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+        least = {}
+        for r, i in zip(root, ids):
+            least[r] = min(i, least.get(r, i))
+        assert got == [least[r] for r in root]
+
+
 def test_densify_fills_every_bin():
     import numpy as np
 
