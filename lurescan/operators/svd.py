@@ -1,39 +1,94 @@
 """Uncentred truncated SVD of a long-form weight matrix.
 
-The fit is one distributed pass: MLlib's ``RowMatrix.computeGramianMatrix``
-(tree aggregation of X^T X, a d x d matrix with d = the capped vocabulary),
-then a local symmetric eigendecomposition of that bounded matrix (what
-``computeSVD`` does in its local mode; its distributed ARPACK mode would run
-one job per iteration);
-the projection X V is a broadcast join of the (term, component) loadings,
-which are bounded by vocabulary cap x k, followed by a sum per document and
-component.  Not PCA: no centring.
+Randomised subspace iteration (Halko, Martinsson and Tropp, 2011) on X^T X: a
+d x l matrix Q (d terms, l = k + ``OVERSAMPLE``) is multiplied by X^T X a few
+times.  A task forms its part of X^T (X Q) from its rows in numpy; the parts
+are summed in two levels, so the driver gets a few d x l matrices (bounded by
+vocabulary cap x l) and never a d x d one.  Its own algebra is a QR of d x l
+and an eigendecomposition of l x l.  Signs are fixed: the largest loading of
+each component, by absolute value, is positive.
+
+Documents without any vocabulary term are zero rows, as in any projection.
+Not PCA: no centring.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.mllib.linalg import Vectors as MLV
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lurescan.operators.joins import lookup_join
+from lurescan.session import scoped_cache
+
+OVERSAMPLE, ITERATIONS, FAN = 10, 6, 8
 
-def truncated_svd(weights: DataFrame, id_col: str, vocab: DataFrame, k: int) -> DataFrame:
-    """(id, component, value) for the top ``k`` right singular vectors."""
-    spark = weights.sparkSession
-    terms = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("j"))
+
+def matrix_rows(weights: DataFrame, ids: DataFrame, id_col: str, vocab: DataFrame) -> tuple[DataFrame, int]:
+    """((id, js, ws) for every row of ``ids``, number of terms); terms are numbered in order of name."""
+    terms = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("j"))  # the capped vocabulary
     d = terms.count()
-    # read twice (fit and projection); the nonzeros of a capped-vocabulary matrix
-    w = weights.join(F.broadcast(terms), "term").select(id_col, "j", "weight").cache()
-    rows = (w.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("e"))
-            .rdd.map(lambda r: MLV.sparse(d, [x["j"] for x in r["e"]], [x["weight"] for x in r["e"]])))
-    gram = RowMatrix(rows).computeGramianMatrix().toArray()  # d x d, bounded by the vocabulary cap
-    evals, evecs = np.linalg.eigh(gram)
-    order = np.argsort(evals)[::-1][:k]
-    v = evecs[:, order]  # right singular vectors; singular values are sqrt(evals[order])
-    load = spark.createDataFrame([(int(j), int(c), float(v[j, c])) for j in range(v.shape[0])
-                                  for c in range(v.shape[1])], "j long, component long, v double")
-    proj = (w.join(F.broadcast(load), "j")
-            .groupBy(id_col, "component").agg(F.sum(F.col("weight") * F.col("v")).alias("value")))
-    return proj.select(id_col, "component", F.round("value", 6).alias("value"))
+    w = lookup_join(weights, terms, "term", how="inner", max_rows=max(1, d))
+    entries = w.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("e"))
+    rows = ids.select(id_col).join(entries, id_col, "left").select(
+        id_col, F.coalesce(F.transform("e", lambda x: x["j"]), F.array().cast("array<int>")).alias("js"),
+        F.coalesce(F.transform("e", lambda x: x["weight"]), F.array().cast("array<double>")).alias("ws"))
+    return rows, d
+
+
+def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """X^T X Q, summed over tasks in two levels."""
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(q)
+    d, width = q.shape
+
+    def part(batches):
+        acc = np.zeros((d, width))
+        for batch in batches:
+            for js, ws in zip(batch["js"], batch["ws"]):
+                if len(js):
+                    acc[js] += ws[:, None] * (ws @ shared.value[js])[None, :]
+        yield pd.DataFrame({"g": [np.random.default_rng().integers(FAN)], "m": [acc.tobytes()]})
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(m) for m in frame["m"])
+        return pd.DataFrame({"g": [frame["g"].iloc[0]], "m": [total.tobytes()]})
+
+    parts = rows.select("js", "ws").mapInPandas(part, "g int, m binary").groupBy("g").applyInPandas(add, "g int, m binary")
+    out = np.zeros((d, width))
+    for r in parts.collect():  # at most FAN matrices of d x l
+        out += np.frombuffer(r["m"]).reshape(d, width)
+    shared.unpersist()
+    return out
+
+
+def loadings(rows: DataFrame, d: int, k: int, seed: int = 42) -> np.ndarray:
+    """d x k right singular vectors, signs fixed."""
+    width = min(d, k + OVERSAMPLE)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    for _ in range(ITERATIONS):
+        q = np.linalg.qr(gram_times(rows, q))[0]
+    small = q.T @ gram_times(rows, q)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    v = q @ vectors[:, np.argsort(values)[::-1][:min(k, width)]]
+    top = np.abs(v).argmax(axis=0)
+    return v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0)
+
+
+def truncated_svd(weights: DataFrame, ids: DataFrame, id_col: str, vocab: DataFrame, k: int) -> DataFrame:
+    """(id, component, value) of every row of ``ids`` for the top ``k`` right singular vectors."""
+    rows, d = matrix_rows(weights, ids, id_col, vocab)
+    rows = scoped_cache(rows)
+    v = loadings(rows, d, k)
+    shared = rows.sparkSession.sparkContext.broadcast(v)
+
+    def project(batches):
+        for batch in batches:
+            x = np.stack([w @ shared.value[j] if len(j) else np.zeros(shared.value.shape[1]) for j, w in zip(batch["js"], batch["ws"])]) \
+                if len(batch) else np.zeros((0, 1))
+            yield pd.DataFrame({id_col: batch[id_col], "x": list(np.round(x, 6))})
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    out = rows.mapInPandas(project, f"{id_col} {kind}, x array<double>")
+    return out.select(id_col, F.posexplode("x").alias("component", "value")).withColumn("component", F.col("component").cast("long"))

@@ -107,6 +107,50 @@ def tfidf(tc: DataFrame, idf: DataFrame, id_cols="doc_id", sublinear: bool = Fal
     return w.select(*ids, "term", (F.col("weight") / n2).alias("weight"))
 
 
+def ngrams(tokens: Column, n_min: int = 1, n_max: int = 2) -> Column:
+    """All runs of n_min to n_max tokens, joined by a space, within one row."""
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        return F.when(F.size(tokens) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[tokens if n == 1 else of(n) for n in range(n_min, n_max + 1)])
+
+
+class NgramTfidf:
+    """Vectoriser in long form: word n-grams without stop words, df bounds, a cap, sublinear tf, L2 norm.
+
+    ``fit`` takes the vocabulary and document frequencies from the given rows
+    only; ``transform`` drops every other n-gram.  ``stop_words`` is the
+    caller's list; tokens on it are removed before n-grams are built.
+    """
+
+    def __init__(self, n_min: int = 1, n_max: int = 2, min_df: int = 1, max_df: float | int | None = None,
+                 max_features: int | None = None, sublinear: bool = False, stop_words=()):
+        self.n_min, self.n_max, self.sublinear = n_min, n_max, sublinear
+        self.min_df, self.max_df, self.max_features = min_df, max_df, max_features
+        self.stop_words = sorted(set(stop_words))
+        self.idf: DataFrame | None = None
+
+    def counts(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        tok = sklearn_tokens(text_col)
+        if self.stop_words:
+            stop = F.array(*[F.lit(w) for w in self.stop_words])
+            tok = F.filter(tok, lambda t: ~F.array_contains(stop, t))
+        rows = df.select(id_col, tok.alias("_w"))
+        return term_counts(rows, id_col, ngrams(F.col("_w"), self.n_min, self.n_max))
+
+    def fit(self, df: DataFrame, id_col: str, text_col: str) -> NgramTfidf:
+        n = df.count()
+        tc = self.counts(df, id_col, text_col)
+        vocab = vocabulary_topk(tc, n, self.max_features, self.min_df, self.max_df)
+        self.idf = idf_table(tc, n, vocab)
+        return self
+
+    def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        return tfidf(self.counts(df, id_col, text_col), self.idf, id_col, sublinear=self.sublinear)
+
+
 def word_index(tokens_df: DataFrame, tokens: Column, num_words: int | None = None,
                oov: bool = False) -> DataFrame:
     """Keras-style word index (term, idx, count): rank by count, ties by term, from 1.
@@ -129,12 +173,14 @@ def word_index(tokens_df: DataFrame, tokens: Column, num_words: int | None = Non
 
 
 def texts_to_sequences(df: DataFrame, id_cols, tokens: Column, index: DataFrame,
-                       oov: bool = False) -> DataFrame:
-    """(ids..., seq): word ids in word order; unknown words dropped, or id 1 with ``oov``."""
+                       oov: bool = False, unknown: int | None = None) -> DataFrame:
+    """(ids..., seq): word ids in word order; unknown words dropped, or id 1 with ``oov``, or ``unknown``."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     ex = df.select(*ids, F.posexplode(tokens).alias("pos", "term"))
     j = lookup_join(ex, index.select("term", "idx"), "term", how="left")
-    idx = F.coalesce(F.col("idx"), F.lit(1).cast("long")) if oov else F.col("idx")
+    if oov:
+        unknown = 1
+    idx = F.col("idx") if unknown is None else F.coalesce(F.col("idx"), F.lit(unknown).cast("long"))
     j = j.select(*ids, "pos", idx.alias("idx")).where(F.col("idx").isNotNull())
     seqs = (j.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("_s"))
             .select(*ids, F.transform("_s", lambda s: s["idx"]).alias("seq")))

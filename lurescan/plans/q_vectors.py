@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurescan.functions import text as T
-from lurescan.functions.lexicon import KERAS_FILTERS
+from lurescan.functions.lexicon import KERAS_FILTERS, NLTK_STOPWORDS
 from lurescan.operators import splits as SP
 from lurescan.operators import vectorize as V
 from lurescan.operators.embeddings import embedding_matrix as _embedding_matrix
 from lurescan.operators.embeddings import word_vectors as _word_vectors
 from lurescan.operators.joins import lookup_join
+from lurescan.operators.models import featurize
 from lurescan.operators.svd import truncated_svd as _truncated_svd
 from lurescan.plans import sqlfrag as S
 from lurescan.plans.q_splits import h48_sql
@@ -165,13 +165,18 @@ def _sequences(spark, sf, oov):
 
 
 def texts_to_sequences(spark, sf):
-    """Word ids in word order: unknown words dropped (no OOV) and mapped to 1 (OOV) side by side."""
-    a = _sequences(spark, sf, False).withColumnRenamed("seq", "s_drop")
-    b = _sequences(spark, sf, True).withColumnRenamed("seq", "s_oov")
-    j = a.join(b, ["conv_id", "turn"])
-    return j.select("conv_id", "turn", _seq_str("s_drop").alias("seq_drop"),
-                    F.size("s_drop").cast("long").alias("n_drop"), _seq_str("s_oov").alias("seq_oov"),
-                    F.size("s_oov").cast("long").alias("n_oov"))
+    """Word ids in word order: unknown words dropped (no OOV) and mapped to 1 (OOV) side by side.
+
+    One index and one pass over the words give both: with an OOV token words
+    stand one later, and the last word of the index falls out.
+    """
+    c = _conv(spark, sf)
+    idx = V.word_index(c, V.keras_tokens("text"), num_words=1000, oov=False)
+    s = V.texts_to_sequences(c, ["conv_id", "turn"], V.keras_tokens("text"), idx, oov=False, unknown=0)
+    drop = F.filter("seq", lambda x: x > 0)
+    oov = F.transform("seq", lambda x: F.when((x == 0) | (x + 1 >= 1000), F.lit(1).cast("long")).otherwise(x + 1))
+    return s.select("conv_id", "turn", _seq_str(drop).alias("seq_drop"), F.size(drop).cast("long").alias("n_drop"),
+                    _seq_str(oov).alias("seq_oov"), F.size("seq").cast("long").alias("n_oov"))
 
 
 SQL_SEQ = FX.with_ctes(
@@ -263,27 +268,88 @@ register("standard_scale", sql=_sql_scale())(standard_scale)
 
 
 def assemble_features(spark, sf):
-    """Count vector (1000 terms) and hand-made features side by side in one vector (rows-only)."""
-    m = FX.m2(spark, sf)
-    feats = m.select("msg_id", "label", *T.message_features(F.col("text"), "email"),
-                     V.sklearn_tokens("text").alias("tokens"))
-    cv = CountVectorizer(inputCol="tokens", outputCol="bow", vocabSize=1000).fit(feats)
-    va = VectorAssembler(inputCols=["bow"] + T.FEATURE_BUNDLES["email"], outputCol="features")
-    out = va.transform(cv.transform(feats))
-    return out.select("msg_id", "label", vector_to_array("features").alias("features"))
+    """Counts over the 1000 most frequent terms (by count, term) and hand-made features side by side."""
+    m = FX.m2(spark, sf).select("msg_id", "label", "text")
+    feats, _ = featurize(m, "text", 1000, "email")
+    return feats.select("msg_id", "label", F.array_join(F.transform(
+        vector_to_array("features"), lambda x: F.round(x, 6).cast("string")), ",").alias("features"))
+
 
+def _sql_assemble():
+    made = [f"CAST({S.FEATURES[c]('text')} AS DOUBLE)" for c in T.FEATURE_BUNDLES["email"]]
+    return FX.with_ctes(
+        FX.SQL_M2,
+        "tc AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(" + SK_TOK_SQL + ") AS term FROM m2) x GROUP BY ALL)",
+        "v AS (SELECT term, row_number() OVER (ORDER BY sum(tf) DESC, term) AS j FROM tc GROUP BY term ORDER BY j LIMIT 1000)",
+        "b AS (SELECT m2.msg_id, list(CAST(coalesce(tc.tf, 0) AS DOUBLE) ORDER BY v.j) AS bow FROM m2 CROSS JOIN v "
+        "LEFT JOIN tc ON tc.msg_id = m2.msg_id AND tc.term = v.term GROUP BY m2.msg_id)") + (
+        "SELECT m2.msg_id, m2.label, array_to_string(list_transform(list_concat(b.bow, [" + ", ".join(made)
+        + "]), lambda x: CAST(round(x, 6) AS VARCHAR)), ',') AS features FROM m2 JOIN b ON m2.msg_id = b.msg_id")
 
-register("assemble_features")(assemble_features)
 
+register("assemble_features", sql=_sql_assemble())(assemble_features)
 
-def truncated_svd(spark, sf):
-    """Uncentred rank-20 SVD of the TF-IDF matrix (1000-term vocabulary); projected rows (rows-only)."""
+
+def truncated_svd(spark, sf, k: int = 100, vocab_size: int = 10_000):
+    """Uncentred rank-100 SVD of the TF-IDF matrix (10,000 terms); every document's row."""
     tc, d = _doc_tc(spark, sf)
     n = d.count()
-    vocab = V.vocabulary_topk(tc, n_docs=n, k=1000)
-    w = V.tfidf(lookup_join(tc, vocab.select("term"), "term", how="inner", max_rows=1000),
+    vocab = V.vocabulary_topk(tc, n_docs=n, k=vocab_size)
+    w = V.tfidf(lookup_join(tc, vocab.select("term"), "term", how="inner", max_rows=vocab_size),
                 V.idf_table(tc, n), "doc_id")
-    return _truncated_svd(w, "doc_id", vocab.select("term"), k=20)
+    return _truncated_svd(w, d, "doc_id", vocab.select("term"), k=k)
 
 
 register("truncated_svd")(truncated_svd)
+
+
+# ---------------------------------------------------------------- n-gram TF-IDF
+
+NGRAM_OPTIONS = {"n_max": 2, "min_df": 2, "max_df": 0.9, "max_features": 5000, "sublinear": True, "stop_words": NLTK_STOPWORDS}
+
+
+def _ngram_rows(spark, sf):
+    """Messages with ``is_test`` from the random split of the other train/test keys."""
+    return SP.split_random(FX.m2(spark, sf), "msg_id", 0.2, 42)
+
+
+def _tfidf_ngrams(spark, sf, **options):
+    sp = _ngram_rows(spark, sf)
+    model = V.NgramTfidf(**options).fit(sp.where(F.col("is_test") == 0), "msg_id", "text")
+    return model, sp
+
+
+def tfidf_ngrams(spark, sf):
+    """Unigrams and bigrams without stop words, df within [2, 0.9 n], top 5000, sublinear: the train rows."""
+    model, sp = _tfidf_ngrams(spark, sf, **NGRAM_OPTIONS)
+    out = model.transform(sp.where(F.col("is_test") == 0), "msg_id", "text")
+    return out.select("msg_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def tfidf_ngrams_unseen(spark, sf):
+    """The same vectoriser, fitted on the train rows and applied to the test rows."""
+    model, sp = _tfidf_ngrams(spark, sf, **NGRAM_OPTIONS)
+    out = model.transform(sp.where(F.col("is_test") == 1), "msg_id", "text")
+    return out.select("msg_id", "term", F.round("weight", 6).alias("weight"))
+
+
+
+
+def _sql_ngrams(test: bool):
+    stop = "[" + ", ".join(S.q(w) for w in sorted(NLTK_STOPWORDS)) + "]"
+    o = NGRAM_OPTIONS
+    return FX.with_ctes(
+        FX.SQL_M2, SQL_SPLIT_M2,
+        "tk AS (SELECT msg_id, is_test, list_filter(" + SK_TOK_SQL + f", lambda t: NOT list_contains({stop}, t)) AS t FROM sp)",
+        "ng AS (SELECT msg_id, is_test, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM tk)",
+        "tc AS (SELECT msg_id, is_test, term, count(*) AS tf FROM ng GROUP BY ALL)",
+        "nn AS (SELECT count(*) AS n FROM sp WHERE NOT is_test)",
+        "v AS (SELECT term, count(*) AS df FROM tc WHERE NOT is_test GROUP BY term "
+        f"HAVING count(*) >= {o['min_df']} AND count(*) <= {o['max_df']} * (SELECT n FROM nn) ORDER BY sum(tf) DESC, term LIMIT {o['max_features']})",
+        "w AS (SELECT tc.msg_id, tc.term, (1.0 + ln(tc.tf)) * (ln((1.0 + nn.n) / (1.0 + v.df)) + 1.0) AS w "
+        f"FROM tc JOIN v ON tc.term = v.term CROSS JOIN nn WHERE {'' if test else 'NOT '}tc.is_test)") + (
+        "SELECT msg_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 6) AS weight FROM w")
+
+
+register("tfidf_ngrams", sql=_sql_ngrams(False))(tfidf_ngrams)
+register("tfidf_ngrams_unseen", sql=_sql_ngrams(True))(tfidf_ngrams_unseen)

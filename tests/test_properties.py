@@ -140,9 +140,13 @@ def test_soft_vote_probabilities_sum_to_one(spark):
         [(i, i % 2, [float(i % 3), float(i % 5), 1.0]) for i in range(40)], "msg_id long, label int, f array<double>")
     from pyspark.ml.functions import array_to_vector
     df = df.select("msg_id", "label", array_to_vector("f").alias("features"))
-    models = [MD.estimator(n).fit(df) for n in ("nb", "logreg", "forest")]
-    out = MD.soft_vote(models, df).collect()
-    assert all(abs(sum(r["proba"]) - 1.0) < 1e-9 for r in out)
+    frames = [MD.prediction_frame(MD.estimator(n, n_rows=40).fit(df), df) for n in ("nb", "logreg", "forest")]
+    out = MD.vote_frames(frames).collect()
+    assert len(out) == 40 and all(abs(sum(r["proba"]) - 1.0) < 1e-9 for r in out)
+    singles = [{r["msg_id"]: r["proba"] for r in f.collect()} for f in frames]
+    for r in out:
+        assert r["proba"] == pytest.approx([sum(s[r["msg_id"]][c] for s in singles) / 3 for c in (0, 1)])
+        assert r["pred"] == int(r["proba"][1] > r["proba"][0])
 
 
 BUILTIN_ONLY = ["message_features", "clean_email_table", "tfidf", "ngrams", "split_stratified",
