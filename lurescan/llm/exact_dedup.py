@@ -31,6 +31,8 @@ Cases
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,29 +68,41 @@ def first_of() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("locator"))
 
 
+@contextmanager
+def rocks(spark: SparkSession):
+    """State in RocksDB, without disk space set aside ahead (many small stores), while the block runs."""
+    wanted = {PROVIDER: ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def run_stream(spark: SparkSession, source: str, schema, checkpoint: str, max_files: int = 1000) -> None:
     """Feed all files under ``source`` that this checkpoint has not seen into its state."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
+    with rocks(spark):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
         state = stream.groupBy("digest").agg(F.min(first_of()).alias("first"), F.count(F.lit(1)).alias("n"))
         query = (state.writeStream.outputMode("update").format("noop")
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The stream's state as a table: digest, first (id and locator), n."""
-    state = spark.read.format("statestore").load(checkpoint)
-    value = state.schema["value"].dataType.names
-    return state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`").alias("first"),
-                        F.col(f"value.`{value[1]}`").alias("n"))
+    """The stream's state as a table, written out: digest, first (id and locator), n."""
+    with rocks(spark):
+        state = spark.read.format("statestore").load(checkpoint)
+        value = state.schema["value"].dataType.names
+        return common.materialise(state.select(
+            F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`").alias("first"),
+            F.col(f"value.`{value[1]}`").alias("n")), "op1-groups")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
@@ -101,7 +115,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
                              F.lit(True).alias("kept"), "locator")
     checkpoint = scratch_dir(spark, "op1-state")
     run_stream(spark, source[0].rsplit("/", 1)[0], prints.schema, checkpoint)
-    groups = common.materialise(read_state(spark, checkpoint), "op1-groups")
+    groups = read_state(spark, checkpoint)
 
     several = groups.where("n > 1")
     bad = differing(docs, id_col, text_col, digest, several)
