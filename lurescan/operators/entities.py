@@ -31,6 +31,8 @@ PATTERNS = {
     "EMAIL": "[^ \\t\\n\\r\\f]+@[^ \\t\\n\\r\\f]+",
     "PHONE": "\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}",
 }
+# the same e-mail matches, tried only where a run of non-spaces begins: linear on long runs without '@'
+LINEAR_EMAIL = "(?<![^ \\t\\n\\r\\f])" + PATTERNS["EMAIL"]
 NAME_KINDS = ("PERSON", "ORG", "GPE")
 EMAIL_KINDS = ("PERSON", "ORG", "MONEY", "DATE", "GPE", "CARDINAL", "PERCENT", "QUANTITY")
 SMS_KINDS = EMAIL_KINDS + ("TIME", "URL", "EMAIL", "PHONE")
@@ -60,7 +62,7 @@ def entity_counts(df: DataFrame, gaz: DataFrame, kinds=SMS_KINDS, id_col: str =
     base = df.select(
         id_col,
         *extra,
-        *[F.regexp_count(F.col(text_col), F.lit(PATTERNS[k])).cast("long").alias(k) for k in pattern_kinds],
+        *[F.regexp_count(F.col(text_col), F.lit(LINEAR_EMAIL if k == "EMAIL" else PATTERNS[k])).cast("long").alias(k) for k in pattern_kinds],
         F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0).alias("_tok"),
     )
     if not name_kinds:

@@ -1,51 +1,75 @@
-"""Exact k nearest neighbours by blocked top-k.
+"""Exact k nearest neighbours with pivot cells.
 
-Queries are hashed into Q blocks and references into R blocks of at most
-``block_rows`` rows.  Every query row is sent to the R block pairs (qb, *)
-and every reference row to the Q pairs (*, rb); the pairs meet through an
-equi-key ``cogroup`` (no cross join), and each (qb, rb) task computes the
-distance block in numpy and emits only its k best references per query.
-A window per query then keeps the k best of its R x k candidates.  Memory
-per task is bounded by block_rows^2; nothing travels through the driver.
+A few reference rows are pivots; every reference belongs to the cell of its
+nearest pivot, within its group.  A query first meets the cells nearest to it
+that hold k references; the k-th distance found there bounds the rest: by the
+triangle inequality a cell whose ring around its pivot cannot hold anything
+nearer is skipped.  So a query travels to the cells that may matter, not to
+every block of references (how many that are depends on the data: few in
+clustered or low-dimensional data, up to all of them where distances hardly
+differ).
 
-Ties are broken by the neighbour id, so results are deterministic.
+Cells and queries meet through an equi-key ``cogroup`` in blocks of at most
+``lurescan.knn.blockRows`` rows a side, so a large cell is spread over tasks;
+each task emits its k best per query, and a window per query merges them.
+Cosine distances are searched on unit vectors (chord length is a metric); the
+distance reported is the usual one.  The driver holds the pivots and one row
+per group and cell.
+
+Ties are broken by the neighbour id, so results are deterministic.  A zero
+vector is at cosine distance 1 from everything.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurescan.operators.joins import lookup_join
+from lurescan.session import ensure_checkpoint_dir
 
 OUT_SCHEMA = "qid long, nid long, dist double"
 DEFAULT_BLOCK_ROWS = 2048
+MAX_PIVOTS = 512
+SLACK = 1e-9
+
+
+def _search_form(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors in which the metric is a chord: unit vectors for cosine, zero vectors on an axis of their own."""
+    if metric != "cosine":
+        return x
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    unit = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+    return np.concatenate([unit, (norm == 0).astype(float)[:, None]], axis=1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances by differences, a few rows at a time."""
+    d = np.empty((len(x), len(y)))
+    step = max(1, (1 << 22) // max(1, y.size))
+    for i in range(0, len(x), step):
+        diff = y[None, :, :] - x[i:i + step, None, :]
+        d[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return d
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
 
 
 def _block_topk(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str, exclude_self: bool) -> pd.DataFrame:
     if left.empty or right.empty:
         return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
                              "dist": pd.Series([], dtype="float64")})
-    qm = np.stack(left["qv"].to_numpy()).astype(np.float64)
-    rm = np.stack(right["nv"].to_numpy()).astype(np.float64)
+    qm, rm = _stack(left["qv"]), _stack(right["nv"])
     qid = left["qid"].to_numpy(dtype=np.int64)
     nid = right["nid"].to_numpy(dtype=np.int64)
     if metric == "cosine":
-        qn = np.sqrt(np.einsum("ij,ij->i", qm, qm))
-        rn = np.sqrt(np.einsum("ij,ij->i", rm, rm))
-        norm = qn[:, None] * rn[None, :]
-        # a zero vector is at distance 1 from everything
+        norm = np.sqrt(np.einsum("ij,ij->i", qm, qm))[:, None] * np.sqrt(np.einsum("ij,ij->i", rm, rm))[None, :]
         d = 1.0 - np.divide(qm @ rm.T, norm, out=np.zeros_like(norm), where=norm > 0)
     else:
-        d = np.empty((len(qm), len(rm)))
-        step = max(1, (1 << 22) // max(1, rm.size))  # a few query rows at once, by exact differences
-        for i in range(0, len(qm), step):
-            diff = rm[None, :, :] - qm[i:i + step, None, :]
-            d[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        d = _distances(qm, rm)
     if exclude_self:
         d[qid[:, None] == nid[None, :]] = np.inf
     kk = min(k, len(nid))
@@ -55,6 +79,32 @@ def _block_topk(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str, ex
     return out[np.isfinite(out["dist"])]
 
 
+class _Cells:
+    """Pivots and, for each group, its cells: number of references, least and greatest distance to the pivot."""
+
+    def __init__(self, pivots: np.ndarray, stats: list, block_rows: int):
+        self.pivots, self.block_rows = pivots, block_rows
+        self.of: dict = {}
+        for g in {s["g"] for s in stats}:
+            own = sorted((s for s in stats if s["g"] == g), key=lambda s: s["cell"])
+            self.of[g] = tuple(np.array([s[c] for s in own]) for c in ("cell", "n", "lo", "hi"))
+
+    def blocks(self, n: np.ndarray) -> np.ndarray:
+        return np.maximum(1, -(-n // self.block_rows))
+
+    def visits(self, g, at: np.ndarray, k: int, bound: float | None) -> np.ndarray:
+        """Positions of the cells to visit: the nearest that hold k references, or (with a bound) the others in reach."""
+        cell, n, lo, hi = self.of[g]
+        d = at[cell]
+        order = np.argsort(d, kind="stable")
+        first = order[:int(np.searchsorted(np.cumsum(n[order]), k, "left")) + 1]
+        if bound is None:
+            return first
+        rest = np.setdiff1d(np.arange(len(cell)), first)
+        least = np.maximum(np.maximum(d[rest] - hi[rest], lo[rest] - d[rest]), 0)
+        return rest[least <= bound + SLACK * (1 + d[rest])]
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
         metric: str = "cosine", group_col: str | None = None, exclude_self: bool = True,
         block_rows: int | None = None) -> DataFrame:
@@ -64,35 +114,84 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec
     same class for SMOTE); ``metric`` is ``cosine`` or ``euclidean``.
     """
     spark = queries.sparkSession
+    ensure_checkpoint_dir(spark)
     b = block_rows or int(spark.conf.get("lurescan.knn.blockRows", str(DEFAULT_BLOCK_ROWS)))
-    # every side gets its own aliased group column (a constant when ungrouped), so the
-    # two sides of the cogroup never share attribute ids even when they are the same frame
-    grp = (lambda df: F.col(group_col)) if group_col else (lambda df: F.lit(0))
-    q = queries.select(grp(queries).alias("_g"), F.col(id_col).cast("long").alias("qid"),
-                       F.col(vec_col).cast("array<double>").alias("qv"))
-    r = refs.select(grp(refs).alias("_g"), F.col(id_col).cast("long").alias("nid"),
-                    F.col(vec_col).cast("array<double>").alias("nv"))
-    # block counts per group: a small group gets few blocks, a big one many
-    if group_col:
-        nq = q.groupBy("_g").agg(F.count(F.lit(1)).alias("_nq"))
-        nr = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_nr"))
-        sizes = nq.join(nr, "_g").select(
-            "_g", F.greatest(F.ceil(F.col("_nq") / b), F.lit(1)).cast("long").alias("nqb"),
-            F.greatest(F.ceil(F.col("_nr") / b), F.lit(1)).cast("long").alias("nrb"))
-        q = lookup_join(q, sizes, "_g", how="inner")
-        r = lookup_join(r, sizes, "_g", how="inner")
-    else:  # one group: two counts, as literals
-        blocks = {n: F.lit(max(1, -(-df.count() // b))).cast("long") for n, df in (("nqb", q), ("nrb", r))}
-        q, r = q.withColumns(blocks), r.withColumns(blocks)
-    q = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")))
-         .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nrb") - 1)))
-         .select(F.col("_g").alias("g"), "qid", "qv", "qb", "rb"))
-    r = (r.withColumn("rb", F.pmod(F.xxhash64("nid"), F.col("nrb")))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nqb") - 1)))
-         .select(F.col("_g").alias("g"), "nid", "nv", "qb", "rb"))
-    keys = ["g", "qb", "rb"]
-    fn = partial(_block_topk, k=k, metric=metric, exclude_self=exclude_self)
-    cand = (q.groupBy(*keys).cogroup(r.groupBy(*keys))
-            .applyInPandas(lambda lft, rgt: fn(lft, rgt), schema=OUT_SCHEMA))
-    w = Window.partitionBy("qid").orderBy("dist", "nid")  # at most nrb * k rows per query
-    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    grp = (lambda df: F.col(group_col).cast("string")) if group_col else (lambda df: F.lit("all"))
+    q = queries.select(grp(queries).alias("g"), F.col(id_col).cast("long").alias("qid"),
+                       F.col(vec_col).cast("array<double>").alias("qv")).where("g is not null")
+    r = refs.select(grp(refs).alias("g"), F.col(id_col).cast("long").alias("nid"),
+                    F.col(vec_col).cast("array<double>").alias("nv")).where("g is not null")
+
+    # pivots: a bounded sample of references by hash
+    n_pivots = max(1, min(MAX_PIVOTS, r.count() // max(1, b // 4)))
+    chosen = r.orderBy(F.xxhash64("nid"), "nid").limit(n_pivots).collect()
+    if not chosen:
+        return spark.createDataFrame([], OUT_SCHEMA + ", rank long")
+    pivots = _search_form(np.array([p["nv"] for p in chosen], np.float64), metric)
+
+    def to_pivots(column) -> np.ndarray:
+        return _distances(_search_form(_stack(column), metric), pivots)
+
+    def place(batches):
+        for f in batches:
+            if len(f):
+                d = to_pivots(f["nv"])
+                f["cell"] = d.argmin(axis=1).astype("int32")
+                f["dist"] = d.min(axis=1)
+                yield f[["g", "nid", "nv", "cell", "dist"]]
+
+    placed = r.mapInPandas(place, "g string, nid long, nv array<double>, cell int, dist double").checkpoint(eager=True)
+    stats = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()
+    cells = _Cells(pivots, stats, b)
+    need = k + int(exclude_self)
+
+    def visit(bounded: bool):
+        def run(batches):
+            for f in batches:
+                if not len(f):
+                    continue
+                at = to_pivots(f["qv"])
+                rows = []
+                for i, g in enumerate(f["g"]):
+                    if g not in cells.of:
+                        continue
+                    bound = None
+                    if bounded:
+                        tau = f["tau"].iloc[i]
+                        bound = np.inf if np.isnan(tau) else (np.sqrt(2 * max(tau, 0.0)) if metric == "cosine" else tau)
+                    cell, n = cells.of[g][0], cells.blocks(cells.of[g][1])
+                    for j in cells.visits(g, at[i], need, bound):
+                        rows += [(i, int(cell[j]), rb) for rb in range(int(n[j]))]
+                if rows:
+                    i, cell, rb = map(np.array, zip(*rows))
+                    yield pd.DataFrame({"g": f["g"].to_numpy()[i], "cell": cell.astype("int32"), "rb": rb.astype("int32"),
+                                        "qid": f["qid"].to_numpy()[i], "qv": f["qv"].to_numpy()[i]})
+        return run
+
+    keys = ["g", "cell", "rb", "qb"]
+    blocks = {(s["g"], s["cell"]): int(cells.blocks(np.array([s["n"]]))[0]) for s in stats}
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """Queries at cells -> the k best references of each block."""
+        asked = asked.checkpoint(eager=True)
+        load = {(s["g"], s["cell"]): max(1, -(-s["n"] // b)) for s in
+                asked.where("rb = 0").groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
+        table = spark.createDataFrame([(g, c, blocks[g, c], n) for (g, c), n in load.items()] or [],
+                                      "g string, cell int, nrb int, nqb int")
+        left = asked.join(F.broadcast(table), ["g", "cell"]).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
+        right = (placed.select("g", "cell", "nid", "nv").join(F.broadcast(table), ["g", "cell"])
+                 .withColumn("rb", F.pmod(F.xxhash64("nid"), F.col("nrb")).cast("int"))
+                 .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1))))
+        return (left.select(*keys, "qid", "qv").groupBy(*keys).cogroup(right.select(*keys, "nid", "nv").groupBy(*keys))
+                .applyInPandas(lambda x, y: _block_topk(x, y, k, metric, exclude_self), schema=OUT_SCHEMA))
+
+    best = Window.partitionBy("qid").orderBy("dist", "nid")
+
+    def topk(cand: DataFrame) -> DataFrame:
+        return cand.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+    first = topk(meet(q.mapInPandas(visit(False), "g string, cell int, rb int, qid long, qv array<double>"))).drop("rank").checkpoint(eager=True)
+    tau = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("tau"))
+    more = q.join(tau, "qid", "left").select("g", "qid", "qv", "tau")
+    second = meet(more.mapInPandas(visit(True), "g string, cell int, rb int, qid long, qv array<double>"))
+    return topk(first.unionByName(second))

@@ -160,3 +160,30 @@ def test_scored_table_is_whole(spark):
 
     out = E.queries()["score_messages"](spark, SF_SMALL)
     assert out.count() == 200 and {"body", "lang", "source", "prediction"} <= set(out.columns)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("grouped", [False, True])
+def test_knn_with_many_cells_is_exact(spark, metric, grouped):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(0, 5, (12, 4))
+    x = centre[rng.integers(0, 12, 400)] + rng.normal(0, 0.4, (400, 4))
+    x[[5, 50]] = 0
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, i % 3, [float(v) for v in x[i]]) for i in range(400)], "vec_id long, g int, embedding array<double>")
+    got: dict = {}
+    out = neighbors.knn(df, df, 4, metric=metric, group_col="g" if grouped else None, block_rows=16)
+    for r in out.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.nid, r.dist))
+    norm = np.sqrt((x * x).sum(1))
+    for q in range(400):
+        if metric == "cosine":
+            nn = norm * norm[q]
+            d = 1 - np.divide(x @ x[q], nn, out=np.zeros(400), where=nn > 0)
+        else:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        if grouped:
+            d[np.arange(400) % 3 != q % 3] = np.inf
+        assert np.allclose([v for _, v in got[q]], np.sort(d)[:4], atol=1e-9)
+        assert all(np.isclose(d[n], v) for n, v in got[q])
