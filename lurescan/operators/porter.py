@@ -60,6 +60,7 @@ def _rule_list(w: str, rules, min_m: int):
     return w
 
 
+# The suffix rules of the paper, steps 2 to 4
 STEP2 = sorted([
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
     ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),

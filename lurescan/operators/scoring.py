@@ -2,9 +2,9 @@
 
 A message is cut into token chunks, every chunk gets a class id from a
 pluggable scorer (a Column expression over the chunk text), and the message
-is flagged when any chunk's class is non-zero.  Chunks are exploded, scored
-inside the row, and regrouped by message with a max (partial aggregation);
-a message without chunks gets 0.
+is flagged when any chunk's class is non-zero.  All of it happens inside the
+row (an ``array_max`` over the chunks' classes): nothing is exploded or
+shuffled.  A message without chunks gets 0.
 """
 
 from __future__ import annotations

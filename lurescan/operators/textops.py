@@ -8,6 +8,7 @@ pandas UDF with a per-process memo (each distinct word once per worker).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +61,15 @@ def lemmatize(tokens) -> Column:
 
 @F.pandas_udf(TY.ArrayType(TY.StringType()))
 def _stem_arrays(s: pd.Series) -> pd.Series:
+    """Distinct words of a batch are stemmed once and taken back to their places."""
     from lurescan.operators.porter import stem
 
-    return s.map(lambda arr: None if arr is None else [stem(w) for w in arr])
+    size = s.map(lambda a: 0 if a is None else len(a)).to_numpy()
+    words = [w for a in s if a is not None for w in a]
+    code, distinct = pd.factorize(pd.Series(words, dtype=object), use_na_sentinel=True)
+    stems = np.array([stem(w) for w in distinct] + [None], dtype=object)[code]
+    ends = size.cumsum()
+    return pd.Series([None if a is None else stems[e - n:e] for a, n, e in zip(s, size, ends)], index=s.index)
 
 
 def stem(tokens) -> Column:

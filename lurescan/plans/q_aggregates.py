@@ -55,10 +55,10 @@ register("class_weights", sql=FX.with_ctes(FX.SQL_M3) + (
     "(SELECT count(*) AS total FROM m3) t, (SELECT count(DISTINCT label) AS k FROM m3) kk"))(class_weights)
 
 
-def latest_messages(spark, sf, n: int = 10):
-    """Newest ``n`` events by time (ties by id): a distributed take-ordered, not a full sort."""
+def latest_messages(spark, sf, n: int | None = 10):
+    """Newest ``n`` events by time (ties by id): a distributed take-ordered, not a full sort; None: all events."""
     e = table(spark, sf, "events")
-    top = e.orderBy(F.desc("ts"), F.asc("event_id")).limit(n)
+    top = e if n is None else e.orderBy(F.desc("ts"), F.asc("event_id")).limit(n)
     return top.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "user_id",
                       "event_type")
 
@@ -66,6 +66,9 @@ def latest_messages(spark, sf, n: int = 10):
 register("latest_messages", sql=(
     "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type FROM events "
     "ORDER BY ts DESC, event_id LIMIT 10"))(latest_messages)
+register("latest_messages_all", sql=(
+    "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type FROM events"))(
+    lambda spark, sf: latest_messages(spark, sf, None))
 
 
 def union_sources(spark, sf):
