@@ -47,11 +47,12 @@ PATTERNS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9A-Za-z])",
+    "local_phone": r"(?<![0-9A-Za-z+)-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
     "dmy": r"(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
@@ -252,6 +253,7 @@ def replace_one(x: Column, key: str, inverse: bool = False) -> Column:
         "secret": (x.rlike("[0-9]") & x.rlike("[A-Fa-f]"), _secret(x, key, inverse)),
         "iban": (_valid_iban(x), _iban(x, key, inverse)),
         "phone": (F.length(ds).between(8, 15), _phone(x, key, inverse)),
+        "local_phone": (F.length(ds) == 10, put_digits(x, feistel(ds, key, F.lit("local_phone"), inverse))),
         "ssn": (_valid_ssn(ds), put_digits(x, walk(ds, _valid_ssn, key, F.lit("ssn"), inverse))),
         "address": (octets, _address(x, key, inverse)),
         "date": (_valid_day(x, "yyyy-MM-dd"), _day(x, "yyyy-MM-dd", key, inverse)),

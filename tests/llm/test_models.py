@@ -102,6 +102,7 @@ def test_scores_odd(spark, odd, empty):
 PRIVATE = [
     (1, "mail a.b7@x.example.com, card 9807915762804490 x +1 (017) 555-7713 ip 97.51.17.173 on 2021-02-28 or 28/02/2021."),
     (2, None), (3, ""), (4, 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" DE89370400440532013000 123-45-6789'),
+    (7, "call (415) 555-2671 or 415-555-2671, amex 3782 822463 10005"),
     (5, "again 97.51.17.173 9807915762804490 2021-02-28 4111 1111 1111 1111 A.B@c.org"),
     (6, "not: 300.1.2.3 2021-02-30 31/02/2020 version 3.0 DE00370400440532013000 in 1999, 000-12-3456, " + "y" * 50_000),
 ]
@@ -115,9 +116,11 @@ def test_pseudonyms(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].kinds == ["email", "card", "phone", "address", "date", "dmy"]
     assert got[4].kinds == ["secret", "iban", "ssn"] and got[5].kinds == ["address", "card", "date", "card", "email"]
-    assert got[2].text is None and got[3].text == "" and got[6].text == PRIVATE[5][1] and got[6].kinds == []
+    assert got[7].kinds == ["local_phone", "local_phone", "card"]
+    assert re.findall(r"\d", got[7].text)[:10] == re.findall(r"\d", got[7].text)[10:20]
+    assert got[2].text is None and got[3].text == "" and got[6].text == PRIVATE[6][1] and got[6].kinds == []
     shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))
-    for i, t in (PRIVATE[0], PRIVATE[4]):
+    for i, t in (PRIVATE[0], PRIVATE[4], PRIVATE[5]):
         own = re.sub(r"\d+\.\d+\.\d+\.\d+", "", got[i].text)
         assert shape(own) == shape(re.sub(r"\d+\.\d+\.\d+\.\d+", "", t)) and own != t
     assert len(got[4].text) == len(PRIVATE[3][1])
