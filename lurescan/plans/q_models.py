@@ -8,6 +8,8 @@ term), so they do not depend on how the table is partitioned.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, IDF, VectorAssembler
@@ -220,7 +222,7 @@ TREE_GRID = {"maxDepth": [5, 10, 30], "minInstancesPerNode": [1, 2, 4]}
 FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10, 20], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
 
 
-def grid_search(spark, sf, values=TREE_GRID, metric: str = "f1_macro"):
+def grid_search_tree(spark, sf, values=TREE_GRID, metric: str = "f1_macro"):
     """Exhaustive grid over a tree's settings, 5-fold (fold column)."""
     train, test, names, k, n = prepared(spark, sf)
     est = MD.estimator("tree", len(names), k, n_rows=n)
@@ -228,10 +230,10 @@ def grid_search(spark, sf, values=TREE_GRID, metric: str = "f1_macro"):
     return _out(MD.prediction_frame(cv.bestModel, test))
 
 
-register("grid_search")(grid_search)
+register("grid_search_tree")(grid_search_tree)
 
 
-def random_search(spark, sf, values=FOREST_GRID, n_iter: int = 10, metric: str = "accuracy"):
+def random_search_forest(spark, sf, values=FOREST_GRID, n_iter: int = 10, metric: str = "accuracy"):
     """Sampled points of a forest grid, 4-fold."""
     train, test, names, k, n = prepared(spark, sf, k=4)
     est = MD.estimator("forest", len(names), k, n_rows=n)
@@ -239,23 +241,137 @@ def random_search(spark, sf, values=FOREST_GRID, n_iter: int = 10, metric: str =
     return _out(MD.prediction_frame(cv.bestModel, test))
 
 
-register("random_search")(random_search)
+register("random_search_forest")(random_search_forest)
 
 
-def cross_val_scores(spark, sf):
+def cross_val_forest(spark, sf):
     train, _, names, k, n = prepared(spark, sf)
     return MD.cross_val_scores(MD.estimator("forest", len(names), k, n_rows=n), train)
 
 
-register("cross_val_scores")(cross_val_scores)
+register("cross_val_forest")(cross_val_forest)
+
+# searches whose every number SQL can follow: naive Bayes over its smoothing, vectoriser inside the folds
+ALPHAS = (0.1, 0.5, 1.0, 2.0, 5.0)
+FOLDS = 5
+
+
+def nb_folds(sp, alphas, k: int = FOLDS):
+    """(fold, alpha, msg_id, label, pred): out-of-fold predictions, the vocabulary refitted without each fold."""
+    train = sp.where(F.col("is_test") == 0).drop("is_test")
+    fold = SP.kfold_stratified(train.select("msg_id", "label"), "msg_id", "label", k=k, seed=42).select("msg_id", "fold")
+    train = scoped_cache(train.join(fold, "msg_id"))
+    out = None
+    for f in range(k):
+        rest = train.where(F.col("fold") != f)
+        feats, _ = MD.featurize(train, "text", VOCAB, None, fit_on=rest)
+        feats = scoped_cache(feats)
+        for a in alphas:
+            model = MD.estimator("nb").setSmoothing(a).fit(feats.where(F.col("fold") != f))
+            pred = MD.prediction_frame(model, feats.where(F.col("fold") == f)).select(
+                F.lit(f).alias("fold"), F.lit(float(a)).alias("alpha"), "msg_id", "label", "pred")
+            out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+def fold_scores(pred):
+    """(fold, alpha, accuracy, f1_macro) from one aggregation by class."""
+    hit = (F.col("label") == F.col("pred")).cast("long")
+    both = pred.select("fold", "alpha", F.explode(F.array(
+        F.struct(F.col("label").cast("int").alias("cls"), hit.alias("tp"), F.lit(1).alias("y"), F.lit(0).alias("p")),
+        F.struct(F.col("pred").cast("int").alias("cls"), F.lit(0).cast("long").alias("tp"), F.lit(0).alias("y"), F.lit(1).alias("p")))).alias("c"))
+    by = both.groupBy("fold", "alpha", "c.cls").agg(F.sum("c.tp").alias("tp"), F.sum("c.y").alias("y"), F.sum("c.p").alias("p"))
+    return by.groupBy("fold", "alpha").agg((F.sum("tp") / F.sum("y")).alias("accuracy"),
+                                           F.avg(2 * F.col("tp") / (F.col("y") + F.col("p"))).alias("f1_macro"))
+
+
+def cross_val_scores(spark, sf):
+    """Accuracy and macro F1 of naive Bayes (alpha 1) on each of five folds."""
+    s = fold_scores(nb_folds(split_texts(spark, sf), [1.0]))
+    return s.select("fold", F.round("accuracy", 9).alias("accuracy"), F.round("f1_macro", 9).alias("f1_macro"))
 
 
 def mean_scores(spark, sf):
-    return cross_val_scores(spark, sf).agg(F.avg("accuracy").alias("mean_accuracy"),
-                                           F.avg("f1_macro").alias("mean_f1_macro"))
+    """Means over the folds."""
+    s = fold_scores(nb_folds(split_texts(spark, sf), [1.0]))
+    return s.agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy"), F.round(F.avg("f1_macro"), 9).alias("mean_f1_macro"))
+
+
+def nb_search(spark, sf, alphas, metric: str):
+    """The smoothing with the best mean fold score (ties: the smaller), refitted on all train rows; test predictions."""
+    sp = scoped_cache(split_texts(spark, sf))
+    mean = fold_scores(nb_folds(sp, alphas)).groupBy("alpha").agg(F.round(F.avg(metric), 9).alias("s"))
+    best = mean.orderBy(F.desc("s"), "alpha").first()["alpha"]  # one row a point
+    feats, _ = MD.featurize(sp, "text", VOCAB, None, fit_on=sp.where(F.col("is_test") == 0))
+    model = MD.estimator("nb").setSmoothing(best).fit(feats.where(F.col("is_test") == 0))
+    pred = MD.prediction_frame(model, feats.where(F.col("is_test") == 1))
+    return pred.select("msg_id", "label", "pred", F.lit(best).alias("alpha"))
+
 
+def grid_search(spark, sf, alphas=ALPHAS, metric: str = "f1_macro"):
+    """Every smoothing of the grid, 5-fold, macro F1."""
+    return nb_search(spark, sf, alphas, metric)
 
-register("mean_scores")(mean_scores)
+
+def sampled(alphas, n_iter: int, seed: int = 42) -> list[float]:
+    return random.Random(seed).sample(list(alphas), min(n_iter, len(alphas)))
+
+
+def random_search(spark, sf, alphas=ALPHAS, n_iter: int = 3, metric: str = "accuracy"):
+    """A seeded sample of the grid, 5-fold, accuracy."""
+    return nb_search(spark, sf, sampled(alphas, n_iter), metric)
+
+
+def _sql_nb_cv(alphas) -> list[str]:
+    """CTEs: fs(fold, alpha, accuracy, f1_macro) of the searches above; fold -1 stands for all train rows."""
+    from lurescan.plans.q_splits import h48_sql, sql_quotas
+    points = ", ".join(f"({float(a)!r})" for a in alphas)
+    return [
+        FX.SQL_M2, sql_quotas("m2", 0.25),
+        "sp AS (SELECT m.msg_id, m.text, m.label, row_number() OVER (PARTITION BY m.label ORDER BY "
+        + h48_sql(42, "m.msg_id") + ", m.msg_id) <= q.n - q.n_train AS is_test FROM m2 m JOIN quota q ON m.label = q.label)",
+        f"own AS (SELECT msg_id, (row_number() OVER (PARTITION BY label ORDER BY {h48_sql(42)}, msg_id) - 1) % {FOLDS} AS own "
+        "FROM sp WHERE NOT is_test)",
+        f"rw AS (SELECT f.fold, sp.msg_id, sp.label, coalesce(own.own = f.fold, true) AS held FROM sp LEFT JOIN own USING (msg_id) "
+        f"CROSS JOIN (SELECT unnest(range(-1, {FOLDS})) AS fold) f WHERE sp.is_test = (f.fold = -1) OR NOT sp.is_test)",
+        "tc AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(regexp_extract_all(lower(text), "
+        "'[\\p{L}\\p{N}_]{2,}')) AS term FROM sp) x GROUP BY ALL)",
+        "ft AS (SELECT rw.fold, rw.msg_id, rw.label, rw.held, tc.term, tc.tf FROM rw JOIN tc USING (msg_id))",
+        f"vocab AS (SELECT fold, term FROM (SELECT fold, term, row_number() OVER (PARTITION BY fold ORDER BY sum(tf) DESC, term) AS r "
+        f"FROM ft WHERE NOT held GROUP BY fold, term) x WHERE r <= {VOCAB})",
+        "vs AS (SELECT fold, count(*) AS v FROM vocab GROUP BY fold)",
+        "nd AS (SELECT fold, label AS cls, count(*) AS n FROM rw WHERE NOT held GROUP BY ALL)",
+        "ns AS (SELECT fold, sum(n) AS n, count(*) AS k FROM nd GROUP BY fold)",
+        "nct AS (SELECT fold, label AS cls, term, sum(tf) AS c FROM ft JOIN vocab USING (fold, term) WHERE NOT held GROUP BY ALL)",
+        "nc AS (SELECT fold, cls, sum(c) AS c FROM nct GROUP BY ALL)",
+        f"pt AS (SELECT * FROM (VALUES {points}) t(alpha))",
+        "sc AS (SELECT rw.fold, pt.alpha, rw.msg_id, rw.label, nd.cls, ln(nd.n + alpha) - ln(ns.n + ns.k * alpha) "
+        "+ coalesce(sum(CASE WHEN vocab.term IS NOT NULL THEN ft.tf * (ln(coalesce(nct.c, 0) + alpha) - ln(nc.c + alpha * vs.v)) END), 0) AS s "
+        "FROM rw CROSS JOIN pt JOIN nd ON nd.fold = rw.fold JOIN ns ON ns.fold = rw.fold JOIN vs ON vs.fold = rw.fold "
+        "JOIN nc ON nc.fold = rw.fold AND nc.cls = nd.cls "
+        "LEFT JOIN ft ON ft.fold = rw.fold AND ft.msg_id = rw.msg_id LEFT JOIN vocab ON vocab.fold = rw.fold AND vocab.term = ft.term "
+        "LEFT JOIN nct ON nct.fold = rw.fold AND nct.cls = nd.cls AND nct.term = ft.term "
+        "WHERE rw.held GROUP BY rw.fold, pt.alpha, rw.msg_id, rw.label, nd.cls, nd.n, ns.n, ns.k)",
+        "pr AS (SELECT fold, alpha, msg_id, label, arg_max(cls, s) AS pred FROM sc GROUP BY ALL)",
+        "by_ AS (SELECT fold, alpha, cls, sum(tp) AS tp, sum(y) AS y, sum(p) AS p FROM ("
+        "SELECT fold, alpha, label AS cls, CAST(label = pred AS INTEGER) AS tp, 1 AS y, 0 AS p FROM pr WHERE fold >= 0 UNION ALL "
+        "SELECT fold, alpha, pred, 0, 0, 1 FROM pr WHERE fold >= 0) x GROUP BY ALL)",
+        "fs AS (SELECT fold, alpha, sum(tp) / sum(y) AS accuracy, avg(2 * tp / (y + p)) AS f1_macro FROM by_ GROUP BY ALL)"]
+
+
+def _sql_nb_search(alphas, metric):
+    return FX.with_ctes(*_sql_nb_cv(alphas),
+                        f"best AS (SELECT alpha FROM (SELECT alpha, round(avg({metric}), 9) AS m FROM fs GROUP BY alpha) x "
+                        "ORDER BY m DESC, alpha LIMIT 1)") + (
+        "SELECT msg_id, label, CAST(pred AS INTEGER) AS pred, CAST(best.alpha AS DOUBLE) AS alpha FROM pr JOIN best ON pr.alpha = best.alpha WHERE fold = -1")
+
+
+register("cross_val_scores", sql=FX.with_ctes(*_sql_nb_cv([1.0])) + (
+    "SELECT CAST(fold AS INTEGER) AS fold, round(accuracy, 9) AS accuracy, round(f1_macro, 9) AS f1_macro FROM fs"))(cross_val_scores)
+register("mean_scores", sql=FX.with_ctes(*_sql_nb_cv([1.0])) + (
+    "SELECT round(avg(accuracy), 9) AS mean_accuracy, round(avg(f1_macro), 9) AS mean_f1_macro FROM fs"))(mean_scores)
+register("grid_search", sql=_sql_nb_search(ALPHAS, "f1_macro"))(grid_search)
+register("random_search", sql=_sql_nb_search(sampled(ALPHAS, 3), "accuracy"))(random_search)
 
 
 def top_features(spark, sf):
