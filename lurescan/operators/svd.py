@@ -76,19 +76,23 @@ def loadings(rows: DataFrame, d: int, k: int, seed: int = 42) -> np.ndarray:
     return v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0)
 
 
-def truncated_svd(weights: DataFrame, ids: DataFrame, id_col: str, vocab: DataFrame, k: int) -> DataFrame:
-    """(id, component, value) of every row of ``ids`` for the top ``k`` right singular vectors."""
-    rows, d = matrix_rows(weights, ids, id_col, vocab)
-    rows = scoped_cache(rows)
-    v = loadings(rows, d, k)
-    shared = rows.sparkSession.sparkContext.broadcast(v)
+def project(rows: DataFrame, v: np.ndarray, id_col: str) -> DataFrame:
+    """(id, x): every row times the loadings."""
+    shared = rows.sparkSession.sparkContext.broadcast(v)  # d x k, bounded by the vocabulary cap
 
-    def project(batches):
+    def run(batches):
         for batch in batches:
-            x = np.stack([w @ shared.value[j] if len(j) else np.zeros(shared.value.shape[1]) for j, w in zip(batch["js"], batch["ws"])]) \
-                if len(batch) else np.zeros((0, 1))
-            yield pd.DataFrame({id_col: batch[id_col], "x": list(np.round(x, 6))})
+            x = [np.round(w @ shared.value[j], 6) if len(j) else np.zeros(shared.value.shape[1])
+                 for j, w in zip(batch["js"], batch["ws"])]
+            yield pd.DataFrame({id_col: batch[id_col], "x": x})
 
     kind = rows.schema[id_col].dataType.simpleString()
-    out = rows.mapInPandas(project, f"{id_col} {kind}, x array<double>")
+    return rows.mapInPandas(run, f"{id_col} {kind}, x array<double>")
+
+
+def truncated_svd(weights: DataFrame, ids: DataFrame, id_col: str, vocab: DataFrame, k: int) -> DataFrame:
+    """(id, component, value) of every row of ``ids`` for the top ``k`` right singular vectors."""
+    rows, d = matrix_rows(weights, ids, id_col, vocab)
+    rows = scoped_cache(rows)
+    out = project(rows, loadings(rows, d, k), id_col)
     return out.select(id_col, F.posexplode("x").alias("component", "value")).withColumn("component", F.col("component").cast("long"))

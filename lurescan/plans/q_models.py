@@ -13,14 +13,16 @@ import random
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, IDF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from lurescan.functions import text as T
+from lurescan.functions.lexicon import NLTK_STOPWORDS
 from lurescan.operators import evaluate as EV
 from lurescan.operators import models as MD
 from lurescan.operators import resample as RS
 from lurescan.operators import splits as SP
+from lurescan.operators import svd as SVD
 from lurescan.operators import vectorize as V
 from lurescan.plans.registry import register
 from lurescan.session import scoped_cache, scratch_dir
@@ -103,6 +105,43 @@ register("model_svm_linear")(_fit_predict("svm_linear", three=True, weighted=Tru
 register("model_mlp")(_fit_predict("mlp", layers=(128, 64)))
 
 
+def model_knn_text(spark, sf, components: int = 100, neighbours: int = 5):
+    """n-gram TF-IDF fitted on train -> SVD of the train rows -> cosine kNN vote for the test rows."""
+    sp = scoped_cache(split_texts(spark, sf))
+    train, test = (sp.where(F.col("is_test") == t).select("msg_id", "label", "text") for t in (0, 1))
+    tfidf = V.NgramTfidf(n_max=2, max_features=5000, stop_words=NLTK_STOPWORDS).fit(train, "msg_id", "text")
+    vocab = tfidf.idf.select("term")
+    rows, d = SVD.matrix_rows(tfidf.transform(train, "msg_id", "text"), train, "msg_id", vocab)
+    rows = scoped_cache(rows)
+    v = SVD.loadings(rows, d, components)
+    asked, _ = SVD.matrix_rows(tfidf.transform(test, "msg_id", "text"), test, "msg_id", vocab)
+    refs = SVD.project(rows, v, "msg_id").join(train.select("msg_id", "label"), "msg_id")
+    votes = RS.knn_vote(SVD.project(asked, v, "msg_id"), refs, neighbours, id_col="msg_id", vec_col="x")
+    return test.select("msg_id", "label").join(votes.withColumnRenamed("pred_uniform", "pred"), "msg_id", "left")
+
+
+register("model_knn_text")(model_knn_text)
+
+
+def pipeline_smote_tomek(spark, sf):
+    """Message features -> SMOTE and Tomek links on the train rows -> forest; test predictions."""
+    sp = split_texts(spark, sf)
+    names = T.FEATURE_BUNDLES["sms"]
+    feats = sp.select("msg_id", "label", "is_test", *T.message_features(F.col("text"), "sms"))
+    stats = V.standard_scale_stats(feats.where(F.col("is_test") == 0), names)
+    scaled = scoped_cache(V.standard_scale(feats, stats).select(
+        "msg_id", "label", "is_test", F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
+    train = scaled.where(F.col("is_test") == 0).drop("is_test")
+    grown = RS.with_synthetic(train, RS.smote(train, "msg_id", "x", "label"), "msg_id", "x", "label")
+    grown = RS.tomek_links(grown, "msg_id", "x", "label").select("label", array_to_vector("x").alias("features"))
+    model = MD.estimator("forest").fit(scoped_cache(grown))
+    test = scaled.where(F.col("is_test") == 1).select("msg_id", "label", array_to_vector("x").alias("features"))
+    return _out(MD.prediction_frame(model, test))
+
+
+register("pipeline_smote_tomek")(pipeline_smote_tomek)
+
+
 def model_svm_rbf(spark, sf):
     """RBF-kernel SVM re-aimed: random Fourier features (256, library's gamma) then a linear SVM."""
     train, test, names, _, n = prepared(spark, sf)

@@ -187,3 +187,13 @@ def test_knn_with_many_cells_is_exact(spark, metric, grouped):
             d[np.arange(400) % 3 != q % 3] = np.inf
         assert np.allclose([v for _, v in got[q]], np.sort(d)[:4], atol=1e-9)
         assert all(np.isclose(d[n], v) for n, v in got[q])
+
+
+@pytest.mark.parametrize("key", ["model_knn_text", "pipeline_smote_tomek"])
+def test_every_test_row_is_predicted_and_mostly_right(spark, key):
+    import __spark_entry__ as E
+
+    sf = "/root/testdata/sf0.01"
+    out = E.queries()[key](spark, sf).collect()
+    assert len(out) == 100 and all(r.pred in (0, 1) for r in out)
+    assert sum(r.pred == r.label for r in out) >= 80
