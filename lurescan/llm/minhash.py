@@ -354,3 +354,18 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
 def query(spark, sf_dir) -> DataFrame:
     return components(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
+#: All pairs that share a shingle, for small tables.
+SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '{common.WORD_CLASS}+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + {WIDTH - 1}], ' ') AS g FROM (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 2}, 2))) AS p FROM t WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a AS id, b AS r FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.r = l.a),
+m AS (SELECT id, min(r) AS m FROM r GROUP BY id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(m.m, t.doc_id)) AS component_id,
+  t.doc_id <= coalesce(m.m, t.doc_id) AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = t.doc_id"""

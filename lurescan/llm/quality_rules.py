@@ -186,3 +186,32 @@ def query(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "host_ok")
 
+
+
+def _sql() -> str:
+    ok = []
+    for r in RULES:
+        ok.append(f"(fail_{r} + m_{r} * w_{r}) / (docs + w_{r}) <= {HOST_LIMIT}")
+    prior = ", ".join(f"(sum(fail_{r}) + 0.5) / (sum(docs) + 1.0) AS m_{r}, coalesce(var_samp(fail_{r} / docs), 0) AS v_{r}" for r in RULES)
+    weight = ", ".join(f"m_{r}, CASE WHEN v_{r} <= 0 THEN {MAX_PRIOR} ELSE least({MAX_PRIOR}, greatest(1.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) END AS w_{r}"
+                       for r in RULES)
+    return f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{common.WORD_CLASS}+') AS ws FROM documents),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) x WHERE regexp_matches(line, '{common.WORD_CLASS}') GROUP BY doc_id),
+g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, ws[p:p + {WINDOW - 1}]) AS c FROM (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM t) x),
+cov AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT doc_id, p FROM g WHERE c > 1) x CROSS JOIN (SELECT unnest(range(0, {WINDOW})) AS k) y GROUP BY doc_id),
+c AS (SELECT t.doc_id, t.source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(ln.n_lines, 0) AS n_lines,
+  coalesce(cov.n, 0) AS n_repeat_words FROM t LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_WORDS} AS few_words, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS repeats,
+  10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS dup_lines FROM c),
+h AS (SELECT source, count(*) AS docs, {", ".join(f"sum({r}::BIGINT) AS fail_{r}" for r in RULES)} FROM f GROUP BY source),
+p AS (SELECT {weight} FROM (SELECT {prior} FROM h) x),
+v AS (SELECT source, {" AND ".join(ok)} AS host_ok FROM h CROSS JOIN p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeats AS base_failed,
+  NOT (few_words OR repeats) AND host_ok AS kept, host_ok FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
+
+
+SQL = _sql()

@@ -33,5 +33,7 @@ ORACLE = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+    "op2_quality_rules": quality_rules.SQL,
     "op4_mixing": mixing.SQL,
+    "op10_minhash": minhash.SQL,
 }
