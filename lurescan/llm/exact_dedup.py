@@ -138,6 +138,7 @@ def differing(docs: DataFrame, id_col: str, text_col: str, digest, several: Data
     text = normalised(common.text_of(F.col(f"`{text_col}`")))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
     rows = rows.join(several.select("digest", F.col("first.id").alias("first_id")), "digest")
+    rows = common.materialise(rows, "op1-group-rows")  # read for the retained content and for the hits
     content = rows.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(
         F.min("text").alias("retained"), F.max("text").alias("other"))
     hits = rows.join(content, "digest").where((F.col("text") != F.col("retained")) | (F.col("retained") != F.col("other")))
