@@ -37,7 +37,12 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only when unset."""
+    """Return the shared checkpoint folder; create a local one only when unset.
+
+    Every operator that writes scratch data passes here, so this also makes
+    sure that the executors have the package.
+    """
+    ship_package(spark)
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
