@@ -197,3 +197,24 @@ def test_every_test_row_is_predicted_and_mostly_right(spark, key):
     out = E.queries()[key](spark, sf).collect()
     assert len(out) == 100 and all(r.pred in (0, 1) for r in out)
     assert sum(r.pred == r.label for r in out) >= 80
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    """A driver that knows the package by sys.path only: workers get it from the session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from lurescan.session import get_session
+from lurescan.operators.neighbors import knn
+spark = get_session("local[2]", 2)
+df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<double>")
+print("rows", knn(df, df, 2).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 18" in got.stdout, got.stderr[-2000:]
