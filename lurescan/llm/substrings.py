@@ -52,7 +52,7 @@ from lurescan.llm.words import mix, powers, prefix_hash, range_hash
 WIDTH, GRAM = 100, 24
 SPAN = WIDTH - GRAM + 1  # anchors a window may have
 HOT = 20_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _U = np.uint64
 ROW = "h long, c long, id long, s int, n int, a int"
 
@@ -299,7 +299,7 @@ def _sort_groups(batches):
     size = 0
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if size > SLICE_BYTES // 4 and held[-1][0] != r[0]:
+            if size > SLICE_BYTES and held[-1][0] != r[0]:
                 ids, s, e = repeated_windows(held)
                 yield _flags(ids, s, e - s)
                 held, size = [], 0
