@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescan.session import scratch_dir
+from lurescan.session import scratch_dir, ship_package
 
 #: Texts are handed to the numpy kernels in slices of about this many bytes (one text at least).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -23,12 +23,27 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Package on the executors, and Arrow batches of 4 MB where the session has Spark's default of 64.
+
+    Kernels work in slices of about 1 MB, so larger batches would only wait in
+    memory, on both sides of each worker's socket.
+    """
+    ship_package(spark)
+    if spark.conf.get(BATCH_BYTES).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder under spark.checkpoint.dir and read it back.
 
     This cuts the lineage with files that outlive any executor.  The schema is
     passed on, so an empty table reads back without inference.
     """
+    ready(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -81,6 +96,8 @@ def map_texts(docs: DataFrame, kernel: Callable[[pa.Array, np.ndarray, np.ndarra
     ``docs`` has exactly two columns, id and text.
     """
 
+    ready(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             offsets, data = string_parts(batch.column(1))

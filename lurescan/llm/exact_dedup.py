@@ -40,6 +40,8 @@ from lurescan.llm import common
 from lurescan.session import scratch_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Memory of an executor's state stores.
+STATE_MB = 64
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -70,8 +72,14 @@ def first_of() -> Column:
 
 @contextmanager
 def rocks(spark: SparkSession):
-    """State in RocksDB, without disk space set aside ahead (many small stores), while the block runs."""
-    wanted = {PROVIDER: ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    """State in RocksDB while the block runs.
+
+    Without disk space set aside ahead (stores can be many and small), and with
+    one bound on the memory of all stores of an executor.
+    """
+    conf = "spark.sql.streaming.stateStore.rocksdb."
+    wanted = {PROVIDER: ROCKS, conf + "allowFAllocate": "false", conf + "boundedMemoryUsage": "true",
+              conf + "maxMemoryUsageMB": str(STATE_MB)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
