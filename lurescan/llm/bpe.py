@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescan.llm import common
-from lurescan.llm.pieces import SLICE_BYTES, WordIds
+from lurescan.llm.pieces import SLICE_BYTES, WordIds, gather
 from lurescan.llm.words import mix
 
 LONGEST_ROW = 128
 ROWS_AT_ONCE = 20_000
+#: Bounds of a worker's index of words; a worker keeps it between tasks.
+INDEX_WORDS, INDEX_IDS = 400_000, 4_000_000
 _U = np.uint64
 NONE = np.int32(2**31 - 1)
 PAD = np.int32(-1)
@@ -102,15 +104,15 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def matrix(self, rows: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of about the same length."""
+    def matrix(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of about the same length -> (rows as they end, their ids one after another, number of ids of each)."""
         lengths = np.array([len(r) for r in rows])
         width = int(lengths.max())
         ids = np.full((len(rows), width), PAD, np.int32)
         ids[np.arange(width) < lengths[:, None]] = self.single[np.frombuffer(b"".join(rows), np.uint8)]
         rank = np.full((len(rows), width), NONE, np.int32)  # of the pair that begins at each place
         rank[:, :-1] = self.table.ranks(ids[:, :-1], ids[:, 1:])
-        out: list[np.ndarray] = [None] * len(rows)
+        ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         alive = np.arange(len(rows))
         while len(alive):
             at = rank.argmin(axis=1)  # leftmost minimum
@@ -118,8 +120,8 @@ class ByteBPE:
             best = rank[line, at]
             done = best == NONE
             if done.any():
-                for i in np.flatnonzero(done):
-                    out[alive[i]] = ids[i][ids[i] >= 0]
+                real = ids[done] >= 0
+                ended.append((alive[done], ids[done][real], real.sum(axis=1)))
                 keep = ~done
                 alive, ids, rank, at, best = alive[keep], ids[keep], rank[keep], at[keep], best[keep]
                 if not len(alive):
@@ -131,16 +133,16 @@ class ByteBPE:
             width = ids.shape[1]
             column = np.arange(width)
             source = column + (column > at[:, None])
-            ended = source >= width
-            source[ended] = width - 1
+            behind = source >= width
+            source[behind] = width - 1
             ids, rank = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, source, 1)
-            ids[ended], rank[ended] = PAD, NONE
+            ids[behind], rank[behind] = PAD, NONE
             ids[line, at] = best
             right = np.where(at + 1 < width, ids[line, np.minimum(at + 1, width - 1)], PAD)
             rank[line, at] = self.table.ranks(best, right)
             has = np.flatnonzero(at > 0)
             rank[has, at[has] - 1] = self.table.ranks(ids[has, at[has] - 1], best[has])
-        return out
+        return tuple(np.concatenate(x) for x in zip(*ended))
 
     def long_piece(self, piece: bytes) -> np.ndarray:
         """Same merges for one long piece, from a heap of (rank, place)."""
@@ -174,31 +176,33 @@ class ByteBPE:
                 push(prev[i])
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces, bucket by bucket of like length."""
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each), bucket by bucket of like length."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        out: list[np.ndarray] = [None] * len(raw)
-        sizes = np.array([len(r) for r in raw])
-        order = np.argsort(sizes, kind="stable")
+        length = np.array([len(r) for r in raw], np.int64)
+        order = np.argsort(length, kind="stable")
+        ranked = length[order]
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = 0
         while at < len(order):
-            size = int(sizes[order[at]])
+            size = int(ranked[at])
             if size > LONGEST_ROW:
                 for i in order[at:].tolist():
-                    out[i] = self.long_piece(raw[i])
+                    ids = self.long_piece(raw[i])
+                    parts.append((np.array([i]), ids, np.array([len(ids)])))
                 break
             limit = min(size + size // 4, LONGEST_ROW)  # a bucket's lengths are alike
-            to = min(int(np.searchsorted(sizes[order], limit, "right")), at + ROWS_AT_ONCE)
-            rows = order[at:to].tolist()
-            for i, ids in zip(rows, self.matrix([raw[i] for i in rows])):
-                out[i] = ids
+            to = min(int(np.searchsorted(ranked, limit, "right")), at + ROWS_AT_ONCE)
+            rows = order[at:to]
+            row, ids, sizes = self.matrix([raw[i] for i in rows.tolist()])
+            parts.append((rows[row], ids, sizes))
             at = to
-        return out
-
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, number of ids of each)."""
-        ids = self.encode_pieces(pieces)
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array([len(x) for x in ids], np.int64)
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        row, flat, sizes = (np.concatenate(x) for x in zip(*parts))
+        size, start = np.empty(len(raw), np.int64), np.empty(len(raw), np.int64)
+        size[row], start[row] = sizes, np.cumsum(sizes) - sizes
+        return gather(flat, start, size)[0], size
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids' tokens, one after another."""
@@ -212,13 +216,14 @@ def coder(path: str, pattern: str) -> tuple[ByteBPE, WordIds]:
     """One encoder a worker and vocabulary."""
     if (path, pattern) not in _coders:
         bpe = ByteBPE(read_ranks(path))
-        _coders[path, pattern] = bpe, WordIds(pattern, bpe.encode)
+        _coders[path, pattern] = bpe, WordIds(pattern, bpe.encode, "<u4", INDEX_WORDS, INDEX_IDS)
     return _coders[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            with_ids: bool = True) -> DataFrame:
     """id, n_tokens, ids (array<int>), and the digests of the ids and of the decoded bytes."""
+    common.ready(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), common.text_of(F.col(f"`{text_col}`")).alias("text"))
     fields = f"id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -7,8 +7,8 @@ are dictionary-encoded; only words that the index has not met are split by the
 pattern and encoded, in one batch, and the ids of whole texts are gathered from
 one flat array.
 
-The index is bounded: a worker starts over when it holds ``MAX_WORDS`` words or
-``MAX_IDS`` ids.
+The index is bounded: a worker starts over when it holds ``max_words`` words or
+``max_ids`` ids.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import regex
 MAX_WORDS = 1_500_000
 MAX_IDS = 12_000_000
 #: Texts are handed over in slices of about this many bytes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 #: A space before more white space or the end of the text (RE2 syntax).
 UNEVEN = r" (?:[\x09-\x0d\x1c-\x1f\x{85}\p{Z}]|\z)"
@@ -40,7 +40,9 @@ def gather(store: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
 class WordIds:
     """``encode(pieces: list[str]) -> (ids of all pieces in one array, number of ids of each)`` behind the index."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str = "<u4"):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str = "<u4",
+                 max_words: int = MAX_WORDS, max_ids: int = MAX_IDS):
+        self.max_words, self.max_ids = max_words, max_ids
         self.split = regex.compile(pattern).findall
         self.cut = regex.compile(r" (?=\S)").split
         self.space = regex.compile(r"\s").search
@@ -86,7 +88,7 @@ class WordIds:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets) of an Arrow array of strings without nulls."""
-        if len(self.known) > MAX_WORDS or len(self.flat) > MAX_IDS:
+        if len(self.known) > self.max_words or len(self.flat) > self.max_ids:
             self.clear()
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)

@@ -86,10 +86,8 @@ def test_bpe_random_strings(tik):
 
 
 def test_bpe_index_starts_over(monkeypatch, tik):
-    from lurescan.llm import pieces
-
-    monkeypatch.setattr(pieces, "MAX_WORDS", 5)
     _, words = bpe.coder(RANKS, P.PATTERN)
+    monkeypatch.setattr(words, "max_words", 5)
     for k in range(5):
         text = " ".join(f"w{k}{i}" for i in range(20))
         assert words.ids(pa.array([text]))[0].tolist() == tik.encode_ordinary(text)
