@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurescan.llm import common
-from lurescan.llm.pieces import SLICE_BYTES, WordIds, gather
+from lurescan.llm.pieces import WordIds, gather
 from lurescan.session import scratch_dir
 
 END_ID = 2
 #: Stands for a null id in a shard's file of ids.
 NO_KEY = -(2**63)
+#: Texts are encoded in slices of about this many bytes: each slice looks its words up in the whole index.
+SLICE_BYTES = 16 << 20
 
 _coders: dict[str, tuple] = {}
 
@@ -114,6 +116,19 @@ def encode_texts(path: str, pattern: str, dtype: str, texts: pa.Array) -> tuple[
     return gather(np.concatenate([flat, more]), start, size)
 
 
+def gathered(batches, limit: int):
+    """Neighbouring Arrow batches put together up to about ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def local_path(uri: str) -> str:
     """The path of a folder that all machines mount."""
     if uri.startswith("file:"):
@@ -158,7 +173,7 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, id_col: str = "
         base, mark = os.path.join(out, f"{shard:06d}"), f".{TaskContext.get().taskAttemptId()}.part"
         total = count = 0
         files: dict = {}
-        for batch in batches:
+        for batch in gathered(batches, SLICE_BYTES):
             if not files and len(batch):
                 os.makedirs(out, exist_ok=True)
                 files = {x: open(base + x + mark, "wb") for x in (".bin", ".idx", ".doc")}
