@@ -133,6 +133,44 @@ def test_pseudonyms(spark):
     assert other[1] != got[1].text
 
 
+FORMS = [
+    (1, "NL91 ABNA 0417 1643 00, FR14 2004 1010 0505 0001 3M02 606 and GB29NWBK60161331926819.", ["iban"] * 3),
+    (2, "ES91 2100 0418 4502 0005 1332 2024", ["iban"]), (3, "DE00 3704 0044 0532 0130 00", ["card"]),
+    (4, "AT12 4111 1111 1111 1111", ["card"]), (5, "12/31/2020 3/2/2021 3/25/2021", ["mdy", "dmy", "mdy"]),
+    (6, "2021/02/03 2021.2.3, 2021-2-13T", ["date", "date"]), (7, "31.12.2020. 1-9-1999 at 2020-02-29T10:00", ["dmy", "dmy", "date"]),
+    (8, "NL92 ABNA 0417 1643 00 31/31/2020 1.2.2020.4 13/13/2020 2021-13-01", []),
+]
+
+
+def test_other_forms_of_private_values(spark):
+    import re
+
+    df = spark.createDataFrame([f[:2] for f in FORMS], "doc_id long, text string")
+    out = pseudonyms.pseudonymise(df).cache()
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t, kinds in FORMS:
+        assert got[i].kinds == kinds
+        assert (got[i].text == t) == (not kinds)
+        assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", got[i].text)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", t))
+    for v in re.findall("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{14,}", got[1].text):
+        v = v.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    assert got[2].text.endswith(" 2024")
+    back = pseudonyms.pseudonymise(out.drop("kinds"), inverse=True).collect()
+    assert {r.doc_id: r.text for r in back} == {i: t for i, t, _ in FORMS}
+
+
+def test_dates_of_every_form_come_back(spark):
+    days = spark.sql("SELECT explode(sequence(date'2019-12-01', date'2020-02-10')) AS d")
+    forms = ["d/M/yyyy", "dd/M/yyyy", "M/d/yyyy", "MM/dd/yyyy", "yyyy.M.d", "dd-MM-yyyy"]
+    df = days.select(F.explode(F.array(*[F.date_format("d", f) for f in forms])).alias("text")).distinct()
+    df = df.select(F.xxhash64("text").alias("doc_id"), "text").cache()
+    out = pseudonyms.pseudonymise(df).cache()
+    assert out.where("size(kinds) != 1").count() == 0 and out.select("text").distinct().count() == df.count()
+    back = pseudonyms.pseudonymise(out.drop("kinds"), inverse=True).withColumnRenamed("text", "b")
+    assert back.join(df, "doc_id").where("b = text").count() == df.count()
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
     out = df.select("t", pseudonyms.feistel(F.col("t"), "k", F.lit("x")).alias("v")).cache()
