@@ -346,12 +346,12 @@ def _valid_ssn(ds: Column) -> Column:
     return ~ds.rlike("^(000|666|9)") & ~ds.rlike("^...00") & ~ds.rlike("0000$")
 
 
-def replace_one(x: Column, key: str, inverse: bool = False) -> Column:
+def replace_one(x: Column, key: str, inverse: bool = False, other_numbers: str | None = "card") -> Column:
     """struct(kind, text): the pseudonym of one candidate; kind null if it is none."""
-    return let(_kind(x), lambda kind: _replace(x, kind, key, inverse))
+    return let(_kind(x), lambda kind: _replace(x, kind, key, inverse, other_numbers))
 
 
-def _replace(x: Column, kind: Column, key: str, inverse: bool) -> Column:
+def _replace(x: Column, kind: Column, key: str, inverse: bool, other_numbers: str | None) -> Column:
     ds = digits(x)
     octets = F.forall(F.split(x, r"\."), lambda v: (v.cast("int") <= 255) & (v.cast("int").cast("string") == v))
     cases = {
@@ -364,24 +364,34 @@ def _replace(x: Column, kind: Column, key: str, inverse: bool) -> Column:
         "address": (octets, _address(x, key, inverse)),
         "date": (_valid_day(x, "ymd"), _day(x, "ymd", key, inverse)),
         "dmy": (_valid_day(x, "dmy"), _day(x, "dmy", key, inverse)),
-        "card": (F.length(ds).between(13, 19), _card(x, key, inverse)),
+        "card": (F.length(ds).between(13, 19) & (luhn(ds) == 0), _card(x, key, inverse)),
     }
     # kinds that a candidate is tried as after it failed its own
-    again = {
-        "mdy": ((kind == "dmy") & _valid_day(x, "mdy"), _day(x, "mdy", key, inverse)),
-        "card": ((kind == "iban") & x.rlike(PATTERNS["card"]), _card_within(x, key, inverse)),
-    }
+    within = F.regexp_extract(x, PATTERNS["card"], 0)
+    in_iban = (kind == "iban") & (within != "")
+    again = [
+        ("mdy", (kind == "dmy") & _valid_day(x, "mdy"), _day(x, "mdy", key, inverse)),
+        ("card", in_iban & (luhn(digits(within)) == 0), _card_within(x, key, inverse)),
+    ]
+    if other_numbers is not None:
+        again += [(other_numbers, (kind == "card") & F.length(ds).between(13, 19) & (luhn(ds) != 0), _card(x, key, inverse)),
+                  (other_numbers, in_iban & (luhn(digits(within)) != 0), _card_within(x, key, inverse))]
     out = F.struct(F.lit(None).cast("string").alias("kind"), x.alias("text"))
-    for name, (ok, new) in again.items():
+    for name, ok, new in again:
         out = F.when(ok, F.struct(F.lit(name).alias("kind"), new.alias("text"))).otherwise(out)
     for name, (ok, new) in cases.items():
         out = F.when((kind == name) & ok, F.struct(F.lit(name).alias("kind"), new.alias("text"))).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False,
+                 other_numbers: str | None = "card") -> DataFrame:
     """id, text with pseudonyms, and the replaced values' kinds, in order.
 
+    Numbers of a card's length that fail its check digit (order numbers, time
+    stamps, ISBNs, mistyped cards) are replaced too and reported as
+    ``other_numbers``; None leaves them.
+
     Everything happens within the row: the text is cut at its candidates, each
     candidate is replaced, and the parts are put together again.  Texts with
     neither a digit nor an @ are not searched.
@@ -389,7 +399,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     text = F.col(f"`{text_col}`").cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), found.alias("found"))
-    rows = rows.withColumn("new", F.transform("found", lambda x: replace_one(x, key, inverse)))
+    rows = rows.withColumn("new", F.transform("found", lambda x: replace_one(x, key, inverse, other_numbers)))
     gaps = F.split("text", ANY, -1)
     parts = F.zip_with(F.array_append(F.transform("new", lambda n: n["text"]), F.lit("")), gaps, lambda n, g: F.concat(g, n))
     out = F.when(F.size("new") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
@@ -397,14 +407,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     return rows.select(F.col("id").alias(id_col), out.alias(text_col), kinds.alias("kinds"))
 
 
-def cleaned(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, key: str = KEY, text_col: str = "text", other_numbers: str | None = "card") -> DataFrame:
     """``docs`` with its text pseudonymised, all columns."""
     whole = common.fresh(docs, "_whole")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col(f"`{text_col}`").alias("text"))
-    done = pseudonymise(rows, key, whole, "text")
+    done = pseudonymise(rows, key, whole, "text", other_numbers=other_numbers)
     return done.select(*[(F.col("text") if c == text_col else F.col(whole).getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir) -> DataFrame:
-    out = pseudonymise(common.documents(spark, sf_dir).select("doc_id", "text"))
+    out = pseudonymise(common.documents(spark, sf_dir).select("doc_id", "text"), other_numbers="number")
     return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))

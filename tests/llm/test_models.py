@@ -160,6 +160,19 @@ def test_other_forms_of_private_values(spark):
     assert {r.doc_id: r.text for r in back} == {i: t for i, t, _ in FORMS}
 
 
+def test_only_valid_cards_are_cards(spark):
+    text = "4111111111111111 9807915762804490 9780306406157 AT12 4111 1111 1111 1112"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = pseudonyms.pseudonymise(df, other_numbers="number").cache()
+    got = out.first()
+    assert got.kinds == ["card", "number", "number", "number"]
+    assert not set(got.text.split()[:3]) & set(text.split())
+    back = pseudonyms.pseudonymise(out.drop("kinds"), inverse=True, other_numbers="number").first()
+    assert back.text == text and back.kinds == got.kinds
+    only = pseudonyms.pseudonymise(df, other_numbers=None).first()
+    assert only.kinds == ["card"] and only.text.split()[0] == got.text.split()[0] and only.text.split()[1:] == text.split()[1:]
+
+
 def test_dates_of_every_form_come_back(spark):
     days = spark.sql("SELECT explode(sequence(date'2019-12-01', date'2020-02-10')) AS d")
     forms = ["d/M/yyyy", "dd/M/yyyy", "M/d/yyyy", "MM/dd/yyyy", "yyyy.M.d", "dd-MM-yyyy"]
