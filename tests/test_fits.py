@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 

@@ -9,7 +9,7 @@ import sys
 import duckdb
 import pytest
 
-from conftest import ROOT, SF_ORACLE
+from paths import ROOT, SF_ORACLE
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 import oracle_check as OC  # noqa: E402

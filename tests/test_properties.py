@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from lurescan.operators import evaluate as EV
 from lurescan.operators import models as MD
 from lurescan.operators import resample as RS

@@ -3,7 +3,7 @@
 import os
 import shutil
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from lurescan.sources.tables import table
 from lurescan.streaming.scoring import score_frame, score_stream
 
