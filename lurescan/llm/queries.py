@@ -10,6 +10,7 @@ from lurescan.llm import (
     mixing,
     pseudonyms,
     quality_rules,
+    sentence_pieces,
     substrings,
     token_counts,
     token_files,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_byte_cnn": byte_cnn.query,
     "op9_substrings": substrings.query,
     "op10_minhash": minhash.query,
+    "op11_sentence_pieces": sentence_pieces.query,
 }
 
 ORACLE = {

@@ -1,6 +1,6 @@
 import brute
 import pytest
-from conftest import ODD
+from llm_data import ODD
 from pyspark.sql import functions as F
 
 from lurescan.llm import common, components, exact_dedup, minhash

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
-from conftest import ODD, read
+from llm_data import ODD, read
 from pyspark.sql import functions as F
 
 from lurescan.llm import byte_cnn, pseudonyms, token_counts

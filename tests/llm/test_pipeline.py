@@ -6,7 +6,7 @@ import corpus_pipeline
 import duckdb
 import pandas as pd
 import public_tokenizers as P
-from conftest import ODD, SF, read
+from llm_data import ODD, SF, read
 
 from lurescan.llm import common, mixing
 

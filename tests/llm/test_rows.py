@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from conftest import ODD, SF
+from llm_data import ODD, SF
 
 from lurescan.llm import bpe, mixing, quality_rules, token_files
 

@@ -3,7 +3,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import ODD
+from llm_data import ODD
 
 from lurescan.llm import substrings
 from lurescan.llm.words import prefix_hash
