@@ -5,6 +5,7 @@ from __future__ import annotations
 from lurescan.llm import (
     bpe,
     byte_cnn,
+    conversations,
     exact_dedup,
     minhash,
     mixing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_substrings": substrings.query,
     "op10_minhash": minhash.query,
     "op11_sentence_pieces": sentence_pieces.query,
+    "op12_conversations": conversations.query,
 }
 
 ORACLE = {
@@ -38,4 +40,5 @@ ORACLE = {
     "op2_quality_rules": quality_rules.SQL,
     "op4_mixing": mixing.SQL,
     "op10_minhash": minhash.SQL,
+    "op12_conversations": conversations.SQL,
 }
