@@ -37,15 +37,15 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder under spark.checkpoint.dir and read it back.
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` to a fresh folder under spark.checkpoint.dir (with the writer's ``options``) and read it back.
 
     This cuts the lineage with files that outlive any executor.  The schema is
     passed on, so an empty table reads back without inference.
     """
     ready(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

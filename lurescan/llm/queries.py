@@ -5,6 +5,7 @@ from __future__ import annotations
 from lurescan.llm import (
     bpe,
     byte_cnn,
+    collocations,
     conversations,
     exact_dedup,
     minhash,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_minhash": minhash.query,
     "op11_sentence_pieces": sentence_pieces.query,
     "op12_conversations": conversations.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLE = {
@@ -41,4 +43,5 @@ ORACLE = {
     "op4_mixing": mixing.SQL,
     "op10_minhash": minhash.SQL,
     "op12_conversations": conversations.SQL,
+    "op13_collocations": collocations.SQL,
 }
