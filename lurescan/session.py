@@ -77,10 +77,19 @@ def end_scope() -> None:
     while _cached:
         _cached.pop().unpersist()
     while _scratch:
-        spark, path = _scratch.pop()
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(*_scratch.pop())
+
+
+def remove_scratch(path: str | None) -> None:
+    """Remove one scratch folder that no later result reads."""
+    for entry in [e for e in _scratch if e[1] == path]:
+        _scratch.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship_package(spark: SparkSession) -> None:
