@@ -44,13 +44,13 @@ from pyspark.sql import functions as F
 from lurescan.llm import common
 from lurescan.operators.ranking import rank_in_groups
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Chunks of all languages that a task holds back, in bytes of text.
-WAITING_BYTES = 24 << 20
+WAITING_BYTES = 18 << 20
 TILE_BITS = 10
 #: A tile with this many pairs is counted by its places.
 DENSE = 1 << (2 * TILE_BITS - 4)
-#: Rows of 8 MB need smaller Parquet groups, checked at every row.
+#: Rows of several MB need smaller Parquet groups, checked at every row.
 PARQUET = {"parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 
 SEPARATOR = np.zeros(256, bool)
@@ -60,6 +60,7 @@ BETWEEN[[0x20, 0x09]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BREAK = np.int32(-1)
+COUNTS = "lang string, pair long, n long"
 
 
 def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -128,11 +129,11 @@ class Chunk:
 
 
 def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """chunk, lang, symbols, counts, seq (int32 numbers of symbols, -1 between pieces)."""
+    """chunk, lang, symbols, counts, length, seq (packed numbers of symbols, -1 between pieces)."""
     common.ready(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        common.text_of(F.col(f"`{text_col}`")).alias("text"))
-    names = ["chunk", "lang", "symbols", "counts", "seq"]
+    names = ["chunk", "lang", "symbols", "counts", "length", "seq"]
 
     def run(batches):
         waiting: dict[str, Chunk] = {}
@@ -145,7 +146,8 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
             one = [0, len(symbols)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([number - 1]), pa.array([lang]), pa.ListArray.from_arrays(pa.array(one, pa.int32()), symbols),
-                 pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(counts)), pa.array([seq.tobytes()], pa.binary())], names)
+                 pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(counts)), pa.array([len(seq)]),
+                 pa.array([pack(seq)], pa.binary())], names)
 
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
@@ -162,20 +164,20 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
         for lang in list(waiting):
             yield flush(lang)
 
-    return rows.mapInArrow(run, "chunk long, lang string, symbols array<string>, counts array<long>, seq binary")
+    return rows.mapInArrow(run, "chunk long, lang string, symbols array<string>, counts array<long>, length long, seq binary")
 
 
 def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct pairs as left << 32 | right, their counts), tile by tile; ids are below 2^31."""
     if not len(left):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left, right = left.astype(np.int64), right.astype(np.int64)
     low = (1 << TILE_BITS) - 1
     columns = (int(right.max()) >> TILE_BITS) + 1
-    tile = (left >> TILE_BITS) * columns + (right >> TILE_BITS)
-    place = (left & low) << TILE_BITS | right & low
+    tile = (left >> TILE_BITS).astype(np.int64) * columns + (right >> TILE_BITS)
+    place = ((left & low) << TILE_BITS | right & low).astype(np.int32)
     order = np.argsort(tile.astype(np.uint16) if int(tile.max()) < 1 << 16 else tile, kind="stable")
     tile, place = tile[order], place[order]
+    del order
     starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
     ends = np.append(starts[1:], len(tile))
     tiles, places, counts = [], [], []
@@ -205,8 +207,44 @@ def neighbours(ids: np.ndarray, phrases: np.ndarray, length: int) -> tuple[np.nd
     return at, phrases[at], ids[at + length]
 
 
-def _numbers(raw) -> np.ndarray:
-    return np.frombuffer(raw, np.int32)
+def pack(numbers: np.ndarray) -> bytes:
+    """int32 numbers as compressed planes of bytes: most numbers are small."""
+    return pa.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(raw, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, size).T).view(np.int32)[:, 0]
+
+
+class _Rows:
+    """Chunks of an Arrow batch, one at a time: ``for i in rows`` and its columns by name."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+
+    def __iter__(self):
+        return iter(range(self.batch.num_rows))
+
+    def value(self, i: int, name: str):
+        return self.batch.column(name)[i].as_py()
+
+    def numbers(self, i: int, name: str) -> np.ndarray:
+        return unpack(self.batch.column(name)[i].as_buffer(), self.value(i, "length"))
+
+    def lookup(self, i: int, size: int) -> np.ndarray:
+        """Ids by number in the chunk, -1 for symbols that are not frequent; ``ids`` lists at << 32 | id."""
+        out, lists = np.full(size, BREAK), self.batch.column("ids")
+        if lists[i].is_valid:
+            both = lists.slice(i, 1).flatten().to_numpy()
+            out[both >> 32] = both & 0x7FFFFFFF
+        return out
+
+    def row(self, i: int, **new) -> pa.RecordBatch:
+        """Row i's chunk, lang and length with other columns."""
+        keys = ["chunk", "lang", "length"]
+        columns = [self.batch.column(k).slice(i, 1) for k in keys] + [pa.array([v], pa.binary()) for v in new.values()]
+        return pa.RecordBatch.from_arrays(columns, [*keys, *new])
 
 
 def _frequent(sums: DataFrame, key: str, min_count: int, name: str) -> DataFrame:
@@ -217,24 +255,22 @@ def _frequent(sums: DataFrame, key: str, min_count: int, name: str) -> DataFrame
 
 
 def _given_back(symbols: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
-    """(chunk, ids): for each chunk the (number in the chunk, id) of its symbols that are frequent.
+    """(chunk, ids): for each chunk the number in the chunk << 32 | id of its symbols that are frequent.
 
-    ``symbols`` (chunk, at, lang, key) has a chunk's distinct symbols, so a list is bounded by the chunk.
+    ``symbols`` (chunk, at, lang, key) has a chunk's distinct symbols, so a list
+    is bounded by the chunk.  The frequent symbols of a partition are hashed, as
+    sorting the many others would cost most.
     """
-    return (symbols.join(ranked.select("lang", key, F.col("id").cast("int").alias("id")), ["lang", key])
-            .groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("ids")))
-
+    both = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("id"))
+    return (symbols.join(ranked.select("lang", key, "id").hint("shuffle_hash"), ["lang", key])
+            .groupBy("chunk").agg(F.collect_list(both).alias("ids")))
 
-def _lookup(size: int, ids) -> np.ndarray:
-    """Ids by number in the chunk, -1 for symbols that are not frequent; ``ids`` is an Arrow list of (at, id)."""
-    out = np.full(size, BREAK)
-    if ids is not None and len(ids):
-        out[ids.field(0).to_numpy()] = ids.field(1).to_numpy()
-    return out
 
-
-def _lists(column: pa.Array, i: int):
-    return column.slice(i, 1).flatten() if column[i].is_valid else None
+def _row_counts(lang: str, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    pair, n = count_pairs(left, right)
+    return pa.RecordBatch.from_arrays(
+        [pa.DictionaryArray.from_arrays(np.zeros(len(pair), np.int32), pa.array([lang])).cast(pa.string()), pa.array(pair), pa.array(n)],
+        ["lang", "pair", "n"])
 
 
 def count_phrases(chunked: DataFrame, max_words: int, min_count: int) -> tuple[DataFrame, DataFrame]:
@@ -247,32 +283,30 @@ def count_phrases(chunked: DataFrame, max_words: int, min_count: int) -> tuple[D
 
     def in_ids(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                local = _numbers(batch.column(2)[i].as_buffer())
-                known = _lookup(batch.column(3)[i].as_py() + 1, _lists(batch.column(4), i))  # the last place is the breaks'
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([known[local].tobytes()], pa.binary())],
-                    ["chunk", "lang", "seq"])
+            rows = _Rows(batch)
+            for i in rows:
+                known = rows.lookup(i, rows.value(i, "size") + 1)  # the last place is the breaks'
+                yield rows.row(i, seq=pack(known[rows.numbers(i, "seq")]))
 
     symbols = chunked.select("chunk", "lang", F.posexplode("symbols").alias("at", "word"))
-    coded = (chunked.select("chunk", "lang", "seq", F.size("symbols").alias("size"))
+    coded = (chunked.select("chunk", "lang", "length", "seq", F.size("symbols").alias("size"))
              .join(_given_back(symbols, words, "word"), "chunk", "left")
-             .select("chunk", "lang", "seq", "size", "ids").mapInArrow(in_ids, "chunk long, lang string, seq binary"))
-    coded = common.materialise(coded.withColumn("phrases", F.col("seq")), "coded", **PARQUET)
+             .mapInArrow(in_ids, "chunk long, lang string, length long, seq binary"))
+    coded = common.materialise(coded, "coded", **PARQUET)
+    common.remove(chunked)
+
+    def pairs(batches):
+        for batch in batches:
+            rows = _Rows(batch)
+            for i in rows:
+                ids = rows.numbers(i, "seq")
+                yield _row_counts(rows.value(i, "lang"), *neighbours(ids, ids, 1)[1:])
 
+    counts = coded.mapInArrow(pairs, COUNTS)
     phrases = words.select("lang", "id", F.array("word").alias("words"), "f")
     found = [phrases]
     for length in range(1, max_words):
-        def counted(batches, length=length):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    _, left, right = neighbours(_numbers(batch.column(1)[i].as_buffer()), _numbers(batch.column(2)[i].as_buffer()), length)
-                    pair, n = count_pairs(left, right)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(pair), pa.string()), pa.array(pair),
-                                                      pa.array(n)], ["lang", "pair", "n"])
-
-        sums = (coded.select("lang", "seq", "phrases").mapInArrow(counted, "lang string, pair long, n long")
-                .groupBy("lang", "pair").agg(F.sum("n").alias("f")))
+        sums = counts.groupBy("lang", "pair").agg(F.sum("n").alias("f"))
         ranked = _frequent(sums, "pair", min_count, f"phrases-{length + 1}")
         longer = (ranked.select("lang", "id", "f", F.shiftright("pair", 32).alias("l"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("r"))
                   .join(phrases.select("lang", F.col("id").alias("l"), F.col("words").alias("w")), ["lang", "l"])
@@ -281,42 +315,70 @@ def count_phrases(chunked: DataFrame, max_words: int, min_count: int) -> tuple[D
         phrases = common.materialise(longer, f"phrase-words-{length + 1}")
         found.append(phrases)
         if length + 1 < max_words:
-            coded = _recoded(coded, ranked, length)
+            coded, counts = _longer(coded, ranked, length, last=length + 2 == max_words)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.drop("id"), totals
 
 
-def _recoded(coded: DataFrame, ranked: DataFrame, length: int) -> DataFrame:
-    """``coded`` with the ids of the phrases one word longer."""
-    def pairs(batch, i):
-        ids = _numbers(batch.column(2)[i].as_buffer())
-        at, left, right = neighbours(ids, _numbers(batch.column(3)[i].as_buffer()), length)
-        pair, number = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
-        return ids, at, pair, number
+def _longer(coded: DataFrame, ranked: DataFrame, length: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(``coded`` with the ids of the phrases one word longer, the counts of these with the next word).
+
+    The last level's ids are not written: its counts are taken where the ids come back.
+    """
+    def of(rows, i):
+        ids = rows.numbers(i, "seq")
+        phrases = rows.numbers(i, "phrases") if "phrases" in rows.batch.schema.names else ids
+        at, left, right = neighbours(ids, phrases, length)
+        pair = left.astype(np.int64) << 32 | right
+        return ids, at, pair
 
     def distinct(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                pair = pairs(batch, i)[2]
+            rows = _Rows(batch)
+            for i in rows:
+                pair = np.unique(of(rows, i)[2])
+                fill = np.zeros(len(pair), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pair), batch.column(0)[i].as_py())), pa.array([batch.column(1)[i].as_py()] * len(pair), pa.string()),
+                    [pa.array(np.full(len(pair), rows.value(i, "chunk"))),
+                     pa.DictionaryArray.from_arrays(fill, pa.array([rows.value(i, "lang")])).cast(pa.string()),
                      pa.array(np.arange(len(pair), dtype=np.int32)), pa.array(pair)], ["chunk", "lang", "at", "pair"])
 
-    def rewritten(batches):
+    def rewritten(rows, i):
+        ids, at, pair = of(rows, i)
+        known, number = np.unique(pair, return_inverse=True)
+        out = np.full(len(ids), BREAK)
+        out[at] = rows.lookup(i, len(known))[number]
+        return ids, out
+
+    def written(batches):
+        for batch in batches:
+            rows = _Rows(batch)
+            for i in rows:
+                yield rows.row(i, seq=batch.column("seq")[i].as_py(), phrases=pack(rewritten(rows, i)[1]))
+
+    def counted(batches):
+        for batch in batches:
+            rows = _Rows(batch)
+            for i in rows:
+                yield _row_counts(rows.value(i, "lang"), *neighbours(*rewritten(rows, i), length + 1)[1:])
+
+    def again(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, at, pair, number = pairs(batch, i)
-                out = np.full(len(ids), BREAK)
-                out[at] = _lookup(len(pair), _lists(batch.column(4), i))[number]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(2).slice(i, 1),
-                                                  pa.array([out.tobytes()], pa.binary())], ["chunk", "lang", "seq", "phrases"])
-
-    columns = ["chunk", "lang", "seq", "phrases"]
-    symbols = coded.select(columns).mapInArrow(distinct, "chunk long, lang string, at int, pair long")
-    joined = coded.join(_given_back(symbols, ranked, "pair"), "chunk", "left").select(*columns, "ids")
-    return common.materialise(joined.mapInArrow(rewritten, "chunk long, lang string, seq binary, phrases binary"), "recoded", **PARQUET)
+            rows = _Rows(batch)
+            for i in rows:
+                both = rows.numbers(i, "seq"), rows.numbers(i, "phrases")
+                yield _row_counts(rows.value(i, "lang"), *neighbours(*both, length + 1)[1:])
+
+    symbols = coded.mapInArrow(distinct, "chunk long, lang string, at int, pair long")
+    joined = coded.join(_given_back(symbols, ranked, "pair"), "chunk", "left")
+    if last:
+        return coded, joined.mapInArrow(counted, COUNTS)
+    new = common.materialise(joined.mapInArrow(written, "chunk long, lang string, length long, seq binary, phrases binary"),
+                             "coded", **PARQUET)
+    common.remove(coded)
+    return new, new.mapInArrow(again, COUNTS)
 
 
 def mine(docs: DataFrame, max_words: int = 3, min_count: int = 10, drop_percent: int = 50, top: int = 2000,

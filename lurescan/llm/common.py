@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescan.session import scratch_dir, ship_package
+from lurescan.session import remove_scratch, scratch_dir, ship_package
 
 #: Texts are handed to the numpy kernels in slices of about this many bytes (one text at least).
 SLICE_BYTES = 1 << 20
@@ -37,6 +38,9 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
+_paths: dict[int, str] = {}
+
+
 def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to a fresh folder under spark.checkpoint.dir (with the writer's ``options``) and read it back.
 
@@ -46,7 +50,15 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     ready(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Remove the files of a table from ``materialise`` that nothing will read again."""
+    remove_scratch(_paths.pop(id(df), None))
 
 
 def fresh(df: DataFrame, base: str) -> str:
