@@ -67,33 +67,107 @@ def extract_email(c) -> Column:
     return F.nullif(F.regexp_extract(_c(c).cast("string"), EMAIL_PATTERN, 0), F.lit(""))
 
 
-# Date forms of mail headers and logs, tried in order once weekday, comments,
-# clock time and zone are removed; month-first for the ambiguous numeric form
-DATE_FORMATS = (
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyy-M-d",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "M/d/yyyy",
-)
-_WEEKDAY = r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
-_CLOCK = r"[T\s]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[ap]m)?"
-_ZONE = r"\s*(?:(?:UTC|GMT)?[+-]\d{2}:?\d{2}|Z|[A-Z]{3,4})$"
+# Names of months and weekdays in dates (also their first three letters, and "sept")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "tues", "wednes", "thur", "thurs")
+#: Words that may stand in a date without a meaning.
+DATE_FILLERS = ("at", "on", "and", "ad", "of", "m", "t", "st", "nd", "rd", "th")
+#: Years of two digits lie before this year, at most a hundred years.
+CENTURY_END = 2075
+# clock times, with fraction, half of the day and offset or zone letter; a time without minutes needs am or pm
+_OFFSET = r"(?:\s*(?:UTC|GMT|Z)?\s*[+-]\d{1,2}:?\d{2}\b|\s*Z\b)?"
+_CLOCK = r"(?i)(?:(?<=\d)T|\b)\s*\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s*[ap]\.?m\b\.?)?" + _OFFSET + r"|\b\d{1,2}\s*[ap]\.?m\b\.?"
+_ZONE_NAME = r"(?<=[\s\d])(?!(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|SEPT|OCT|NOV|DEC|MON|TUE|TUES|WED|THU|THUR|FRI|SAT|SUN|MARCH|APRIL|JUNE|JULY)\b)[A-Z]{3,5}\b"
+
+
+def date_tokens(c) -> Column:
+    """Lower-case words and numbers of a date text in order, without comments, clock time, zone and fillers.
+
+    Null where anything else stands in the text.
+    """
+    s = F.regexp_replace(_c(c).cast("string"), r"\([^()]*\)", " ")
+    s = F.regexp_replace(F.regexp_replace(s, _CLOCK, " "), _ZONE_NAME, " ")
+    s = F.lower(s)
+    # what is not a word, a number or a separator is no date
+    clean = F.regexp_replace(s, r"[a-z]+|\d+|[\s,;/.'-]+", "") == ""
+    skip = F.array(*[F.lit(w) for w in (*DATE_FILLERS, *WEEKDAYS, *(d[:3] for d in WEEKDAYS[:7]))])
+    return F.when(clean, F.filter(F.regexp_extract_all(s, F.lit(r"[a-z]+|\d+"), 0), lambda t: ~F.array_contains(skip, t)))
 
 
-def clean_date(c) -> Column:
-    """Lenient date parse to ``dd/MM/yyyy``; unparsable -> null.
+def _month_number(t: Column) -> Column:
+    """1 to 12 for a month's name, 0 for any other token."""
+    out = F.lit(0)
+    for i, name in enumerate(MONTHS):
+        out = F.when(t.isin(name, name[:3], *(["sept"] if i == 8 else [])), i + 1).otherwise(out)
+    return out
+
 
-    The wall-clock date is kept: a zone offset is removed, not applied.
+def clean_date(c) -> Column:
+    """Lenient date parse by grammar to ``dd/MM/yyyy``; unparsable or incomplete -> null.
+
+    Three tokens make a date, at most one of them a month's name; a single
+    number of 6, 8, 12 or 14 digits is read from the year down.  Which number is
+    the year follows from its digits and size: with a name in the middle or in
+    front, a first (a middle) number above 31 is the year, else the last; without
+    a name, a first number above 31 or of more than two digits is the year and
+    month and day follow, a first number above 12 is the day, and else the month
+    comes first.  Years of two digits lie in the hundred years before
+    ``CENTURY_END``.  The wall-clock date is kept: an offset is not applied.
     """
-    s = F.trim(F.regexp_replace(_c(c).cast("string"), r"\([^()]*\)", " "))
-    s = F.regexp_replace(s, "(?i)" + _WEEKDAY, "")
-    s = F.regexp_replace(s, "(?<=[0-9T:\\sm.])" + _ZONE, "")
-    s = F.regexp_replace(s, "(?i)" + _CLOCK, " ")
-    s = F.trim(F.regexp_replace(F.translate(s, ",", " "), r"\s+", " "))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
-    return F.date_format(parsed, "dd/MM/yyyy")
+    return let(date_tokens(c), lambda t: let(_three(t), lambda x: let(_numbered(x), lambda full: let(
+        _resolved(t, full), _rendered))))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+PACKED = r"^(?:\d{6}|\d{8}|\d{12}|\d{14})$"
+
+
+def _packed(t: Column) -> Column:
+    return (F.size(t) == 1) & F.element_at(t, 1).rlike(PACKED)
+
+
+def _three(t: Column) -> Column:
+    """The three tokens of a date; a packed number is cut into year, month and day."""
+    one = F.element_at(t, 1)
+    width = F.when(F.length(one) == 6, 2).otherwise(4)
+    parts = F.array(F.substr(one, F.lit(1), width), F.substr(one, width + 1, F.lit(2)), F.substr(one, width + 3, F.lit(2)))
+    return F.when(_packed(t), parts).when(F.size(t) == 3, t)
+
+
+def _numbered(t: Column) -> Column:
+    """(number, digits, whether it is a month's name) of each token; words that are no month give no number."""
+    def of(x):
+        return let(_month_number(x), lambda m: F.struct(
+            F.when(x.rlike(r"^\d{1,4}$"), x.try_cast("int")).when(m > 0, m).alias("v"),
+            F.when(x.rlike(r"^\d+$"), F.length(x)).otherwise(0).alias("digits"), (m > 0).alias("name")))
+    return F.transform(t, of)
+
+
+def _resolved(t: Column, full: Column) -> Column:
+    """Year (with its digits), month and day among the three tokens."""
+    a, b, d = (F.element_at(full, i) for i in (1, 2, 3))
+
+    def order(y, m, day):
+        return F.struct(y["v"].alias("y"), y["digits"].alias("digits"), m["v"].alias("m"), day["v"].alias("d"))
+
+    names = F.size(F.filter(full, lambda x: x["name"]))
+    return (F.when(full.isNull() | (names > 1), None).when(_packed(t), order(a, b, d))
+            .when(a["name"], F.when(b["v"] > 31, order(b, a, d)).otherwise(order(d, a, b)))
+            .when(b["name"], F.when(a["v"] > 31, order(a, b, d)).otherwise(order(d, b, a)))
+            .when(d["name"], F.when(b["v"] > 31, order(b, d, a)).otherwise(order(a, d, b)))
+            .when((a["v"] > 31) | (a["digits"] > 2), order(a, b, d))
+            .when(a["v"] > 12, order(d, b, a)).otherwise(order(d, a, b)))
+
+
+def _rendered(p: Column) -> Column:
+    year = F.when(p["digits"] > 2, p["y"]).when(p["y"] + 2000 < CENTURY_END, p["y"] + 2000).otherwise(p["y"] + 1900)
+    text = F.format_string("%04d-%02d-%02d", year, p["m"], p["d"])
+    ok = p["m"].between(1, 12) & p["d"].between(1, 31) & (year > 0)
+    return F.when(ok, F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "dd/MM/yyyy"))
 
 
 def clean_subject(c) -> Column:

@@ -3,7 +3,7 @@
 Randomised subspace iteration (Halko, Martinsson and Tropp, 2011) on X^T X: a
 d x l matrix Q (d terms, l = k + ``OVERSAMPLE``) is multiplied by X^T X a few
 times.  A task forms its part of X^T (X Q) from its rows in numpy; the parts
-are summed in two levels, so the driver gets a few d x l matrices (bounded by
+are summed FAN at a time in levels, so the driver gets a few d x l matrices (bounded by
 vocabulary cap x l) and never a d x d one.  Its own algebra is a QR of d x l
 and an eigendecomposition of l x l.  Signs are fixed: the largest loading of
 each component, by absolute value, is positive.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def matrix_rows(weights: DataFrame, ids: DataFrame, id_col: str, vocab: DataFram
 
 
 def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-    """X^T X Q, summed over tasks in two levels."""
+    """X^T X Q, summed over tasks in levels of FAN parts, by partition id."""
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(q)
     d, width = q.shape
@@ -49,15 +50,22 @@ def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
             for js, ws in zip(batch["js"], batch["ws"]):
                 if len(js):
                     acc[js] += ws[:, None] * (ws @ shared.value[js])[None, :]
-        yield pd.DataFrame({"g": [np.random.default_rng().integers(FAN)], "m": [acc.tobytes()]})
+        yield pd.DataFrame({"p": [TaskContext.get().partitionId()], "m": [acc.tobytes()]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(m) for m in frame["m"])
-        return pd.DataFrame({"g": [frame["g"].iloc[0]], "m": [total.tobytes()]})
-
-    parts = rows.select("js", "ws").mapInPandas(part, "g int, m binary").groupBy("g").applyInPandas(add, "g int, m binary")
+        total = np.zeros(d * width)
+        for m in frame.sort_values("p")["m"]:  # at most FAN of them, always in the same order
+            total += np.frombuffer(m)
+        return pd.DataFrame({"p": [int(frame["p"].min()) // FAN], "m": [total.tobytes()]})
+
+    # the key of a part is its partition, so that a task run again sends it to the same sum
+    parts, count = rows.select("js", "ws").mapInPandas(part, "p int, m binary"), rows.rdd.getNumPartitions()
+    while True:
+        parts, count = parts.groupBy(F.floor(F.col("p") / FAN)).applyInPandas(add, "p int, m binary"), -(-count // FAN)
+        if count <= FAN:
+            break
     out = np.zeros((d, width))
-    for r in parts.collect():  # at most FAN matrices of d x l
+    for r in sorted(parts.collect(), key=lambda r: r["p"]):  # at most FAN matrices of d x l
         out += np.frombuffer(r["m"]).reshape(d, width)
     shared.unpersist()
     return out

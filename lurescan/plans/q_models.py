@@ -8,8 +8,6 @@ term), so they do not depend on how the table is partitioned.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, IDF, VectorAssembler
@@ -21,6 +19,7 @@ from lurescan.functions.lexicon import NLTK_STOPWORDS
 from lurescan.operators import evaluate as EV
 from lurescan.operators import models as MD
 from lurescan.operators import resample as RS
+from lurescan.operators import search as SR
 from lurescan.operators import splits as SP
 from lurescan.operators import svd as SVD
 from lurescan.operators import vectorize as V
@@ -256,36 +255,55 @@ def score_messages(spark, sf):
 
 register("score_messages")(score_messages)
 
-# the scripts' tree grid has 36 points; pass it (or any other) as ``values``
-TREE_GRID = {"maxDepth": [5, 10, 30], "minInstancesPerNode": [1, 2, 4]}
-FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10, 20], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+# the scripts' grids; depth None is Spark's largest
+TREE_GRID = {"max_depth": [None, 10, 20, 30], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4]}
+FOREST_GRID = {"max_features": [5000, 10000, 15000], "ngram_max": [2, 3], "n_estimators": [100, 200, 300, 400],
+               "max_depth": [None, 10, 20, 30], "max_features_split": ["sqrt", "log2", "all"], "min_samples_split": [2, 5],
+               "min_samples_leaf": [1, 2], "bootstrap": [True, False]}
+FOREST_FITS = ("max_features", "ngram_max", "max_features_split", "min_samples_leaf", "bootstrap")
+FOREST_WEIGHTS = {0: 1.0, 1: 5.0}
 
 
-def grid_search_tree(spark, sf, values=TREE_GRID, metric: str = "f1_macro"):
-    """Exhaustive grid over a tree's settings, 5-fold (fold column)."""
-    train, test, names, k, n = prepared(spark, sf)
-    est = MD.estimator("tree", len(names), k, n_rows=n)
-    cv = MD.grid_search(est, MD.param_grid(est, **values), train, metric=metric)
-    return _out(MD.prediction_frame(cv.bestModel, test))
+def folded_texts(spark, sf, k: int):
+    """(train with ``fold``, test) message texts of the stratified split."""
+    sp = scoped_cache(split_texts(spark, sf))
+    train = sp.where(F.col("is_test") == 0).drop("is_test")
+    fold = SP.kfold_stratified(train.select("msg_id", "label"), "msg_id", "label", k=k, seed=42).select("msg_id", "fold")
+    return scoped_cache(train.join(fold, "msg_id")), sp.where(F.col("is_test") == 1).drop("is_test")
+
+
+def grid_search_tree(spark, sf, values=TREE_GRID, metric: str = "accuracy"):
+    """All 36 points of the scripts' tree grid, 5-fold, vectoriser inside the folds; test predictions of the best."""
+    train, test = folded_texts(spark, sf, 5)
+    found = SR.PipelineSearch([SR.Vectorise(bundle="email")], SR.Trees(), metric, parallelism=4).run(train, SR.grid(**values))
+    return found.predict(train, test)
 
 
 register("grid_search_tree")(grid_search_tree)
 
 
-def random_search_forest(spark, sf, values=FOREST_GRID, n_iter: int = 10, metric: str = "accuracy"):
-    """Sampled points of a forest grid, 4-fold."""
-    train, test, names, k, n = prepared(spark, sf, k=4)
-    est = MD.estimator("forest", len(names), k, n_rows=n)
-    cv = MD.random_search(est, MD.param_grid(est, **values), n_iter, train, metric=metric)
-    return _out(MD.prediction_frame(cv.bestModel, test))
+def random_search_forest(spark, sf, values=FOREST_GRID, n_iter: int = 20, metric: str = "f1", per_group: int = 10):
+    """20 draws of the scripts' forest pipeline grid (2304 points), 4-fold; test predictions of the best.
+
+    The vectoriser gives term counts, which need far fewer split candidates than
+    weights that differ in every row (``SR.Vectorise()`` gives TF-IDF).  Drawn in groups of ``per_group`` points that share their fits:
+    a forest answers for fewer trees, lower depths and larger splits, too.
+    """
+    train, test = folded_texts(spark, sf, 4)
+    points = SR.sampled(SR.grid(**values), n_iter, shared=FOREST_FITS, per_group=per_group)
+    forests = SR.Trees(forest=True, class_weight=FOREST_WEIGHTS)
+    return SR.PipelineSearch([SR.Vectorise(tfidf=False, bundle="email")], forests, metric, parallelism=4).run(train, points).predict(train, test)
 
 
 register("random_search_forest")(random_search_forest)
 
 
 def cross_val_forest(spark, sf):
-    train, _, names, k, n = prepared(spark, sf)
-    return MD.cross_val_scores(MD.estimator("forest", len(names), k, n_rows=n), train)
+    """Accuracy, F1, recall, precision and macro F1 of a forest on each of five folds, vectoriser inside the folds."""
+    train, _ = folded_texts(spark, sf, 5)
+    point = {"max_features": VOCAB, "ngram_max": 1, "n_estimators": 100}
+    found = SR.PipelineSearch([SR.Vectorise(tfidf=False, bundle="email")], SR.Trees(forest=True), parallelism=4).run(train, [point])
+    return found.table(spark).drop("point")
 
 
 register("cross_val_forest")(cross_val_forest)
@@ -336,29 +354,60 @@ def mean_scores(spark, sf):
     return s.agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy"), F.round(F.avg("f1_macro"), 9).alias("mean_f1_macro"))
 
 
-def nb_search(spark, sf, alphas, metric: str):
-    """The smoothing with the best mean fold score (ties: the smaller), refitted on all train rows; test predictions."""
-    sp = scoped_cache(split_texts(spark, sf))
-    mean = fold_scores(nb_folds(sp, alphas)).groupBy("alpha").agg(F.round(F.avg(metric), 9).alias("s"))
-    best = mean.orderBy(F.desc("s"), "alpha").first()["alpha"]  # one row a point
-    feats, _ = MD.featurize(sp, "text", VOCAB, None, fit_on=sp.where(F.col("is_test") == 0))
-    model = MD.estimator("nb").setSmoothing(best).fit(feats.where(F.col("is_test") == 0))
-    pred = MD.prediction_frame(model, feats.where(F.col("is_test") == 1))
-    return pred.select("msg_id", "label", "pred", F.lit(best).alias("alpha"))
+NB_GRID = {"max_features": [250, 500, 1000, 3000], "alpha": list(ALPHAS)}
 
 
-def grid_search(spark, sf, alphas=ALPHAS, metric: str = "f1_macro"):
-    """Every smoothing of the grid, 5-fold, macro F1."""
-    return nb_search(spark, sf, alphas, metric)
+def nb_search(spark, sf, points, metric: str):
+    """The naive Bayes point with the best mean fold score (ties: the earlier); test predictions.
 
+    A vectoriser size is fitted once a fold and serves all its smoothings.
+    """
+    train, test = folded_texts(spark, sf, FOLDS)
+    found = SR.PipelineSearch([SR.Vectorise(tfidf=False)], SR.NaiveBayes(), metric).run(train, points)
+    best = points[found.best()]
+    return found.predict(train, test).select("msg_id", "label", "pred", F.lit(best["max_features"]).alias("max_features"),
+                                             F.lit(best["alpha"]).alias("alpha"))
 
-def sampled(alphas, n_iter: int, seed: int = 42) -> list[float]:
-    return random.Random(seed).sample(list(alphas), min(n_iter, len(alphas)))
 
+def grid_search(spark, sf, values=NB_GRID, metric: str = "f1_macro"):
+    """Every vectoriser size and smoothing of the grid, 5-fold, macro F1."""
+    return nb_search(spark, sf, SR.grid(**values), metric)
 
-def random_search(spark, sf, alphas=ALPHAS, n_iter: int = 3, metric: str = "accuracy"):
-    """A seeded sample of the grid, 5-fold, accuracy."""
-    return nb_search(spark, sf, sampled(alphas, n_iter), metric)
+
+def random_search(spark, sf, values=NB_GRID, n_iter: int = 10, metric: str = "f1"):
+    """A seeded sample of the grid, 5-fold, F1 of class 1."""
+    return nb_search(spark, sf, SR.sampled(SR.grid(**values), n_iter), metric)
+
+
+def _sql_nb_search(points, metric):
+    """DuckDB twin: naive Bayes of every (size, alpha) on every fold; fold -1 stands for all train rows."""
+    values = ", ".join(f"({i}, {p['max_features']}, {float(p['alpha'])!r})" for i, p in enumerate(points))
+    f1 = {"f1": "2 * max(tp) FILTER (cls = 1) / (max(y) FILTER (cls = 1) + max(p) FILTER (cls = 1))", "f1_macro": "avg(2 * tp / (y + p))"}[metric]
+    return FX.with_ctes(
+        *_sql_nb_cv([1.0])[:7],
+        "vocab AS (SELECT fold, term, row_number() OVER (PARTITION BY fold ORDER BY sum(tf) DESC, term) AS r FROM ft WHERE NOT held GROUP BY fold, term)",
+        "nd AS (SELECT fold, label AS cls, count(*) AS n FROM rw WHERE NOT held GROUP BY ALL)",
+        "ns AS (SELECT fold, sum(n) AS n, count(*) AS k FROM nd GROUP BY fold)",
+        "nct AS (SELECT fold, label AS cls, term, r, sum(tf) AS c FROM ft JOIN vocab USING (fold, term) WHERE NOT held GROUP BY ALL)",
+        f"pt AS (SELECT * FROM (VALUES {values}) t(point, size, alpha))",
+        "sz AS (SELECT DISTINCT size FROM pt)",
+        "vs AS (SELECT fold, size, count(*) AS v FROM vocab JOIN sz ON r <= size GROUP BY ALL)",
+        "nc AS (SELECT fold, cls, size, sum(c) AS c FROM nct JOIN sz ON r <= size GROUP BY ALL)",
+        "sc AS (SELECT rw.fold, pt.point, rw.msg_id, rw.label, nd.cls, ln(nd.n + alpha) - ln(ns.n + ns.k * alpha) "
+        "+ coalesce(sum(CASE WHEN vocab.r <= pt.size THEN ft.tf * (ln(coalesce(nct.c, 0) + alpha) - ln(nc.c + alpha * vs.v)) END), 0) AS s "
+        "FROM rw CROSS JOIN pt JOIN nd ON nd.fold = rw.fold JOIN ns ON ns.fold = rw.fold JOIN vs ON vs.fold = rw.fold AND vs.size = pt.size "
+        "JOIN nc ON nc.fold = rw.fold AND nc.cls = nd.cls AND nc.size = pt.size "
+        "LEFT JOIN ft ON ft.fold = rw.fold AND ft.msg_id = rw.msg_id LEFT JOIN vocab ON vocab.fold = rw.fold AND vocab.term = ft.term "
+        "LEFT JOIN nct ON nct.fold = rw.fold AND nct.cls = nd.cls AND nct.term = ft.term "
+        "WHERE rw.held GROUP BY rw.fold, pt.point, rw.msg_id, rw.label, nd.cls, nd.n, ns.n, ns.k, alpha)",
+        "pr AS (SELECT fold, point, msg_id, label, arg_max(cls, s) AS pred FROM sc GROUP BY ALL)",
+        "by_ AS (SELECT fold, point, cls, sum(tp) AS tp, sum(y) AS y, sum(p) AS p FROM ("
+        "SELECT fold, point, label AS cls, CAST(label = pred AS INTEGER) AS tp, 1 AS y, 0 AS p FROM pr WHERE fold >= 0 UNION ALL "
+        "SELECT fold, point, pred, 0, 0, 1 FROM pr WHERE fold >= 0) x GROUP BY ALL)",
+        f"fs AS (SELECT fold, point, coalesce({f1}, 0) AS m FROM by_ GROUP BY ALL)",
+        "best AS (SELECT point FROM (SELECT point, round(avg(m), 9) AS m FROM fs GROUP BY point) x ORDER BY m DESC, point LIMIT 1)") + (
+        "SELECT msg_id, label, CAST(pred AS INTEGER) AS pred, CAST(size AS INTEGER) AS max_features, CAST(alpha AS DOUBLE) AS alpha "
+        "FROM pr JOIN best USING (point) JOIN pt USING (point) WHERE fold = -1")
 
 
 def _sql_nb_cv(alphas) -> list[str]:
@@ -398,19 +447,12 @@ def _sql_nb_cv(alphas) -> list[str]:
         "fs AS (SELECT fold, alpha, sum(tp) / sum(y) AS accuracy, avg(2 * tp / (y + p)) AS f1_macro FROM by_ GROUP BY ALL)"]
 
 
-def _sql_nb_search(alphas, metric):
-    return FX.with_ctes(*_sql_nb_cv(alphas),
-                        f"best AS (SELECT alpha FROM (SELECT alpha, round(avg({metric}), 9) AS m FROM fs GROUP BY alpha) x "
-                        "ORDER BY m DESC, alpha LIMIT 1)") + (
-        "SELECT msg_id, label, CAST(pred AS INTEGER) AS pred, CAST(best.alpha AS DOUBLE) AS alpha FROM pr JOIN best ON pr.alpha = best.alpha WHERE fold = -1")
-
-
 register("cross_val_scores", sql=FX.with_ctes(*_sql_nb_cv([1.0])) + (
     "SELECT CAST(fold AS INTEGER) AS fold, round(accuracy, 9) AS accuracy, round(f1_macro, 9) AS f1_macro FROM fs"))(cross_val_scores)
 register("mean_scores", sql=FX.with_ctes(*_sql_nb_cv([1.0])) + (
     "SELECT round(avg(accuracy), 9) AS mean_accuracy, round(avg(f1_macro), 9) AS mean_f1_macro FROM fs"))(mean_scores)
-register("grid_search", sql=_sql_nb_search(ALPHAS, "f1_macro"))(grid_search)
-register("random_search", sql=_sql_nb_search(sampled(ALPHAS, 3), "accuracy"))(random_search)
+register("grid_search", sql=_sql_nb_search(SR.grid(**NB_GRID), "f1_macro"))(grid_search)
+register("random_search", sql=_sql_nb_search(SR.sampled(SR.grid(**NB_GRID), 10), "f1"))(random_search)
 
 
 def top_features(spark, sf):

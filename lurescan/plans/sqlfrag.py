@@ -111,10 +111,13 @@ MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','de
 # (pattern, year, month, day groups; whether the month is a name): shapes searched anywhere in the text,
 # unlike the Spark side, which strips the text and tries formats
 DATE_SHAPES = (
-    ("(\\d{4})-(\\d{1,2})-(\\d{1,2})", 1, 2, 3, False),
+    ("(\\d{4})[-/](\\d{1,2})[-/](\\d{1,2})", 1, 2, 3, False),
+    ("^(\\d{4})(\\d{2})(\\d{2})$", 1, 2, 3, False),
+    ("(\\d{1,2})-([A-Za-z]{3})-(\\d{4})", 3, 2, 1, True),
     ("(\\d{1,2}) +([A-Za-z]{3})[a-z]* +(\\d{4})", 3, 2, 1, True),
     ("([A-Za-z]{3})[a-z]* +(\\d{1,2}),? +(?:\\d{1,2}:\\d{2}:\\d{2} +)?(\\d{4})", 3, 1, 2, True),
     ("(\\d{1,2})/(\\d{1,2})/(\\d{4})", 3, 1, 2, False),
+    ("^(\\d{2})/(\\d{2})/(\\d{2})$", 3, 1, 2, False),
 )
 
 
@@ -124,8 +127,10 @@ def clean_date(t):
     for p, y, m, d, named in DATE_SHAPES:
         part = lambda g: f"regexp_extract({s}, '{p}', {g})"  # noqa: B023, E731
         month = f"list_position({MONTHS}, lower({part(m)}))" if named else f"try_cast({part(m)} AS INTEGER)"
+        year = f"try_cast({part(y)} AS INTEGER)"
+        year = f"CASE WHEN {year} < 75 THEN {year} + 2000 WHEN {year} < 100 THEN {year} + 1900 ELSE {year} END"
         arms.append(f"WHEN regexp_matches({s}, '{p}') THEN strftime(try_cast(printf('%04d-%02d-%02d', "
-                    f"try_cast({part(y)} AS INTEGER), {month}, try_cast({part(d)} AS INTEGER)) AS DATE), '%d/%m/%Y')")
+                    f"{year}, {month}, try_cast({part(d)} AS INTEGER)) AS DATE), '%d/%m/%Y')")
     return "CASE " + " ".join(arms) + " END"
 
 

@@ -142,6 +142,12 @@ DATE_RENDERINGS = (
     ("EEE MMM d HH:mm:ss yyyy", "%a %b %-d %H:%M:%S %Y", ""),
     ("EEE, d MMM yyyy HH:mm:ss", "%a, %-d %b %Y %H:%M:%S", " GMT"),
     ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", ".250+02:00"),
+    ("yyyy/MM/dd", "%Y/%m/%d", ""),
+    ("dd-MMM-yyyy", "%d-%b-%Y", ""),
+    ("yyyyMMdd", "%Y%m%d", ""),
+    ("MM/dd/yy", "%m/%d/%y", ""),
+    ("HH:mm d MMM yyyy", "%H:%M %-d %b %Y", ""),
+    ("EEEE, d MMMM yyyy", "%A, %-d %B %Y", " 5pm EDT"),
 )
 
 
