@@ -2,10 +2,13 @@
 
 Pattern kinds (MONEY, DATE, CARDINAL, PERCENT, QUANTITY, TIME, URL, EMAIL,
 PHONE) are regex counts inside the row.  Name kinds (PERSON, ORG, GPE) are
-unigram/bigram matches against a gazetteer table that Spark derives from the
-given tables; the match is an equi join of the exploded n-grams with the
-gazetteer (broadcast only below a checked row count), so only hits travel
-through the shuffle.
+matches of whole names, of any number of words, against a gazetteer table that
+Spark derives from the given tables.  The gazetteer becomes a trie of its names'
+prefixes, one table a level; a text's positions are walked through it by one
+join a level (broadcast only below a checked size), and positions whose prefix
+is in no name leave at the first level that misses them.  Of the names that
+begin at a position the longest counts, and from the left no name counts inside
+another one.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescan.operators.joins import lookup_join
-from lurescan.operators.textops import shifted_join
+from lurescan.session import scoped_cache
 from lurescan.sources.tables import table
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -52,6 +55,52 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
             .select("name", F.col("m.kind").alias("kind")))
 
 
+def name_trie(gaz: DataFrame) -> DataFrame:
+    """(prefix, words, kind): every prefix of the names' words; ``kind`` where it is a whole name, else null.
+
+    Names are cut into words as texts are.  A name of several kinds has the
+    first in the order PERSON, ORG, GPE; names without a word match nothing.
+    """
+    words = F.regexp_extract_all(F.lower("name"), F.lit(TOKEN), 0)
+    rank = F.array_position(F.array(*[F.lit(k) for k in NAME_KINDS]), F.col("kind"))
+    each = (gaz.select(words.alias("w"), "kind").where(F.size("w") > 0)
+            .select("w", "kind", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("words")))
+    whole = F.when(F.size("w") == F.col("words"), F.struct(rank.alias("r"), F.col("kind")))
+    return (each.select(F.array_join(F.slice("w", 1, F.col("words")), " ").alias("prefix"), "words", whole.alias("k"))
+            .groupBy("prefix", "words").agg(F.min("k").alias("k")).select("prefix", "words", F.col("k.kind").alias("kind")))
+
+
+def name_matches(df: DataFrame, gaz: DataFrame, id_col: str, tokens_col: str = "_tok") -> DataFrame:
+    """(id, at, words, kind): the longest name that begins at each position (from 1) of a row's tokens."""
+    trie = scoped_cache(name_trie(gaz))
+    depth = trie.agg(F.max("words")).first()[0] or 0  # words of the longest name
+    at = F.explode(F.sequence(F.lit(1), F.size(tokens_col)))
+    walk = (df.where(F.size(tokens_col) > 0).select(id_col, tokens_col, at.alias("at"))
+            .select(id_col, "at", F.slice(tokens_col, F.col("at"), F.lit(max(1, depth))).alias("_ahead"),
+                    F.lit(True).alias("_alive"), F.lit(None).cast("int").alias("words"), F.lit(None).cast("string").alias("kind")))
+    for level in range(1, depth + 1):
+        prefix = F.when(F.col("_alive") & (F.size("_ahead") >= level), F.array_join(F.slice("_ahead", 1, level), " "))
+        here = trie.where(F.col("words") == level).select(F.col("prefix").alias("_prefix"), F.col("kind").alias("_kind"))
+        walk = lookup_join(walk.withColumn("_prefix", prefix), here.withColumn("_in", F.lit(True)), "_prefix", how="left")
+        walk = walk.select(id_col, "at", "_ahead", F.coalesce("_in", F.lit(False)).alias("_alive"),
+                           F.when(F.col("_kind").isNotNull(), level).otherwise(F.col("words")).alias("words"),
+                           F.coalesce("_kind", "kind").alias("kind")).where(F.col("_alive") | F.col("kind").isNotNull())
+    return walk.where(F.col("kind").isNotNull()).select(id_col, "at", "words", "kind")
+
+
+def name_counts(df: DataFrame, gaz: DataFrame, kinds: list[str], id_col: str) -> DataFrame:
+    """(id, a count a kind) of the names in a row's tokens, from the left, none inside another one."""
+    found = name_matches(df, gaz, id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("at", "words", "kind"))).alias("_m"))
+    start = F.struct(F.lit(0).alias("end"), *[F.lit(0).cast("long").alias(k) for k in kinds])
+
+    def take(state, m):
+        free = m["at"] >= state["end"]
+        return F.struct(F.when(free, m["at"] + m["words"]).otherwise(state["end"]).alias("end"),
+                        *[(state[k] + F.when(free & (m["kind"] == k), 1).otherwise(0)).cast("long").alias(k) for k in kinds])
+
+    return found.select(id_col, F.aggregate("_m", start, take).alias("_s")).select(id_col, *[F.col("_s")[k].alias(k) for k in kinds])
+
+
 def entity_counts(df: DataFrame, gaz: DataFrame, kinds=SMS_KINDS, id_col: str = "msg_id",
                   text_col: str = "text", extra: list | None = None) -> DataFrame:
     """Entity counts per row; ``extra`` columns (e.g. other features of the same text)
@@ -67,11 +116,7 @@ def entity_counts(df: DataFrame, gaz: DataFrame, kinds=SMS_KINDS, id_col: str =
     )
     if not name_kinds:
         return base.drop("_tok")
-    # unigrams and bigrams of the lower-cased tokens, exploded; only gazetteer hits survive the join
-    grams = F.concat(F.col("_tok"), shifted_join(F.col("_tok"), 2))
-    exploded = base.select(id_col, F.explode(grams).alias("name"))
-    hits = lookup_join(exploded, gaz, "name", how="inner")
-    counts = (hits.groupBy(id_col).pivot("kind", list(name_kinds)).count())
+    counts = name_counts(base.select(id_col, "_tok"), gaz, name_kinds, id_col)
     out = base.drop("_tok").join(counts, id_col, "left")
     cols = [id_col] + [c for c in out.columns if c not in kinds and c != id_col] + [F.coalesce(F.col(k), F.lit(0)).cast("long").alias(k) if k in name_kinds else F.col(k)
                        for k in kinds]
@@ -88,13 +133,15 @@ def oracle_sql(kinds) -> str:
            "UNION ALL SELECT lower(n_name), 'GPE', 2 FROM nation "
            "UNION ALL SELECT lower(s_name), 'ORG', 1 FROM supplier "
            "UNION ALL SELECT lower(c_name), 'PERSON', 0 FROM customer), "
-           "gaz AS (SELECT name, arg_min(kind, r) AS kind FROM gaz0 GROUP BY name)")
+           "gaz AS (SELECT w, arg_min(kind, r) AS kind FROM (SELECT regexp_extract_all(name, '[\\p{L}\\p{N}#]+') AS w, kind, r FROM gaz0) x "
+           "WHERE len(w) > 0 GROUP BY w)")
     toks = ("tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}#]+') AS t FROM documents), "
-            "grams AS (SELECT doc_id, unnest(t) AS name FROM tk "
-            "UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM tk, "
-            "LATERAL (SELECT unnest(range(1, len(t))) AS i) r), "
-            "hits AS (SELECT g.doc_id, z.kind, count(*) AS n FROM grams g JOIN gaz z ON g.name = z.name "
-            "GROUP BY g.doc_id, z.kind)")
+            "grams AS (SELECT doc_id, i AS pos, n, t[i:i + n - 1] AS w FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM tk) x, "
+            "(SELECT DISTINCT len(w) AS n FROM gaz) s WHERE i + n - 1 <= len(t)), "
+            "longest AS (SELECT g.doc_id, g.pos, max(n) AS n, arg_max(z.kind, n) AS kind FROM grams g JOIN gaz z ON g.w = z.w GROUP BY ALL), "
+            "taken AS (SELECT doc_id, list_reduce(list({'e': pos + n, 'p': pos, 'k': [kind]} ORDER BY pos), "
+            "lambda a, b: CASE WHEN b.p >= a.e THEN {'e': b.e, 'p': b.p, 'k': list_concat(a.k, b.k)} ELSE a END).k AS ks FROM longest GROUP BY doc_id), "
+            "hits AS (SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, unnest(ks) AS kind FROM taken) x GROUP BY ALL)")
     sel = ["d.doc_id"]
     for k in kinds:
         if k in PATTERNS:

@@ -104,7 +104,7 @@ register("entity_counts_sms", sql=entities.oracle_sql(entities.SMS_KINDS))(entit
 
 
 def bind_columns(spark, sf):
-    """Hand-made features and entity counts attached row by row (one projection, no join on the id)."""
+    """Hand-made features and entity counts side by side; the counts of names come back by a join on the id."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     # one projection over the text: features and pattern counts side by side (no self-join)
     return entities.entity_counts(d, entities.gazetteer(spark, sf), kinds=entities.EMAIL_KINDS,
