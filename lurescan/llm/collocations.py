@@ -6,7 +6,8 @@ spaces and tabs into words.  Everything is counted per language.
 1. One pass over the texts writes *chunks*: the words of about
    ``CHUNK_BYTES`` of text of one language as a dictionary and a sequence of
    local numbers, -1 between pieces.  Longer texts are cut between pieces.
-2. Words found ``min_count`` times or more get ids by falling frequency.  Each
+2. Words found ``min_count`` times or more get ids by falling frequency (over
+   all languages, a word of each language for itself).  Each
    chunk's distinct words meet them in a join and its sequence is rewritten in ids.
 3. Pairs of neighbours are counted: ids are split into tiles of 2^TILE_BITS by
    2^TILE_BITS pairs; a tile with many pairs, as those of frequent words, is
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurescan.llm import common
-from lurescan.operators.ranking import rank_in_groups
+from lurescan.operators.ranking import global_rank
 
 CHUNK_BYTES = 6 << 20
 #: Chunks of all languages that a task holds back, in bytes of text.
@@ -60,7 +61,7 @@ BETWEEN[[0x20, 0x09]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BREAK = np.int32(-1)
-COUNTS = "lang string, pair long, n long"
+COUNTS = "pair long, n long"
 
 
 def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -241,36 +242,36 @@ class _Rows:
         return out
 
     def row(self, i: int, **new) -> pa.RecordBatch:
-        """Row i's chunk, lang and length with other columns."""
-        keys = ["chunk", "lang", "length"]
+        """Row i's chunk and length with other columns."""
+        keys = ["chunk", "length"]
         columns = [self.batch.column(k).slice(i, 1) for k in keys] + [pa.array([v], pa.binary()) for v in new.values()]
         return pa.RecordBatch.from_arrays(columns, [*keys, *new])
 
 
-def _frequent(sums: DataFrame, key: str, min_count: int, name: str) -> DataFrame:
-    """lang, key, f, id (from 0, by falling f) of the symbols found often enough."""
+def _frequent(sums: DataFrame, key: list[str], min_count: int, name: str) -> DataFrame:
+    """key, f, id (from 0, by falling f) of the symbols found often enough.
+
+    Ids run over all languages, so that an id, and a pair of ids, has one language.
+    """
     often = sums.where(F.col("f") >= min_count)
-    ranked = rank_in_groups(often, ["lang"], [F.desc("f"), key])
-    return common.materialise(ranked.select("lang", key, "f", (F.col("rank") - 1).alias("id")), name)
+    ranked = global_rank(often, [F.desc("f"), *key])
+    return common.materialise(ranked.select(*key, "f", (F.col("rank") - 1).alias("id")), name)
 
 
-def _given_back(symbols: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
+def _given_back(symbols: DataFrame, ranked: DataFrame, key: list[str]) -> DataFrame:
     """(chunk, ids): for each chunk the number in the chunk << 32 | id of its symbols that are frequent.
 
-    ``symbols`` (chunk, at, lang, key) has a chunk's distinct symbols, so a list
+    ``symbols`` (chunk, at, key) has a chunk's distinct symbols, so a list
     is bounded by the chunk.  The frequent symbols of a partition are hashed, as
     sorting the many others would cost most.
     """
     both = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("id"))
-    return (symbols.join(ranked.select("lang", key, "id").hint("shuffle_hash"), ["lang", key])
+    return (symbols.join(ranked.select(*key, "id").hint("shuffle_hash"), key)
             .groupBy("chunk").agg(F.collect_list(both).alias("ids")))
 
 
-def _row_counts(lang: str, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    pair, n = count_pairs(left, right)
-    return pa.RecordBatch.from_arrays(
-        [pa.DictionaryArray.from_arrays(np.zeros(len(pair), np.int32), pa.array([lang])).cast(pa.string()), pa.array(pair), pa.array(n)],
-        ["lang", "pair", "n"])
+def _row_counts(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in count_pairs(left, right)], ["pair", "n"])
 
 
 def count_phrases(chunked: DataFrame, max_words: int, min_count: int) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +280,7 @@ def count_phrases(chunked: DataFrame, max_words: int, min_count: int) -> tuple[D
             .groupBy("lang", F.col("s.symbols").alias("word")).agg(F.sum("s.counts").alias("f")))
     sums = common.materialise(sums, "word-counts")
     totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = _frequent(sums, "word", min_count, "words")
+    words = _frequent(sums, ["lang", "word"], min_count, "words")
 
     def in_ids(batches):
         for batch in batches:
@@ -289,9 +290,9 @@ def count_phrases(chunked: DataFrame, max_words: int, min_count: int) -> tuple[D
                 yield rows.row(i, seq=pack(known[rows.numbers(i, "seq")]))
 
     symbols = chunked.select("chunk", "lang", F.posexplode("symbols").alias("at", "word"))
-    coded = (chunked.select("chunk", "lang", "length", "seq", F.size("symbols").alias("size"))
-             .join(_given_back(symbols, words, "word"), "chunk", "left")
-             .mapInArrow(in_ids, "chunk long, lang string, length long, seq binary"))
+    coded = (chunked.select("chunk", "length", "seq", F.size("symbols").alias("size"))
+             .join(_given_back(symbols, words, ["lang", "word"]), "chunk", "left")
+             .mapInArrow(in_ids, "chunk long, length long, seq binary"))
     coded = common.materialise(coded, "coded", **PARQUET)
     common.remove(chunked)
 
@@ -300,17 +301,17 @@ def count_phrases(chunked: DataFrame, max_words: int, min_count: int) -> tuple[D
             rows = _Rows(batch)
             for i in rows:
                 ids = rows.numbers(i, "seq")
-                yield _row_counts(rows.value(i, "lang"), *neighbours(ids, ids, 1)[1:])
+                yield _row_counts(*neighbours(ids, ids, 1)[1:])
 
     counts = coded.mapInArrow(pairs, COUNTS)
     phrases = words.select("lang", "id", F.array("word").alias("words"), "f")
     found = [phrases]
     for length in range(1, max_words):
-        sums = counts.groupBy("lang", "pair").agg(F.sum("n").alias("f"))
-        ranked = _frequent(sums, "pair", min_count, f"phrases-{length + 1}")
-        longer = (ranked.select("lang", "id", "f", F.shiftright("pair", 32).alias("l"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("r"))
-                  .join(phrases.select("lang", F.col("id").alias("l"), F.col("words").alias("w")), ["lang", "l"])
-                  .join(words.select("lang", F.col("id").alias("r"), "word"), ["lang", "r"])
+        sums = counts.groupBy("pair").agg(F.sum("n").alias("f"))
+        ranked = _frequent(sums, ["pair"], min_count, f"phrases-{length + 1}")
+        longer = (ranked.select("id", "f", F.shiftright("pair", 32).alias("l"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("r"))
+                  .join(phrases.select("lang", F.col("id").alias("l"), F.col("words").alias("w")), "l")
+                  .join(words.select(F.col("id").alias("r"), "word"), "r")
                   .select("lang", "id", F.concat("w", F.array("word")).alias("words"), "f"))
         phrases = common.materialise(longer, f"phrase-words-{length + 1}")
         found.append(phrases)
@@ -339,11 +340,9 @@ def _longer(coded: DataFrame, ranked: DataFrame, length: int, last: bool) -> tup
             rows = _Rows(batch)
             for i in rows:
                 pair = np.unique(of(rows, i)[2])
-                fill = np.zeros(len(pair), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pair), rows.value(i, "chunk"))),
-                     pa.DictionaryArray.from_arrays(fill, pa.array([rows.value(i, "lang")])).cast(pa.string()),
-                     pa.array(np.arange(len(pair), dtype=np.int32)), pa.array(pair)], ["chunk", "lang", "at", "pair"])
+                    [pa.array(np.full(len(pair), rows.value(i, "chunk"))), pa.array(np.arange(len(pair), dtype=np.int32)),
+                     pa.array(pair)], ["chunk", "at", "pair"])
 
     def rewritten(rows, i):
         ids, at, pair = of(rows, i)
@@ -362,20 +361,20 @@ def _longer(coded: DataFrame, ranked: DataFrame, length: int, last: bool) -> tup
         for batch in batches:
             rows = _Rows(batch)
             for i in rows:
-                yield _row_counts(rows.value(i, "lang"), *neighbours(*rewritten(rows, i), length + 1)[1:])
+                yield _row_counts(*neighbours(*rewritten(rows, i), length + 1)[1:])
 
     def again(batches):
         for batch in batches:
             rows = _Rows(batch)
             for i in rows:
                 both = rows.numbers(i, "seq"), rows.numbers(i, "phrases")
-                yield _row_counts(rows.value(i, "lang"), *neighbours(*both, length + 1)[1:])
+                yield _row_counts(*neighbours(*both, length + 1)[1:])
 
-    symbols = coded.mapInArrow(distinct, "chunk long, lang string, at int, pair long")
-    joined = coded.join(_given_back(symbols, ranked, "pair"), "chunk", "left")
+    symbols = coded.mapInArrow(distinct, "chunk long, at int, pair long")
+    joined = coded.join(_given_back(symbols, ranked, ["pair"]), "chunk", "left")
     if last:
         return coded, joined.mapInArrow(counted, COUNTS)
-    new = common.materialise(joined.mapInArrow(written, "chunk long, lang string, length long, seq binary, phrases binary"),
+    new = common.materialise(joined.mapInArrow(written, "chunk long, length long, seq binary, phrases binary"),
                              "coded", **PARQUET)
     common.remove(coded)
     return new, new.mapInArrow(again, COUNTS)

@@ -125,8 +125,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     run_stream(spark, source[0].rsplit("/", 1)[0], prints.schema, checkpoint)
     groups = read_state(spark, checkpoint)
 
-    several = groups.where("n > 1")
-    bad = differing(docs, id_col, text_col, digest, several)
+    bad = differing(docs, id_col, text_col, digest)
     out = prints.join(groups, "digest").select(
         "id", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("locator") == F.col("first.locator")).alias("kept"), "locator")
@@ -136,21 +135,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
             .unionByName(by_text(docs, id_col, text_col, digest, prints, bad)))
 
 
-def differing(docs: DataFrame, id_col: str, text_col: str, digest, several: DataFrame) -> DataFrame:
-    """Digests under which a hit's bytes differ from the retained content.
+def differing(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    """Digests that stand for several texts.
 
-    Only rows of groups are compared: each digest's retained row supplies the
-    content, found through its id within the digest; all rows of the digest
-    meet it in an equi-join whose hot keys AQE splits.
+    Rows are grouped by digest and text, bytes compared, so a hot text sends
+    one row a task, and then the texts of each digest are counted.
     """
     text = normalised(common.text_of(F.col(f"`{text_col}`")))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
-    rows = rows.join(several.select("digest", F.col("first.id").alias("first_id")), "digest")
-    rows = common.materialise(rows, "op1-group-rows")  # read for the retained content and for the hits
-    content = rows.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(
-        F.min("text").alias("retained"), F.max("text").alias("other"))
-    hits = rows.join(content, "digest").where((F.col("text") != F.col("retained")) | (F.col("retained") != F.col("other")))
-    return common.materialise(hits.select("digest").distinct(), "op1-differing")
+    rows = docs.select(text.alias("text")).withColumn("digest", digest(F.col("text")))
+    texts = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("rows"))
+    several = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    return common.materialise(several.select("digest"), "op1-differing")
 
 
 def by_text(docs: DataFrame, id_col: str, text_col: str, digest, prints: DataFrame, bad: DataFrame) -> DataFrame:

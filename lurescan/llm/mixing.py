@@ -121,27 +121,30 @@ def seeded(seed: int, epoch: Column, id_: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
-def leaf_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def leaf_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, row_col: str | None = None) -> DataFrame:
+    number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")
     text = common.text_of(F.col(f"`{text_col}`"))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), domain_of(text).alias("domain"),
                        *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n)
                          for c, n in ((lang_col, "lang"), (source_col, "source"))),
-                       n_words(text).alias("n_tokens"))
+                       n_words(text).alias("n_tokens"), number.alias("row"))
 
 
 def draw(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, percent: int = BUDGET_PERCENT,
          max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-         lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row for each epoch of each document drawn: id, leaf, epoch, n_tokens, take_tokens."""
+         lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row for each epoch of each document drawn: id, row, leaf, epoch, n_tokens, take_tokens.
+
+    ``row`` tells rows with equal ids apart: the number in ``row_col``, or one given here.
+    """
     keys = list(LEVELS)
-    rows = common.materialise(leaf_rows(docs, id_col, text_col, lang_col, source_col)
-                              .withColumn("row", F.monotonically_increasing_id()), "op4-rows")
+    rows = common.materialise(leaf_rows(docs, id_col, text_col, lang_col, source_col, row_col), "op4-rows")
     budgets = plan(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), weights, percent, max_epochs)
     budgets = common.materialise(budgets, "op4-plan")
     leaves = budgets.select(*keys, F.expr("budget div tokens").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"))
     rows = rows.where("n_tokens > 0").join(leaves, keys)
 
-    full = rows.where("epochs > 0").select("id", *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))).alias("epoch"),
+    full = rows.where("epochs > 0").select("id", "row", *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))).alias("epoch"),
                                            "n_tokens", F.col("n_tokens").alias("take_tokens"))
 
     part = rows.where("rest > 0").withColumn("epoch", F.col("epochs") + 1)
@@ -157,12 +160,12 @@ def draw(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, pe
         place = F.when(F.col("start") + F.col("s") <= F.col("limit"), "in").when(F.col("start") < F.col("limit"), "cut")
         sums = sums.withColumn("place", place).where("place is not null").select(*group, digit, "start", "place")
         met = part.join(sums, group + [digit])
-        taken.append(met.where("place = 'in'").select("id", *keys, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens")))
+        taken.append(met.where("place = 'in'").select("id", "row", *keys, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens")))
         part = met.where("place = 'cut'").withColumn("rest", F.col("rest") - F.col("start")).drop("start", "place")
         group = group + [digit]
     run = Window.partitionBy(*group).orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
     last = part.withColumn("start", F.coalesce(F.sum("n_tokens").over(run), F.lit(0).cast("long"))).where("start < rest")
-    taken.append(last.select("id", *keys, "epoch", "n_tokens", F.least("n_tokens", F.col("rest") - F.col("start")).alias("take_tokens")))
+    taken.append(last.select("id", "row", *keys, "epoch", "n_tokens", F.least("n_tokens", F.col("rest") - F.col("start")).alias("take_tokens")))
     for x in taken:
         full = full.unionByName(x)
     return full
@@ -171,12 +174,16 @@ def draw(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, pe
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs`` as often as they are drawn, whole documents, all columns.
 
-    The document in which a leaf's budget ends is taken whole.  Needs unique ids.
+    The document in which a leaf's budget ends is taken whole.  Every row is
+    drawn by itself, also one with a null id or an id that another row has:
+    rows are numbered and written once, and the draws meet them by number.
     """
-    times = draw(docs, id_col=id_col, **options).groupBy(F.col("id").alias("_drawn")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return (docs.join(times, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_drawn")))
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*names))
+    row, copy = common.fresh(docs, "_row_number"), common.fresh(docs, "_copy")
+    numbered = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "op4-docs")
+    times = draw(numbered, id_col=id_col, row_col=row, **options).groupBy(F.col("row").alias(row)).agg(
+        F.count(F.lit(1)).cast("int").alias(copy))
+    again = F.explode(F.array_repeat(F.lit(1), F.col(f"`{copy}`")))
+    return numbered.join(times, row).select(*[F.col(f"`{c}`") for c in docs.columns], again.alias(copy)).drop(copy)
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -151,3 +151,13 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {"a": 10, "b": 392, "c": 402}
     got = {r.source: r.budget for r in mixing.plan(leaves, w | {"domain": {"prose": 90, "table": 10}}, 60, 1).collect()}
     assert got == {"a": 10, "b": 1000, "c": 196}
+
+
+def test_mixing_draws_rows_with_equal_and_null_ids_by_themselves(spark):
+    from lurescan.llm import mixing
+
+    rows = [(7, "one two three", "en", "a"), (7, "four five six", "en", "a"), (None, "x y z", "en", "a"), (None, "u v w", "en", "a"),
+            (8, "one two three", "en", "a"), (8, "one two three", "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [tuple(r) for r in mixing.mixed(df, percent=100, max_epochs=1).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
