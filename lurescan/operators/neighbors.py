@@ -1,38 +1,57 @@
-"""Exact k nearest neighbours with pivot cells.
-
-A few reference rows are pivots; every reference belongs to the cell of its
-nearest pivot, within its group.  A query first meets the cells nearest to it
-that hold k references; the k-th distance found there bounds the rest: by the
-triangle inequality a cell whose ring around its pivot cannot hold anything
-nearer is skipped.  So a query travels to the cells that may matter, not to
-every block of references (how many that are depends on the data: few in
-clustered or low-dimensional data, up to all of them where distances hardly
-differ).
-
-Cells and queries meet through an equi-key ``cogroup`` in blocks of at most
-``lurescan.knn.blockRows`` rows a side, so a large cell is spread over tasks;
-each task emits its k best per query, and a window per query merges them.
-Cosine distances are searched on unit vectors (chord length is a metric); the
-distance reported is the usual one.  The driver holds the pivots and one row
-per group and cell.
+"""Exact k nearest neighbours with a two-level tree of cells.
+
+About sqrt(n) reference rows, drawn by hash, are the centres of leaf cells; the
+first of them are also top nodes, about the square root of the leaves, and each
+leaf hangs under its nearest top node.  A reference goes down the tree to one
+leaf, within its group.  Leaves and top nodes keep the ring (least and greatest
+distance to their centre) of what they hold, for each group.
+
+A query first meets the nearest leaves that hold k references under its nearest
+top node; the k-th distance found there bounds the rest.  A top node, and then a
+leaf, is skipped if its ring cannot hold anything nearer (triangle inequality) or
+if all of it lies too far behind the plane between its centre and the centre
+nearest to the query, which would have taken anything on this side.  A query travels once to each leaf that may matter: how many depends on
+the data (few where they are clustered or low-dimensional, up to all of them
+where distances hardly differ), not on the number of references in a leaf up to
+``lurescan.knn.cellRows``.
+
+Leaves and queries meet through an equi-key ``cogroup``: at most
+``lurescan.knn.blockRows`` queries (default 2048) and ``lurescan.knn.cellRows``
+references (default 32768) in a task's group.  Larger leaves and busier leaves are
+split by hash into several groups.  Each group emits its k best per query, and a
+window per query merges them.  Cosine distances are searched on unit vectors
+(chord length is a metric); the distance reported is the usual one.
+
+The driver holds the centres, at most ``lurescan.knn.treeBytes`` (default 64 MB,
+which is 30,000 leaves of 256 columns), and one row per group and leaf.  With
+more references the leaves grow, not the tree.
 
 Ties are broken by the neighbour id, so results are deterministic.  A zero
-vector is at cosine distance 1 from everything.
+vector is at cosine distance 1 from everything.  Rows with a null group, vector
+or id take no part.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurescan.session import ensure_checkpoint_dir
+from lurescan.session import ensure_checkpoint_dir, scratch_dir
 
 OUT_SCHEMA = "qid long, nid long, dist double"
+ASKED_SCHEMA = "g string, leaf int, qid long, qv array<double>"
+PLACED_SCHEMA = "g string, nid long, nv array<double>, leaf int, dist double, top_dist double"
 DEFAULT_BLOCK_ROWS = 2048
-MAX_PIVOTS = 512
-SLACK = 1e-9
+DEFAULT_CELL_ROWS = 32768
+DEFAULT_TREE_BYTES = 64 << 20
+#: Distances to centres come from a matrix product; bounds are widened by its rounding, relative to the largest norms.
+SLACK = 1e-6
+SQUARE_SLACK = 1e-11
+STEP = 4096
 
 
 def _search_form(x: np.ndarray, metric: str) -> np.ndarray:
@@ -54,55 +73,206 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return d
 
 
+def _rough(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances by a matrix product, right up to rounding (see ``SLACK``)."""
+    d2 = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :] - 2 * (x @ y.T)
+    return np.sqrt(np.maximum(d2, 0))
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _least(d: np.ndarray, nid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least entries of every row, ties by id; only entries up to the k-th value are sorted."""
+    if d.shape[1] <= k:
+        row, col = np.divmod(np.arange(d.size), d.shape[1])
+    else:
+        row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1:k])
+    order = np.lexsort((nid[row, col], d[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def _block_topk(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str, exclude_self: bool) -> pd.DataFrame:
+    """The k best references of every query of a group, over slices of the references."""
+    none = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
+                         "dist": pd.Series([], dtype="float64")})
     if left.empty or right.empty:
-        return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                             "dist": pd.Series([], dtype="float64")})
-    qm, rm = _stack(left["qv"]), _stack(right["nv"])
-    qid = left["qid"].to_numpy(dtype=np.int64)
-    nid = right["nid"].to_numpy(dtype=np.int64)
-    if metric == "cosine":
-        norm = np.sqrt(np.einsum("ij,ij->i", qm, qm))[:, None] * np.sqrt(np.einsum("ij,ij->i", rm, rm))[None, :]
-        d = 1.0 - np.divide(qm @ rm.T, norm, out=np.zeros_like(norm), where=norm > 0)
-    else:
-        d = _distances(qm, rm)
-    if exclude_self:
-        d[qid[:, None] == nid[None, :]] = np.inf
-    kk = min(k, len(nid))
-    order = np.lexsort((np.broadcast_to(nid, d.shape), d), axis=-1)[:, :kk]
-    dist = np.take_along_axis(d, order, axis=1)
-    out = pd.DataFrame({"qid": np.repeat(qid, kk), "nid": nid[order].ravel(), "dist": dist.ravel()})
-    return out[np.isfinite(out["dist"])]
-
-
-class _Cells:
-    """Pivots and, for each group, its cells: number of references, least and greatest distance to the pivot."""
-
-    def __init__(self, pivots: np.ndarray, stats: list, block_rows: int):
-        self.pivots, self.block_rows = pivots, block_rows
-        self.of: dict = {}
-        for g in {s["g"] for s in stats}:
-            own = sorted((s for s in stats if s["g"] == g), key=lambda s: s["cell"])
-            self.of[g] = tuple(np.array([s[c] for s in own]) for c in ("cell", "n", "lo", "hi"))
-
-    def blocks(self, n: np.ndarray) -> np.ndarray:
-        return np.maximum(1, -(-n // self.block_rows))
-
-    def visits(self, g, at: np.ndarray, k: int, bound: float | None) -> np.ndarray:
-        """Positions of the cells to visit: the nearest that hold k references, or (with a bound) the others in reach."""
-        cell, n, lo, hi = self.of[g]
-        d = at[cell]
-        order = np.argsort(d, kind="stable")
-        first = order[:int(np.searchsorted(np.cumsum(n[order]), k, "left")) + 1]
-        if bound is None:
-            return first
-        rest = np.setdiff1d(np.arange(len(cell)), first)
-        least = np.maximum(np.maximum(d[rest] - hi[rest], lo[rest] - d[rest]), 0)
-        return rest[least <= bound + SLACK * (1 + d[rest])]
+        return none
+    qm, qid = _stack(left["qv"]), left["qid"].to_numpy(dtype=np.int64)
+    parts = []
+    for a in range(0, len(right), STEP):
+        part = right.iloc[a:a + STEP]
+        rm, nid = _stack(part["nv"]), part["nid"].to_numpy(dtype=np.int64)
+        if metric == "cosine":
+            norm = np.sqrt(np.einsum("ij,ij->i", qm, qm))[:, None] * np.sqrt(np.einsum("ij,ij->i", rm, rm))[None, :]
+            d = 1.0 - np.divide(qm @ rm.T, norm, out=np.zeros_like(norm), where=norm > 0)
+        else:
+            d = _distances(qm, rm)
+        if exclude_self:
+            d[qid[:, None] == nid[None, :]] = np.inf
+        row, col = _least(d, np.broadcast_to(nid, d.shape), min(k, d.shape[1]))
+        parts.append(pd.DataFrame({"qid": qid[row], "nid": nid[col], "dist": d[row, col]}))
+    out = pd.concat(parts)
+    out = out[np.isfinite(out["dist"])]
+    if len(parts) > 1:
+        out = out.sort_values(["qid", "dist", "nid"]).groupby("qid").head(k)
+    return out
+
+
+def _least_distance(d: np.ndarray, centres: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Lower bounds on the distance from queries to what cells hold.
+
+    ``d``: distances of queries to the centres, among which every row of a cell chose its nearest; ``lo`` and
+    ``hi``: rings; ``size``: a norm for each query that its distances' rounding is relative to.
+    """
+    nearest = d.argmin(axis=1)
+    apart = _rough(centres, centres)[nearest]
+    mine = np.take_along_axis(d, nearest[:, None], axis=1)
+    behind = d ** 2 - mine ** 2 - SQUARE_SLACK * size[:, None] ** 2
+    behind = np.divide(behind, 2 * apart, out=np.zeros_like(d), where=(behind > 0) & (apart > 0))
+    return np.maximum(np.maximum(d - hi, lo - d), behind) - SLACK * size[:, None]
+
+
+class CellTree:
+    """Centres of top nodes and leaves, and for each group what the leaves and nodes hold.
+
+    Leaves are ordered by their top node: node ``t`` has the leaves ``start[t]`` to ``start[t + 1]``.
+    """
+
+    def __init__(self, sample: np.ndarray):
+        _, first = np.unique(sample, axis=0, return_index=True)
+        centres = sample[np.sort(first)]
+        self.tops = centres[:max(1, math.isqrt(len(centres)))]
+        parent = _rough(centres, self.tops).argmin(axis=1)
+        parent[:len(self.tops)] = np.arange(len(self.tops))  # no node without a leaf
+        order = np.argsort(parent, kind="stable")
+        self.leaves, self.parent = centres[order], parent[order]
+        self.start = np.searchsorted(self.parent, np.arange(len(self.tops) + 1))
+        self.scale = 1 + np.abs(centres).max() * math.sqrt(centres.shape[1])
+        self.groups: dict = {}
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, distance to its centre, distance to its top node) of every row."""
+        top = _rough(x, self.tops).argmin(axis=1)
+        leaf = np.empty(len(x), np.int64)
+        for t in np.unique(top):
+            own = np.flatnonzero(top == t)
+            leaf[own] = self.start[t] + _rough(x[own], self.leaves[self.start[t]:self.start[t + 1]]).argmin(axis=1)
+        return leaf, np.linalg.norm(x - self.leaves[leaf], axis=1), np.linalg.norm(x - self.tops[top], axis=1)
+
+    def hold(self, stats: list) -> None:
+        """Take in one row (g, leaf, n, lo, hi, top_lo, top_hi) per group and leaf."""
+        for s in stats:
+            if s["g"] not in self.groups:
+                n, t = len(self.leaves), len(self.tops)
+                self.groups[s["g"]] = {"n": np.zeros(n, np.int64), "lo": np.full(n, np.inf), "hi": np.full(n, -np.inf),
+                                       "top_n": np.zeros(t, np.int64), "top_lo": np.full(t, np.inf), "top_hi": np.full(t, -np.inf)}
+            own, leaf = self.groups[s["g"]], s["leaf"]
+            top = self.parent[leaf]
+            own["n"][leaf], own["lo"][leaf], own["hi"][leaf] = s["n"], s["lo"], s["hi"]
+            own["top_n"][top] += s["n"]
+            own["top_lo"][top] = min(own["top_lo"][top], s["top_lo"])
+            own["top_hi"][top] = max(own["top_hi"][top], s["top_hi"])
+
+    def _children(self, own: dict, t: int) -> np.ndarray:
+        return self.start[t] + np.flatnonzero(own["n"][self.start[t]:self.start[t + 1]])
+
+    def first(self, g, x: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) pairs: the nearest leaves under the nearest top nodes that hold ``need`` references together."""
+        own = self.groups[g]
+        order = np.argsort(_rough(x, self.tops), axis=1, kind="stable")
+        held = np.cumsum(own["top_n"][order], axis=1)
+        last = np.minimum((held < need).sum(axis=1), len(self.tops) - 1)
+        before = np.where(last > 0, np.take_along_axis(held, np.maximum(last - 1, 0)[:, None], axis=1)[:, 0], 0)
+        place = np.argsort(order, axis=1)
+        pairs = []
+        for t in np.flatnonzero(own["top_n"]):
+            live = self._children(own, t)
+            whole = np.flatnonzero(place[:, t] < last)
+            pairs.append((np.repeat(whole, len(live)), np.tile(live, len(whole))))
+            ends = np.flatnonzero(place[:, t] == last)
+            if len(ends):
+                near = live[np.argsort(_rough(x[ends], self.leaves[live]), axis=1, kind="stable")]
+                n = own["n"][near]
+                row, col = np.nonzero(np.cumsum(n, axis=1) - n < (need - before[ends])[:, None])
+                pairs.append((ends[row], near[row, col]))
+        return tuple(np.concatenate(p) for p in zip(*pairs))
+
+    def reach(self, g, x: np.ndarray, need: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) pairs within ``bound`` of the query that ``first`` did not name."""
+        own = self.groups[g]
+        size = self.scale + np.linalg.norm(x, axis=1)
+        near = _least_distance(_rough(x, self.tops), self.tops, own["top_lo"], own["top_hi"], size) <= bound[:, None]
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for t in np.flatnonzero(own["top_n"]):
+            rows = np.flatnonzero(near[:, t])
+            if len(rows):
+                of = slice(self.start[t], self.start[t + 1])
+                least = _least_distance(_rough(x[rows], self.leaves[of]), self.leaves[of], own["lo"][of], own["hi"][of], size[rows])
+                row, col = np.nonzero((least <= bound[rows, None]) & (own["n"][of] > 0))
+                pairs.append((rows[row], self.start[t] + col))
+        query, leaf = (np.concatenate(p) for p in zip(*pairs))
+        q0, l0 = self.first(g, x, need)
+        n = len(self.leaves)
+        new = ~np.isin(query * n + leaf, q0 * n + l0)
+        return query[new], leaf[new]
+
+
+def visits(queries: DataFrame, tree: CellTree, need: int, metric: str, bounded: bool) -> DataFrame:
+    """(g, qid, qv[, tau]) -> one row per query and leaf that it meets (see ``CellTree.first`` and ``reach``)."""
+
+    def run(batches):
+        for f in batches:
+            for g, own in f.groupby("g"):
+                if g not in tree.groups:
+                    continue
+                x = _search_form(_stack(own["qv"]), metric)
+                if bounded:
+                    tau = own["tau"].to_numpy(np.float64)
+                    tau = np.sqrt(2 * np.maximum(tau, 0)) if metric == "cosine" else tau
+                    query, leaf = tree.reach(g, x, need, np.where(np.isnan(tau), np.inf, tau))
+                else:
+                    query, leaf = tree.first(g, x, need)
+                for a in range(0, len(query), STEP):
+                    at = query[a:a + STEP]
+                    yield pd.DataFrame({"g": g, "leaf": leaf[a:a + STEP].astype("int32"),
+                                        "qid": own["qid"].to_numpy()[at], "qv": own["qv"].to_numpy()[at]})
+
+    return queries.mapInPandas(run, ASKED_SCHEMA)
+
+
+def build_tree(refs: DataFrame, metric: str) -> tuple[CellTree | None, DataFrame | None]:
+    """(tree over (g, nid, nv) rows, the rows with their leaf), or (None, None) without rows."""
+    spark = refs.sparkSession
+    got = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("nv")).alias("d")).first()  # one row
+    if not got["n"]:
+        return None, None
+    room = int(spark.conf.get("lurescan.knn.treeBytes", str(DEFAULT_TREE_BYTES))) // (8 * (got["d"] + 1))
+    n_leaves = max(1, min(math.isqrt(got["n"]), room))
+    chosen = refs.select("nid", "nv").orderBy(F.xxhash64("nid"), "nid").limit(n_leaves).collect()  # at most treeBytes
+    tree = CellTree(_search_form(np.array([p["nv"] for p in chosen], np.float64), metric))
+
+    def place(batches):
+        for f in batches:
+            if len(f):
+                f["leaf"], f["dist"], f["top_dist"] = tree.place(_search_form(_stack(f["nv"]), metric))
+                f["leaf"] = f["leaf"].astype("int32")
+                yield f[["g", "nid", "nv", "leaf", "dist", "top_dist"]]
+
+    placed = _written(refs.mapInPandas(place, PLACED_SCHEMA), "knn-placed")
+    tree.hold(placed.groupBy("g", "leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"),
+        F.min("top_dist").alias("top_lo"), F.max("top_dist").alias("top_hi")).collect())  # one row a group and leaf
+    return tree, placed
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -112,74 +282,34 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec
 
     ``group_col`` restricts neighbours to rows of the same group (e.g. the
     same class for SMOTE); ``metric`` is ``cosine`` or ``euclidean``.
+    ``block_rows`` bounds the queries of a task's group, and its references at 16 times as many.
     """
     spark = queries.sparkSession
     ensure_checkpoint_dir(spark)
-    b = block_rows or int(spark.conf.get("lurescan.knn.blockRows", str(DEFAULT_BLOCK_ROWS)))
+    q_rows = block_rows or int(spark.conf.get("lurescan.knn.blockRows", str(DEFAULT_BLOCK_ROWS)))
+    r_rows = 16 * block_rows if block_rows else int(spark.conf.get("lurescan.knn.cellRows", str(DEFAULT_CELL_ROWS)))
     grp = (lambda df: F.col(group_col).cast("string")) if group_col else (lambda df: F.lit("all"))
-    q = queries.select(grp(queries).alias("g"), F.col(id_col).cast("long").alias("qid"),
-                       F.col(vec_col).cast("array<double>").alias("qv")).where("g is not null")
-    r = refs.select(grp(refs).alias("g"), F.col(id_col).cast("long").alias("nid"),
-                    F.col(vec_col).cast("array<double>").alias("nv")).where("g is not null")
-
-    # pivots: a bounded sample of references by hash
-    n_pivots = max(1, min(MAX_PIVOTS, r.count() // max(1, b // 4)))
-    chosen = r.orderBy(F.xxhash64("nid"), "nid").limit(n_pivots).collect()
-    if not chosen:
-        return spark.createDataFrame([], OUT_SCHEMA + ", rank long")
-    pivots = _search_form(np.array([p["nv"] for p in chosen], np.float64), metric)
 
-    def to_pivots(column) -> np.ndarray:
-        return _distances(_search_form(_stack(column), metric), pivots)
+    def rows(df, i, v):
+        out = df.select(grp(df).alias("g"), F.col(id_col).cast("long").alias(i), F.col(vec_col).cast("array<double>").alias(v))
+        return out.where(f"g is not null and {i} is not null and {v} is not null")
 
-    def place(batches):
-        for f in batches:
-            if len(f):
-                d = to_pivots(f["nv"])
-                f["cell"] = d.argmin(axis=1).astype("int32")
-                f["dist"] = d.min(axis=1)
-                yield f[["g", "nid", "nv", "cell", "dist"]]
-
-    placed = r.mapInPandas(place, "g string, nid long, nv array<double>, cell int, dist double").checkpoint(eager=True)
-    stats = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()
-    cells = _Cells(pivots, stats, b)
+    q = rows(queries, "qid", "qv")
+    tree, placed = build_tree(rows(refs, "nid", "nv"), metric)
+    if tree is None:
+        return spark.createDataFrame([], OUT_SCHEMA + ", rank long")
     need = k + int(exclude_self)
-
-    def visit(bounded: bool):
-        def run(batches):
-            for f in batches:
-                if not len(f):
-                    continue
-                at = to_pivots(f["qv"])
-                rows = []
-                for i, g in enumerate(f["g"]):
-                    if g not in cells.of:
-                        continue
-                    bound = None
-                    if bounded:
-                        tau = f["tau"].iloc[i]
-                        bound = np.inf if np.isnan(tau) else (np.sqrt(2 * max(tau, 0.0)) if metric == "cosine" else tau)
-                    cell, n = cells.of[g][0], cells.blocks(cells.of[g][1])
-                    for j in cells.visits(g, at[i], need, bound):
-                        rows += [(i, int(cell[j]), rb) for rb in range(int(n[j]))]
-                if rows:
-                    i, cell, rb = map(np.array, zip(*rows))
-                    yield pd.DataFrame({"g": f["g"].to_numpy()[i], "cell": cell.astype("int32"), "rb": rb.astype("int32"),
-                                        "qid": f["qid"].to_numpy()[i], "qv": f["qv"].to_numpy()[i]})
-        return run
-
-    keys = ["g", "cell", "rb", "qb"]
-    blocks = {(s["g"], s["cell"]): int(cells.blocks(np.array([s["n"]]))[0]) for s in stats}
-
-    def meet(asked: DataFrame) -> DataFrame:
-        """Queries at cells -> the k best references of each block."""
-        asked = asked.checkpoint(eager=True)
-        load = {(s["g"], s["cell"]): max(1, -(-s["n"] // b)) for s in
-                asked.where("rb = 0").groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
-        table = spark.createDataFrame([(g, c, blocks[g, c], n) for (g, c), n in load.items()] or [],
-                                      "g string, cell int, nrb int, nqb int")
-        left = asked.join(F.broadcast(table), ["g", "cell"]).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
-        right = (placed.select("g", "cell", "nid", "nv").join(F.broadcast(table), ["g", "cell"])
+    keys = ["g", "leaf", "rb", "qb"]
+
+    def meet(asked: DataFrame, name: str) -> DataFrame:
+        """Queries at leaves -> the k best references of each group of keys."""
+        asked = _written(asked, name)
+        load = asked.groupBy("g", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a group and leaf
+        table = [(s["g"], s["leaf"], -(-int(tree.groups[s["g"]]["n"][s["leaf"]]) // r_rows), -(-s["n"] // q_rows)) for s in load]
+        table = F.broadcast(spark.createDataFrame(table, "g string, leaf int, nrb int, nqb int"))  # bounded by treeBytes
+        left = (asked.join(table, ["g", "leaf"]).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
+                .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nrb") - 1))))
+        right = (placed.select("g", "leaf", "nid", "nv").join(table, ["g", "leaf"])
                  .withColumn("rb", F.pmod(F.xxhash64("nid"), F.col("nrb")).cast("int"))
                  .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1))))
         return (left.select(*keys, "qid", "qv").groupBy(*keys).cogroup(right.select(*keys, "nid", "nv").groupBy(*keys))
@@ -190,8 +320,8 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec
     def topk(cand: DataFrame) -> DataFrame:
         return cand.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
-    first = topk(meet(q.mapInPandas(visit(False), "g string, cell int, rb int, qid long, qv array<double>"))).drop("rank").checkpoint(eager=True)
+    first = _written(topk(meet(visits(q, tree, need, metric, False), "knn-asked")).drop("rank"), "knn-first")
     tau = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("tau"))
     more = q.join(tau, "qid", "left").select("g", "qid", "qv", "tau")
-    second = meet(more.mapInPandas(visit(True), "g string, cell int, rb int, qid long, qv array<double>"))
+    second = meet(visits(more, tree, need, metric, True), "knn-more")
     return topk(first.unionByName(second))
