@@ -244,14 +244,17 @@ def visits(queries: DataFrame, tree: CellTree, need: int, metric: str, bounded:
     return queries.mapInPandas(run, ASKED_SCHEMA)
 
 
-def build_tree(refs: DataFrame, metric: str) -> tuple[CellTree | None, DataFrame | None]:
-    """(tree over (g, nid, nv) rows, the rows with their leaf), or (None, None) without rows."""
+def build_tree(refs: DataFrame, metric: str, least_rows: int = 1) -> tuple[CellTree | None, DataFrame | None]:
+    """(tree over (g, nid, nv) rows, the rows with their leaf), or (None, None) without rows.
+
+    A leaf holds ``least_rows`` rows or more on average: copying a query costs more than comparing it with a few rows.
+    """
     spark = refs.sparkSession
     got = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("nv")).alias("d")).first()  # one row
     if not got["n"]:
         return None, None
     room = int(spark.conf.get("lurescan.knn.treeBytes", str(DEFAULT_TREE_BYTES))) // (8 * (got["d"] + 1))
-    n_leaves = max(1, min(math.isqrt(got["n"]), room))
+    n_leaves = max(1, min(math.isqrt(got["n"]), got["n"] // least_rows, room))
     chosen = refs.select("nid", "nv").orderBy(F.xxhash64("nid"), "nid").limit(n_leaves).collect()  # at most treeBytes
     tree = CellTree(_search_form(np.array([p["nv"] for p in chosen], np.float64), metric))
 
@@ -295,7 +298,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", vec
         return out.where(f"g is not null and {i} is not null and {v} is not null")
 
     q = rows(queries, "qid", "qv")
-    tree, placed = build_tree(rows(refs, "nid", "nv"), metric)
+    tree, placed = build_tree(rows(refs, "nid", "nv"), metric, max(1, q_rows // 4))
     if tree is None:
         return spark.createDataFrame([], OUT_SCHEMA + ", rank long")
     need = k + int(exclude_self)
