@@ -67,6 +67,42 @@ NOUN_SUFFIX_RULES = (
     ("s", ""),
 )
 
+# ---- fixed values: detachment rules of WordNet's noun morphology (suffix, ending of the lemma) ----
+NOUN_DETACHMENTS = (
+    ("s", ""),
+    ("ses", "s"),
+    ("ves", "f"),
+    ("xes", "x"),
+    ("zes", "z"),
+    ("ches", "ch"),
+    ("shes", "sh"),
+    ("men", "man"),
+    ("ies", "y"),
+)
+
+# ---- fixed values: Porter's suffix rules, steps 2 to 4, with the extended mode's bli and fulli ----
+# (M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980)
+PORTER_STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"),
+    ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
+    ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
+)
+PORTER_STEP3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+PORTER_STEP4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize",
+)
+
+# ---- fixed values: irregular forms of the extended mode ----
+PORTER_IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning",
+    "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
 # ---- fixed values: label vocabularies of the message sets ----
 EMAIL_POSITIVE = "Phishing Email"
 EMAIL_NEGATIVE = "Safe Email"

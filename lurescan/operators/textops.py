@@ -1,18 +1,14 @@
 """Token and word-level operators on array<string> columns.
 
-Everything except Porter stemming is a built-in expression evaluated inside
-the row (transform / filter / slice / regexp), so no shuffle is needed and
-whole-stage codegen covers the work.  Stemming runs as an Arrow-batched
-pandas UDF with a per-process memo (each distinct word once per worker).
+Everything is a built-in expression evaluated inside the row (transform /
+filter / slice / regexp), so no shuffle is needed and whole-stage codegen covers
+the work.  Stems, and lemmas checked against a lexicon, are in ``dictionary``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as TY
 
 from lurescan.functions import text as T
 from lurescan.functions.lexicon import LEMMA_TABLE, NLTK_STOPWORDS, NOUN_SUFFIX_RULES, PY_WHITESPACE_CLASS
@@ -59,33 +55,6 @@ def lemmatize(tokens) -> Column:
     return F.transform(_c(tokens), lemma_word)
 
 
-@F.pandas_udf(TY.ArrayType(TY.StringType()))
-def _stem_arrays(s: pd.Series) -> pd.Series:
-    """Distinct words of a batch are stemmed once and taken back to their places."""
-    from lurescan.operators.porter import stem
-
-    size = s.map(lambda a: 0 if a is None else len(a)).to_numpy()
-    words = [w for a in s if a is not None for w in a]
-    code, distinct = pd.factorize(pd.Series(words, dtype=object), use_na_sentinel=True)
-    stems = np.array([stem(w) for w in distinct] + [None], dtype=object)[code]
-    ends = size.cumsum()
-    return pd.Series([None if a is None else stems[e - n:e] for a, n, e in zip(s, size, ends)], index=s.index)
-
-
-def stem(tokens) -> Column:
-    """Porter stem of every token (pandas UDF, Arrow batches)."""
-    return _stem_arrays(_c(tokens))
-
-
-def lemstem_text(c, do_stem: bool = True) -> Column:
-    """lower -> non-letters to space -> tokens -> stop words -> lemma -> stem -> join."""
-    toks = remove_stopwords(tokenize_ws(T.strip_nonalpha_space(c)))
-    toks = lemmatize(toks)
-    if do_stem:
-        toks = stem(toks)
-    return F.array_join(toks, " ")
-
-
 def normalise_bilstm(c) -> Column:
     """lower -> strip URLs -> keep letters/whitespace -> split -> stop words -> join."""
     s = T.strip_nonalpha_drop(T.strip_urls(F.lower(_c(c))))

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from lurescan.functions import text as T
 from lurescan.functions.lexicon import LEMMA_TABLE, NOUN_SUFFIX_RULES
+from lurescan.operators import dictionary as D
 from lurescan.operators import textops as X
 from lurescan.plans import sqlfrag as S
+from lurescan.plans import sqlstem as SS
 from lurescan.plans.registry import register
+from lurescan.session import scoped_cache
 from lurescan.sources import fixtures as FX
 from lurescan.sources.tables import table
 
@@ -95,30 +98,62 @@ register("remove_stopwords", sql=(
     f"array_to_string({sql_normal_tokens('text')}, ' ') AS text FROM documents"))(remove_stopwords)
 
 
+LEXICON_DOCS = 2  # a word may be a lemma when this many documents hold it
+
+
+def _vocabulary(docs):
+    """Distinct normalised words and their document counts, worked out once for words and lexicon."""
+    return scoped_cache(D.vocabulary(docs, _normal_tokens(F.col("text"))))
+
+
+def _lemmas(vocabulary):
+    """(word, docs, lemma); the stand-in for a lexicon is the corpus: words of two documents or more."""
+    return D.with_lemmas(vocabulary, vocabulary.where(F.col("docs") >= LEXICON_DOCS))
+
+
+def _mapped(docs, forms, form):
+    return D.map_words(docs, "doc_id", "text", _normal_tokens(F.col("_text")), forms.select("word", F.col(form).alias("form")))
+
+
 def lemmatize(spark, sf):
-    t = X.lemmatize(_normal_tokens(F.col("text")))
-    return _docs(spark, sf).select("doc_id", F.array_join(t, " ").alias("text"))
+    """Lemmas of the normalised tokens: detachment rules, candidates looked up in the lexicon."""
+    docs = _docs(spark, sf)
+    return _mapped(docs, _lemmas(_vocabulary(docs)), "lemma")
+
+
+SQL_VOCABULARY = ["tok AS MATERIALIZED (SELECT doc_id, text, " + sql_normal_tokens("text") + " AS t FROM documents)",
+                  "each AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM tok)",
+                  "voc AS MATERIALIZED (SELECT word, count(DISTINCT doc_id) AS docs FROM each GROUP BY word)",
+                  f"lex AS (SELECT word FROM voc WHERE docs >= {LEXICON_DOCS})"]
+
+
+def _sql_mapped(ctes, forms):
+    return ("WITH " + ", ".join(SQL_VOCABULARY + ctes) + ", done AS (SELECT doc_id, string_agg(form, ' ' ORDER BY pos) AS s "
+            f"FROM each JOIN ({forms}) m USING (word) GROUP BY doc_id) SELECT tok.doc_id, "
+            "CASE WHEN text IS NOT NULL THEN coalesce(s, '') END AS text FROM tok LEFT JOIN done USING (doc_id)")
 
 
-register("lemmatize", sql=(
-    f"SELECT doc_id, array_to_string({sql_lemmatize(sql_normal_tokens('text'))}, ' ') AS text "
-    "FROM documents"))(lemmatize)
+register("lemmatize", sql=_sql_mapped(SS.lemma_ctes("voc", "lex"), "SELECT word, lemma AS form FROM lemmas"))(lemmatize)
 
 
 def stem(spark, sf):
-    """Porter stems of the normalised tokens (pandas UDF; rows-only check)."""
-    t = X.stem(_normal_tokens(F.col("text")))
-    return _docs(spark, sf).select("doc_id", F.array_join(t, " ").alias("text"))
+    """Porter stems (extended mode) of the normalised tokens, once a distinct word."""
+    docs = _docs(spark, sf)
+    return _mapped(docs, D.with_stems(_vocabulary(docs)), "stem")
 
 
-register("stem")(stem)
+register("stem", sql=_sql_mapped(SS.stem_ctes("voc", "word"), "SELECT word, stem AS form FROM stems"))(stem)
 
 
 def lemstem_text(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.lemstem_text(F.col("text")).alias("text"))
+    """lower -> non-letters to space -> tokens -> stop words -> lemma -> stem -> join."""
+    docs = _docs(spark, sf)
+    return _mapped(docs, D.with_stems(_lemmas(_vocabulary(docs)), "lemma"), "stem")
 
 
-register("lemstem_text")(lemstem_text)
+register("lemstem_text", sql=_sql_mapped(
+    SS.lemma_ctes("voc", "lex") + SS.stem_ctes("lemmas", "lemma"),
+    "SELECT l.word, s.stem AS form FROM lemmas l JOIN stems s ON l.lemma = s.word"))(lemstem_text)
 
 
 def _augment_input(spark, sf):

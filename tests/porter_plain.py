@@ -1,13 +1,8 @@
-"""Porter (1980) suffix-stripping stemmer: a small per-word helper.
-
-M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980.
-Used through an Arrow-batched pandas UDF with a per-process memo, so each
-distinct word is stemmed once per Python worker.
-"""
+"""Porter stems in the extended mode in plain Python: the brute-force side of tests/test_dictionary.py."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from lurescan.functions.lexicon import PORTER_IRREGULAR
 
 VOWELS = frozenset("aeiou")
 
@@ -47,6 +42,8 @@ def _double_cons(w: str) -> bool:
 
 def _cvc(w: str) -> bool:
     n = len(w)
+    if n == 2:
+        return not _is_cons(w, 0) and _is_cons(w, 1)
     return (n >= 3 and _is_cons(w, n - 3) and not _is_cons(w, n - 2) and _is_cons(w, n - 1)
             and w[-1] not in "wxy")
 
@@ -63,7 +60,7 @@ def _rule_list(w: str, rules, min_m: int):
 # The suffix rules of the paper, steps 2 to 4
 STEP2 = sorted([
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-    ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("bli", "ble"), ("fulli", "ful"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
     ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
     ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
 ], key=lambda r: -len(r[0]))
@@ -75,13 +72,16 @@ STEP4 = sorted(["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement"
                 "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"], key=lambda s: -len(s))
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     w = word
+    if w in PORTER_IRREGULAR:
+        return PORTER_IRREGULAR[w]
     if len(w) <= 2:
         return w
     # step 1a
-    if w.endswith("sses"):
+    if len(w) == 4 and w.endswith("ies"):
+        w = w[:-1]
+    elif w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("ies"):
         w = w[:-2]
@@ -91,7 +91,9 @@ def stem(word: str) -> str:
         w = w[:-1]
     # step 1b
     extra = False
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -101,15 +103,20 @@ def stem(word: str) -> str:
     if extra:
         if w.endswith(("at", "bl", "iz")):
             w += "e"
-        elif _double_cons(w) and w[-1] not in "lsz":
-            w = w[:-1]
+        elif _double_cons(w):
+            w = w if w[-1] in "lsz" else w[:-1]
         elif _measure(w) == 1 and _cvc(w):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and len(w) > 2 and _is_cons(w[:-1], len(w) - 2):
         w = w[:-1] + "i"
     # steps 2, 3
-    w = _rule_list(w, STEP2, 0)
+    if w.endswith("alli") and _measure(w[:-4]) > 0:
+        w = w[:-2]
+    if w.endswith("logi"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        w = _rule_list(w, STEP2, 0)
     w = _rule_list(w, STEP3, 0)
     # step 4
     for suf in STEP4:
@@ -125,6 +132,6 @@ def stem(word: str) -> str:
         if m > 1 or (m == 1 and not _cvc(s)):
             w = s
     # step 5b
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
+    if w.endswith("ll") and _measure(w[:-1]) > 1:
         w = w[:-1]
     return w

@@ -149,5 +149,5 @@ def test_lemma_rules(spark):
     ("oscillators", "oscil"),
 ])
 def test_porter(word, stem):
-    from lurescan.operators.porter import stem as porter
+    from porter_plain import stem as porter
     assert porter(word) == stem
