@@ -3,7 +3,12 @@
 Each document gets rule counts and rule verdicts (numpy over Arrow slices).
 Failures are summed by host (``documents.source``), a beta prior is fitted to
 the hosts' rates by the method of moments, every host's rate is shrunk towards
-the prior mean, and hosts whose shrunk rate passes a limit lose all documents.
+the prior mean, and the hosts' verdicts are joined back to the documents: a host whose
+shrunk rate passes a limit loses all of them, and at every other host the share of
+symbols a document may have moves with the host's shrunk rate.  A document fails
+by symbols when 10 * n_symbols * scale > n_words, where scale is the host's rate by
+that rule over the prior mean, ``MIN_SCALE`` at least and ``MAX_SCALE`` at most:
+hosts that often fail are read more strictly.
 
 Cases
 -----
@@ -14,7 +19,7 @@ Cases
   document alone never condemns a host unless most of the corpus is bad.
 * all hosts alike (no spread between their rates), one host, or no rows: the
   prior takes the weight ``MAX_PRIOR`` documents at the mean rate.
-* ties: a shrunk rate equal to the limit keeps the host.
+* ties: a shrunk rate equal to the limit keeps the host, symbols equal to the limit keep the document.
 * extra columns: ``score`` ignores them, ``keep`` returns all of them; names of
   its own columns are taken anew if the table has them already.
 """
@@ -25,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lurescan.llm import common
 from lurescan.llm.words import Words, in_doc, prefix_hash, range_hash
@@ -34,6 +40,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: A host is rejected when its shrunk failure rate by one rule is over this.
 HOST_LIMIT = 0.5
+#: Bounds of a host's symbol rate over the prior mean.
+MIN_SCALE, MAX_SCALE = 0.5, 2.0
 #: Most documents that the prior may weigh.
 MAX_PRIOR = 1000.0
 
@@ -120,8 +128,13 @@ def beta_prior(hosts: DataFrame, fails: str, total: str) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
+def over_symbols(n_symbols, n_words, scale):
+    """Whether a document has more symbols than its host allows."""
+    return 10 * n_symbols * scale > n_words
+
+
 def host_verdicts(judged: DataFrame, host: str = "host", limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per host: documents, failures and shrunk rate by rule, and ``host_ok``."""
+    """One row per host: documents, failures and shrunk rate by rule, ``symbol_scale`` and ``host_ok``."""
     hosts = judged.groupBy(host).agg(F.count(F.lit(1)).alias("docs"),
                                      *(F.sum(F.col(r).cast("long")).alias(f"fail_{r}") for r in RULES))
     hosts = common.materialise(hosts, "op2-hosts")
@@ -130,12 +143,15 @@ def host_verdicts(judged: DataFrame, host: str = "host", limit: float = HOST_LIM
         a, b = beta_prior(hosts, f"fail_{r}", "docs")
         hosts = hosts.withColumn(f"rate_{r}", (F.col(f"fail_{r}") + F.lit(a)) / (F.col("docs") + F.lit(a + b)))
         ok = ok & (F.col(f"rate_{r}") <= F.lit(limit))
+        if r == "symbols":
+            scale = F.greatest(F.lit(MIN_SCALE), F.least(F.lit(MAX_SCALE), F.col(f"rate_{r}") / F.lit(a / (a + b))))
+            hosts = hosts.withColumn("symbol_scale", scale)
     return hosts.withColumn("host_ok", ok)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
           limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per document: id, host, counts, rules, the host's verdict, base_failed and kept.
+    """One row per document: id, host, counts, rules, the host's verdicts, base_failed, symbols_failed and kept.
 
     The counts are written once (a few numbers per row); the hosts' table is
     joined back on the host.  Spark broadcasts it when its files are small
@@ -146,24 +162,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     key_type = rows.schema["id"].dataType.simpleString()
     judged = _scored(rows, key_type)
     judged = common.materialise(judged.select("id.id", "id.host", *COUNTS, *RULES), "op2-rules")
-    hosts = host_verdicts(judged, "host", limit).select(F.col("host").alias("h"), "host_ok",
+    hosts = host_verdicts(judged, "host", limit).select(F.col("host").alias("h"), "host_ok", "symbol_scale",
                                                         *(f"rate_{r}" for r in RULES))
     out = judged.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     out = out.withColumn("base_failed", F.col("few_words") | F.col("repeats"))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).withColumnRenamed("id", id_col)
+    out = out.withColumn("symbols_failed", over_symbols(F.col("n_symbols"), F.col("n_words"), F.col("symbol_scale")))
+    kept = ~F.col("base_failed") & F.col("host_ok") & ~F.col("symbols_failed")
+    return out.withColumn("kept", kept).withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
     Row-local rules filter the very rows that carry the text, so no id is
-    needed and no text is shuffled; only the hosts meet the rows in a join.
+    needed; only the hosts meet the rows in a join, broadcast when their files
+    are small enough, else shuffled with the hot host split by AQE.
     """
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.col(f"`{host_col}`").cast("string").alias("id"), common.text_of(F.col(f"`{text_col}`")).alias("text"))
     fails = _scored(rows, "string").withColumnRenamed("id", "host")
     hosts = host_verdicts(fails, "host", limit)
-    at, schema = docs.columns.index(text_col), docs.schema
+    at = docs.columns.index(text_col)
+    words, symbols = common.fresh(docs, "_words"), common.fresh(docs, "_symbols")
+    schema = T.StructType([*docs.schema.fields, T.StructField(words, T.LongType()), T.StructField(symbols, T.LongType())])
 
     def passed(batches):
         for batch in batches:
@@ -172,19 +193,22 @@ def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", limi
                 own = offsets[a:b + 1]
                 c = count_slice(own - own[0], data[own[0]:own[-1]])
                 good = (c["n_words"] >= MIN_WORDS) & (100 * c["n_repeat_words"] <= MAX_REPEAT_PERCENT * c["n_words"])
-                yield batch.slice(a, b - a).filter(pa.array(good))
+                part = batch.slice(a, b - a).filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c["n_words"][good]), pa.array(c["n_symbols"][good])],
+                                                 names=schema.names)
 
     kept = docs.mapInArrow(passed, schema)
-    own, bad = common.fresh(docs, "_host"), common.fresh(docs, "_bad")
-    rejected = hosts.where(~F.col("host_ok")).select(F.col("host").alias(bad))
+    own, known, scale = (common.fresh(docs, x) for x in ("_host", "_known", "_scale"))
+    passing = hosts.where("host_ok").select(F.col("host").alias(known), F.col("symbol_scale").alias(scale))
     return (kept.withColumn(own, F.col(f"`{host_col}`").cast("string"))
-            .join(rejected, F.col(own).eqNullSafe(F.col(bad)), "left_anti").select(*names))
+            .join(passing, F.col(own).eqNullSafe(F.col(known)))
+            .where(~over_symbols(F.col(symbols), F.col(words), F.col(scale))).select(*names))
 
 
 def query(spark, sf_dir) -> DataFrame:
     out = score(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      "base_failed", "kept", "host_ok")
+                      "base_failed", "symbols_failed", "kept", "host_ok")
 
 
 
@@ -195,6 +219,7 @@ def _sql() -> str:
     prior = ", ".join(f"(sum(fail_{r}) + 0.5) / (sum(docs) + 1.0) AS m_{r}, coalesce(var_samp(fail_{r} / docs), 0) AS v_{r}" for r in RULES)
     weight = ", ".join(f"m_{r}, CASE WHEN v_{r} <= 0 THEN {MAX_PRIOR} ELSE least({MAX_PRIOR}, greatest(1.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) END AS w_{r}"
                        for r in RULES)
+    scale = f"greatest({MIN_SCALE}, least({MAX_SCALE}, (fail_symbols + m_symbols * w_symbols) / (docs + w_symbols) / m_symbols))"
     return f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{common.WORD_CLASS}+') AS ws FROM documents),
 ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (
@@ -209,9 +234,11 @@ f AS (SELECT *, n_words < {MIN_WORDS} AS few_words, 100 * n_repeat_words > {MAX_
   10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS dup_lines FROM c),
 h AS (SELECT source, count(*) AS docs, {", ".join(f"sum({r}::BIGINT) AS fail_{r}" for r in RULES)} FROM f GROUP BY source),
 p AS (SELECT {weight} FROM (SELECT {prior} FROM h) x),
-v AS (SELECT source, {" AND ".join(ok)} AS host_ok FROM h CROSS JOIN p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeats AS base_failed,
-  NOT (few_words OR repeats) AND host_ok AS kept, host_ok FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
+v AS (SELECT source, {" AND ".join(ok)} AS host_ok, {scale} AS scale FROM h CROSS JOIN p),
+r AS (SELECT f.*, host_ok, few_words OR repeats AS base_failed, 10 * n_symbols * scale > n_words AS symbols_failed
+  FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbols_failed,
+  NOT base_failed AND host_ok AND NOT symbols_failed AS kept, host_ok FROM r"""
 
 
 SQL = _sql()

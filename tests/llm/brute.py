@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import statistics
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,6 +36,29 @@ def rules(text):
             n < 10 or 100 * len(covered) > 20 * n)
 
 
+def verdicts(rows, limit=0.5):
+    """Per row (text, host): whether the rules and its host's shrunk rates let it pass."""
+    hosts, found = {}, []
+    for text, host in rows:
+        n, _, symbols, dup, covered, base = rules(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        found.append((n, symbols, base, host))
+        hosts.setdefault(host, []).append((n < 10, 100 * covered > 20 * n, 10 * symbols > n, 10 * dup > 3 * lines))
+    ok, scale = dict.fromkeys(hosts, True), {}
+    for k in range(4):
+        fails = {h: sum(v[k] for v in x) for h, x in hosts.items()}
+        mean = (sum(fails.values()) + 0.5) / (len(rows) + 1)
+        rates = [fails[h] / len(x) for h, x in hosts.items()]
+        spread = statistics.variance(rates) if len(rates) > 1 else 0
+        w = 1000.0 if spread <= 0 else min(1000.0, max(1.0, mean * (1 - mean) / spread - 1))
+        for h, x in hosts.items():
+            rate = (fails[h] + mean * w) / (len(x) + w)
+            ok[h] &= rate <= limit
+            if k == 2:
+                scale[h] = max(0.5, min(2.0, rate / mean))
+    return [not base and ok[h] and not 10 * s * scale[h] > n for n, s, base, h in found]
+
+
 def shingles(text):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = WORD.findall(t)

@@ -1,5 +1,4 @@
 import base64
-import statistics
 
 import brute
 import corpus_pipeline
@@ -17,7 +16,7 @@ def expected(rows):
     """rows (doc_id, text, lang, source) -> sorted (doc_id, ids) of the last stage, in plain Python and SQL."""
     import tiktoken
 
-    rows = [r for r in rows if not brute.rules(r[1])[-1]]
+    rows = [r for r, good in zip(rows, brute.verdicts([(r[1], r[3]) for r in rows])) if good]
     first = brute.exact([r[:2] for r in rows])
     rows = [r for r in rows if first[r[0]][0] == r[0]]
     near = brute.near([r[:2] for r in rows], corpus_pipeline.NEAR_PERCENT)
@@ -37,36 +36,19 @@ def test_run_equals_brute_force(spark):
     assert sorted((r.doc_id, r.ids) for r in got.collect()) == expected(rows)
 
 
-def host_ok(rows):
-    """{source: verdict} by the rules, the beta prior and its limit, in plain Python."""
-    hosts = {}
-    for _, text, _, source in rows:
-        n, _, symbols, dup, covered, _ = brute.rules(text)
-        lines = sum(bool(brute.WORD.search(x)) for x in (text or "").split("\n"))
-        hosts.setdefault(source, []).append((n < 10, 100 * covered > 20 * n, 10 * symbols > n, 10 * dup > 3 * lines))
-    ok = dict.fromkeys(hosts, True)
-    for k in range(4):
-        fails = {h: sum(v[k] for v in x) for h, x in hosts.items()}
-        mean = (sum(fails.values()) + 0.5) / (len(rows) + 1)
-        spread = statistics.variance(fails[h] / len(x) for h, x in hosts.items())
-        w = 1000.0 if spread <= 0 else min(1000.0, max(1.0, mean * (1 - mean) / spread - 1))
-        for h, x in hosts.items():
-            ok[h] &= (fails[h] + mean * w) / (len(x) + w) <= 0.5
-    return ok
-
-
 def test_rejected_host_leaves_the_pipeline(spark, tmp_path):
     def text(i):
         return " ".join(f"w{i}x{k}" for k in range(30))
 
     rows = [(i, text(i), "en", f"h{i % 10}") for i in range(100)]
     rows += [(200 + i, text(200 + i) + " # # # # #" * (i > 5), "en", "spam") for i in range(60)]
-    ok = host_ok(rows)
-    assert [h for h, v in ok.items() if not v] == ["spam"]
+    good = brute.verdicts([(r[1], r[3]) for r in rows])
+    assert {r[3] for r, v in zip(rows, good) if not v} == {"spam"} and sum(good) == 100
     spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"
                           ).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
-    assert got == expected([r for r in rows if ok[r[3]]]) != expected(rows)
+    assert got == expected(rows) != []
+    assert not {i for i, _ in got} & {r[0] for r in rows if r[3] == "spam"}
 
 
 def test_stages_hand_on_all_columns(spark, documents):

@@ -36,7 +36,28 @@ def test_rules_match_brute_force(documents, rows):
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want[r.doc_id]
-        assert r.kept == (not r.base_failed and r.host_ok)
+        assert r.kept == (not r.base_failed and r.host_ok and not r.symbols_failed)
+    table = documents.collect()
+    verdicts = brute.verdicts([(r.text, r.source) for r in table])
+    assert {r.doc_id: r.kept for r in got} == {r.doc_id: v for r, v in zip(table, verdicts)}
+    assert any(r.symbols_failed and not r.base_failed for r in got)
+
+
+def test_symbols_are_read_by_the_host(spark):
+    """A host that often fails is read more strictly, a clean one less; ids may be null or repeated."""
+    words = " ".join(f"w{i}" for i in range(40))
+    noisy = lambda n: words.replace(" ", "# ", n)
+    rows = [(h * 100 + i, words + f" {i}", f"h{h}") for h in range(10) for i in range(60)]
+    rows += [(2000 + i, noisy(20), "noisy") for i in range(20)] + [(2100 + i, words, "noisy") for i in range(40)]
+    rows += [(3000, noisy(3), "noisy"), (3001, noisy(3), "h0"), (3002, noisy(6), "h0"), (3003, noisy(8), "h0"),
+             (3004, noisy(9), "h0"), (3005, None, "noisy"), (3005, None, None), (None, words, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.score(df).collect()
+    want = sorted(zip([r[0] or -1 for r in rows], brute.verdicts([r[1:] for r in rows])))
+    assert sorted((r.doc_id or -1, r.kept) for r in got) == want
+    kept = {r.doc_id: r.kept for r in got}
+    assert not kept[3000] and kept[3001] and kept[2100]
+    assert sorted(r.doc_id or -1 for r in quality_rules.keep(df).collect()) == sorted(i for i, v in want if v)
 
 
 def test_rules_odd(odd, empty):
