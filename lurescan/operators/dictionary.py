@@ -123,7 +123,8 @@ def with_stems(words: DataFrame, word: str = "word", stem: str = "stem") -> Data
     """``words`` with the Porter stem of column ``word`` (lower-case letters) in column ``stem``.
 
     One projection a step: each reads the word and its form many times, so
-    Spark keeps them apart instead of repeating the earlier steps.
+    Spark keeps them apart instead of repeating the earlier steps.  A filter on the
+    stem would be pushed down and repeat them all: cache or write the result first.
     """
     out = words.withColumn("_w", F.col(word)).withColumn("_form", word_form(_now()))
 
@@ -175,13 +176,11 @@ def map_words(docs: DataFrame, id_col: str, text_col: str, tokens: Column, forms
     the texts are shuffled once, whole, so that a text's words meet again where
     they already are.  Beyond, words shuffle to their forms and back to their texts.
     """
-    forms = scoped_cache(forms.select("word", "form"))
+    # all forms are cached, then those that change taken: a filter must not be pushed into the steps of with_stems
+    forms = scoped_cache(forms.select("word", "form")).where(F.col("form") != F.col("word"))
     rows = docs.select(id_col, F.col(text_col).alias("_text"))
-    small = small_enough(forms)
-    if small:
+    if small_enough(forms):
         rows, forms = rows.repartition(F.col(id_col)), F.broadcast(forms)
-    else:
-        forms.unpersist()
     rows = rows.withColumn("_none", F.col("_text").isNull()).withColumn("_tokens", tokens)
     each = rows.select(id_col, "_none", F.posexplode_outer("_tokens").alias("pos", "word"))
     got = each.join(forms, "word", "left").groupBy(id_col).agg(
