@@ -124,7 +124,7 @@ def with_stems(words: DataFrame, word: str = "word", stem: str = "stem") -> Data
 
     One projection a step: each reads the word and its form many times, so
     Spark keeps them apart instead of repeating the earlier steps.  A filter on the
-    stem would be pushed down and repeat them all: cache or write the result first.
+    stem may be pushed down and repeat them: cache or write the result first.
     """
     out = words.withColumn("_w", F.col(word)).withColumn("_form", word_form(_now()))
 
