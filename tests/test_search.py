@@ -124,3 +124,16 @@ def test_draws_and_unknown_settings(texts):
     assert len(drawn) == 8 and len({(p["a"], p["b"]) for p in drawn}) == 2
     with pytest.raises(ValueError):
         SR.PipelineSearch([SR.Vectorise()], SR.NaiveBayes()).run(texts, [{"depth": 1}])
+
+
+def test_smaller_vocabularies_are_heads_of_one_ranking(spark):
+    rows = [(i, i % 2, f"aa bb{i % 3} cc{i % 7} dd{i}") for i in range(40)]
+    train = spark.createDataFrame(rows, "msg_id long, label int, text string").cache()
+    alone = {k: SR.Vectorise(bundle="email")(train, [], k, 2)[0].collect() for k in (3, 9)}
+    shared, ranked = SR.Vectorise(bundle="email"), []
+    shared.expect([{"max_features": k, "ngram_max": 2} for k in (3, 9)])
+    kept = shared.words(train).cache()
+    for k in (3, 9):
+        assert shared(kept, [], k, 2)[0].orderBy("msg_id").collect() == sorted(alone[k], key=lambda r: r.msg_id)
+        ranked.append(shared._ranked)
+    assert ranked[0] is ranked[1]
