@@ -218,3 +218,16 @@ print("rows", knn(df, df, 2).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 18" in got.stdout, got.stderr[-2000:]
+
+
+def test_fits_run_in_few_partitions(spark):
+    df = spark.range(5 * MD.TASK_ROWS).repartition(64).cache()
+    assert MD.fit_rows(df).rdd.getNumPartitions() <= min(5, spark.sparkContext.defaultParallelism)
+    assert MD.fit_rows(df, 10).rdd.getNumPartitions() == 1
+    assert MD.fit_rows(df).count() == df.count()
+
+
+def test_term_counts_works_out_the_tokens_once(spark):
+    df = spark.createDataFrame([(0, "b a b")], "id long, text string")
+    plan = V.term_counts(df, "id", V.sklearn_tokens("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("sort_array") == 1
