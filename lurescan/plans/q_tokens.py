@@ -210,8 +210,9 @@ CHUNK_TOKENS = 512
 
 def chunk_tokens(spark, sf):
     t = _docs(spark, sf).select("doc_id", X.tokenize_ws("text").alias("t"))
-    d = t.select("doc_id", X.chunk_tokens(F.col("t"), CHUNK_TOKENS).alias("ch"))
-    return d.select("doc_id", F.posexplode("ch").alias("chunk_no", "toks")).select(
+    # exploded as an expression: for a column Spark would put a filter on its size below and work the tokens out again in it
+    d = t.select("doc_id", F.posexplode(X.chunk_tokens(F.col("t"), CHUNK_TOKENS)).alias("chunk_no", "toks"))
+    return d.select(
         "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
         F.size("toks").cast("long").alias("n_tokens"), F.array_join("toks", " ").alias("chunk"))
 

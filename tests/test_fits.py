@@ -231,3 +231,10 @@ def test_term_counts_works_out_the_tokens_once(spark):
     df = spark.createDataFrame([(0, "b a b")], "id long, text string")
     plan = V.term_counts(df, "id", V.sklearn_tokens("text"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and plan.count("sort_array") == 1
+
+
+def test_chunk_tokens_splits_a_text_once(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["chunk_tokens"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
