@@ -238,3 +238,35 @@ def test_chunk_tokens_splits_a_text_once(spark):
 
     plan = E.queries()["chunk_tokens"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_rows_of_fits_have_no_lineage(spark):
+    texts = [(i, f"word{i % 7} other{i % 3} 12 ok", i % 2) for i in range(60)]
+    df = spark.createDataFrame(texts, "msg_id long, text string, label int").repartition(5, "msg_id")
+    feats, names = MD.featurize(df, "text", 10, "email")
+    meta = feats.schema[MD.FEATURES].metadata
+    assert meta == {"ml_attr": {"num_attrs": len(names)}}
+    held = MD.settled(feats)
+    assert sorted(map(str, held.collect())) == sorted(map(str, feats.collect()))
+    text = held._jdf.queryExecution().logical().toString()
+    assert "Join" not in text and "regexp" not in text and "UDF" not in text
+
+
+def test_linear_fits_read_fewer_partitions_and_folds_keep_their_order(spark):
+    rows = spark.range(400).select((F.col("id") % 5).alias("fold"), (F.col("id") % 2).cast("double").alias("label"),
+                                   F.col("id").alias("msg_id"))
+    train = MD.VectorAssembler(inputCols=["label"], outputCol="features").transform(rows).repartition(6).cache()
+
+    class Seen(MD.LinearSVC):
+        def fit(self, dataset, params=None):
+            return dataset.rdd.getNumPartitions(), dataset.agg(F.sum("msg_id")).first()[0]
+
+    jobs = [(Seen(), train.where(F.col("fold") != f)) for f in range(5)]
+    assert MD.fit_all(jobs, 400) == [(1, sum(i for i in range(400) if i % 5 != f)) for f in range(5)]
+
+
+def test_digits_are_those_of_python(spark):
+    texts = ["", "abc 123", "\u00b2\u00bc\u0663 9", "\U0001d7ce\u2460x", "0\u0660\u00b9\u4e00", "\n7\x7f8\x80"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r[0]: r[1] for r in df.select("t", T.num_digits("t")).collect()}
+    assert got == {t: sum(c.isdigit() for c in t) for t in texts}
