@@ -90,3 +90,21 @@ def test_rows_without_vector_group_or_id_take_no_part(spark):
     got = NB.knn(df, df, 3, metric="euclidean", group_col="g").collect()
     assert sorted((r.qid, r.nid) for r in got) == [(1, 2), (2, 1)]
     assert NB.knn(df, df.where(F.lit(False)), 3).count() == 0
+
+
+def test_a_query_travels_once_to_a_bin(spark):
+    x = np.random.default_rng(3).normal(0, 1, (3000, 24))  # hardly any leaf can be ruled out
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    refs = df.select(F.lit("all").alias("g"), F.col("vec_id").alias("nid"), F.col("embedding").alias("nv"))
+    tree, _ = NB.build_tree(refs, "euclidean", 1)
+    held = tree.pack(1000)
+    assert sum(held.values()) == 3000 and max(held.values()) <= 1000
+    asked = df.select(F.lit("all").alias("g"), F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"),
+                      F.lit(None).cast("double").alias("tau"))
+    rows = NB.visits(asked, tree, 3, "euclidean", True)
+    got = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("leaves")).alias("leaves")).collect()
+    assert max(r["n"] for r in got) <= len(held) < 0.5 * max(r["leaves"] for r in got)
+    found = NB.knn(df, df, 3, metric="euclidean", block_rows=40).orderBy("qid", "rank").collect()
+    d = NB._distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    assert [r["nid"] for r in found] == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
