@@ -72,11 +72,18 @@ def with_lemmas(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | No
 # ---------------------------------------------------------------- stems
 
 def word_form(word: Column) -> Column:
-    """c or v for every letter: a, e, i, o and u are vowels, and y is one after a consonant."""
+    """c or v for every letter: a, e, i, o and u are vowels, and y is one after a consonant.
+
+    All letters are marked at once, then a y by the mark before it.  Only words in
+    which several y follow each other, so that one is left, go letter by letter.
+    """
     def add(form, ch):
         vowel = ch.isin(*"aeiou") | ((ch == "y") & form.endswith("c"))
         return F.concat(form, F.when(vowel, F.lit("v")).otherwise(F.lit("c")))
-    return F.aggregate(F.regexp_extract_all(word, F.lit("(?s)."), 0), F.lit(""), add)
+    marks = F.translate(F.regexp_replace(word, "[^aeiouy]", "c"), "aeiou", "vvvvv")
+    marks = F.replace(F.replace(F.regexp_replace(marks, "^y", "c"), F.lit("cy"), F.lit("cv")), F.lit("vy"), F.lit("vc"))
+    slow = F.aggregate(F.regexp_extract_all(word, F.lit("(?s)."), 0), F.lit(""), add)
+    return F.when(marks.contains("y"), slow).otherwise(marks)
 
 
 def _now() -> Column:
@@ -185,6 +192,6 @@ def map_words(docs: DataFrame, id_col: str, text_col: str, tokens: Column, forms
     each = rows.select(id_col, "_none", F.posexplode_outer("_tokens").alias("pos", "word"))
     got = each.join(forms, "word", "left").groupBy(id_col).agg(
         F.bool_and("_none").alias("_none"),
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("form", "word").alias("form")))).alias("_words"))
+        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("form", "word").alias("form")))).alias("_words"))
     text = F.array_join(F.transform("_words", lambda x: x["form"]), " ")
     return got.select(id_col, F.when(~F.col("_none"), text).alias(text_col))

@@ -1,8 +1,12 @@
 """Work that must not grow with the number of partitions, passes or lookups."""
 
+import random
+
 import numpy as np
 from paths import SF_SMALL
+from pyspark.sql import functions as F
 
+from lurescan.operators import dictionary as D
 from lurescan.operators import svd
 from lurescan.operators import vectorize as V
 
@@ -37,3 +41,25 @@ def test_svd_counts_texts_once_for_vocabulary_and_idf(spark, monkeypatch):
     monkeypatch.setattr(V, "term_stats", lambda tc: calls.append(1) or stats(tc))
     E.queries()["truncated_svd"](spark, SF_SMALL)
     assert len(calls) == 1
+
+
+def test_word_forms_of_any_letters(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeybcé\U0001F600\n") for _ in range(rng.randrange(9))) for _ in range(3000)]
+
+    def plain(word):
+        form = ""
+        for ch in word:
+            form += "v" if ch in "aeiou" or (ch == "y" and form.endswith("c")) else "c"
+        return form
+
+    df = spark.createDataFrame([(w,) for w in [*words, None]], "word string").select("word", D.word_form(F.col("word")).alias("form"))
+    got = {r.word: r.form for r in df.collect()}
+    assert got.pop(None) is None and got == {w: plain(w) for w in words}
+
+
+def test_word_forms_are_marked_at_once(spark):
+    """The letter-by-letter form is a fallback inside a condition, not worked out for every word."""
+    df = spark.createDataFrame([("toys",)], "word string")
+    plan = df.select(D.word_form(F.col("word")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("aggregate(")
