@@ -7,7 +7,7 @@ from paths import SF_SMALL
 from pyspark.sql import functions as F
 
 from lurescan.operators import dictionary as D
-from lurescan.operators import svd
+from lurescan.operators import entities, svd
 from lurescan.operators import vectorize as V
 
 
@@ -63,3 +63,21 @@ def test_word_forms_are_marked_at_once(spark):
     df = spark.createDataFrame([("toys",)], "word string")
     plan = df.select(D.word_form(F.col("word")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("CASE WHEN") < plan.index("aggregate(")
+
+
+def test_names_beyond_the_limit_do_not_shuffle_positions(spark):
+    """Of many names only those that the texts hold are looked up, so they are broadcast again."""
+    names = [(f"name{i}", "PERSON") for i in range(200)] + [("red cross", "ORG"), ("red", "GPE")]
+    gaz = spark.createDataFrame(names, "name string, kind string")
+    texts = ["name3 met the Red Cross", "a red name7 and name7", "", None, "nobody here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id int, text string")
+    spark.conf.set("lurescan.broadcast.maxRows", "20")
+    try:
+        tokens = df.select("msg_id", F.regexp_extract_all(F.lower("text"), F.lit(entities.TOKEN), 0).alias("_tok"))
+        found = entities.name_matches(tokens, gaz, "msg_id")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.msg_id, r["at"], r["words"], r.kind) for r in found.collect())
+    finally:
+        spark.conf.unset("lurescan.broadcast.maxRows")
+    assert got == [(0, 1, 1, "PERSON"), (0, 4, 2, "ORG"), (1, 2, 1, "GPE"), (1, 3, 1, "PERSON"), (1, 5, 1, "PERSON")]
+    assert plan.count("strategy=broadcast") == 2, plan
