@@ -13,6 +13,8 @@ searched for instead of merged:
   piece before it is replaced by its next shorter prefix.  The segmentation up
   to a place is unique, so a place fails or not whatever led to it.
 
+Many short units are searched in lockstep in numpy; long ones, and the last few, one by one.
+
 Characters outside the vocabulary become their bytes' pieces.
 
 Texts are first cut where no piece of the vocabulary can reach across: before
@@ -38,6 +40,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -52,6 +55,10 @@ from lurescan.llm.pieces import gather
 SPACE = "▁"
 #: Bounds of a worker's memory: units and ids of the index, remembered pairs.
 INDEX_UNITS, INDEX_IDS, PAIRS = 400_000, 4_000_000, 1_000_000
+#: Slots of pairs that the lockstep search reads; matches of the automaton taken at once.
+SLOT_BITS, MATCHES = 19, 1 << 18
+#: Units of more characters, and the last so many, are searched one by one.
+LONGEST_UNIT, FEWEST = 64, 32
 SLICE_BYTES = 4 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NEVER = float("-inf")
@@ -88,6 +95,11 @@ class PieceModel:
             cut = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.number), None)
             self.shorter[i] = -1 if cut is None else self.number[cut]
         self.back = [len(p) - 1 for p in self.pieces]
+        #: by token, with the characters of no piece: its length, its next shorter piece
+        self.reach = np.ones(self.size + 0x110000, np.int32)
+        self.reach[:self.size] = [len(p) for p in self.pieces]
+        self.shorter_all = np.full(self.size + 0x110000, -1, np.int32)
+        self.shorter_all[list(self.shorter)] = list(self.shorter.values())
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.number.items():
             self.automaton.add_word(piece, i)
@@ -103,6 +115,7 @@ class PieceModel:
         else:
             self.units = re.compile(f"[{alone}]| +[^ {alone}]*|[^ {alone}]+").findall
         self.fits: dict[int, bool] = {}
+        self.slot_key, self.slot_fits = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
         #: what an id stands for in a decoded text (bytes), and in a list of decimal ids
         self.surface = [self._surface(i) for i in range(self.size)]
         self.decimal = [str(i) for i in range(self.size)]
@@ -160,17 +173,18 @@ class PieceModel:
 
     # -- search
 
-    def longest(self, text: str) -> array:
+    def longest(self, text: str) -> np.ndarray:
         """The longest piece from every place (as its id); characters of no piece count from ``size`` on."""
-        out = array("i")
-        out.frombytes((np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32) + self.size).tobytes())
-        back = self.back
-        for end, token in self.automaton.iter(text):  # ends ascend, so the longest from a place comes last
-            out[end - back[token]] = token
+        out = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32) + np.int32(self.size)
+        found = chain.from_iterable(self.automaton.iter(text))
+        while len(some := np.fromiter(islice(found, 2 * MATCHES), np.int32)):
+            end, token = some[::2], some[1::2]
+            out[end - self.reach[token] + 1] = token  # ends ascend, so the longest from a place comes last
         return out
 
-    def search(self, longest: array, start: int, end: int) -> list[int]:
+    def search(self, longest: np.ndarray, start: int, end: int) -> list[int]:
         """Tokens of text[start:end]: longest compatible piece first, shorter ones where the search got stuck."""
+        longest, end, start = array("i", longest[start:end].tobytes()), end - start, 0
         failed = bytearray((end - start >> 3) + 1)  # a bit a place
         tokens: list[int] = []
         back, size, compatible, shorter, fits = self.back, self.size, self.compatible, self.shorter, self.fits
@@ -199,27 +213,82 @@ class PieceModel:
             token = tokens.pop()
             at -= back[token] + 1 if token < size else 1
 
+    def compatible_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs: asked once for each pair that its slot does not hold."""
+        key = (left.astype(np.int64) + 1) << 22 | right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out, missed = self.slot_fits[slot], np.flatnonzero(self.slot_key[slot] != key)
+        if len(missed):
+            new, first, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            got = np.array([self.compatible((k >> 22) - 1, k & (1 << 22) - 1) for k in new.tolist()])
+            out[missed] = got[back]
+            to, pick = np.unique(slot[missed[first]], return_index=True)
+            self.slot_key[to], self.slot_fits[to] = new[pick], got[pick]
+        return out
+
+    def search_all(self, longest: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` of many units in lockstep: (places where their tokens end, in order, these tokens).
+
+        ``ended[p]`` is the token that ends at p on a unit's path so far, which serves as its stack.
+        The last few units, and long ones, are searched one by one.
+        """
+        ended = np.full(len(longest) + 1, -1, np.int32)
+        failed = np.zeros((len(longest) >> 3) + 1, np.uint8)  # a bit a place
+        unit = np.flatnonzero(ends - starts <= LONGEST_UNIT)
+        alone = [np.flatnonzero(ends - starts > LONGEST_UNIT)]
+        at = starts[unit]
+        token = longest[at]
+        while len(unit) > FEWEST:
+            stuck = np.flatnonzero(token < 0)
+            if len(stuck):
+                place = at[stuck]
+                np.bitwise_or.at(failed, place >> 3, (1 << (place & 7)).astype(np.uint8))
+                token[stuck] = ended[place]
+                at[stuck] -= self.reach[token[stuck]]
+                if (at[stuck] < starts[unit[stuck]]).any():
+                    raise AssertionError("no segmentation found")
+            to = at + self.reach[token]
+            fit = failed[to >> 3] >> (to & 7) & 1 == 0
+            some = np.flatnonzero(fit)
+            fit[some] = self.compatible_all(ended[at[some]], token[some])
+            ended[to[fit]] = token[fit]
+            at = np.where(fit, to, at)
+            token = np.where(fit, longest[np.minimum(at, len(longest) - 1)], self.shorter_all[token])
+            going = at < ends[unit]
+            unit, at, token = unit[going], at[going], token[going]
+        alone.append(unit)
+        for k in np.concatenate(alone).tolist():
+            tokens = np.array(self.search(longest, int(starts[k]), int(ends[k])), np.int32)
+            ended[starts[k] + np.cumsum(self.reach[tokens])] = tokens
+        path, at, first = np.zeros(len(longest) + 1, bool), ends, starts  # back from the ends
+        while len(at):
+            path[at] = True
+            at = at - self.reach[ended[at]]
+            at, first = at[at > first], first[at > first]
+        place = np.flatnonzero(path)
+        return place, ended[place]
+
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units, number of ids of each); one pass of the automaton over all of them."""
+        if not units:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         text = self.separator.join(units).replace(" ", SPACE)
-        longest = self.longest(text)
-        flat, sizes, at = array("i"), np.zeros(len(units), np.int64), 0
-        size, extend, back = self.size, flat.extend, self.back
-        for k, unit in enumerate(units):
-            before = len(flat)
-            token = longest[at]
-            if token < size and back[token] + 1 == len(unit) and self.compatible(-1, token):
-                flat.append(token)
-            else:
-                found = self.search(longest, at, at + len(unit))
-                if max(found) < size:
-                    extend(found)
-                else:
-                    for token in found:
-                        extend([token] if token < size else [self.bytes[b] for b in chr(token - size).encode("utf-8")])
-            sizes[k] = len(flat) - before
-            at += len(unit) + 1
-        return np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), sizes
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(length + 1) - 1
+        place, ids = self.search_all(self.longest(text), ends - length, ends)
+        bounds = np.concatenate([[0], np.searchsorted(place, ends, "right")])
+        unknown = np.flatnonzero(ids >= self.size)
+        if len(unknown):  # become their bytes
+            chars, which = np.unique(ids[unknown], return_inverse=True)
+            spelt = [[self.bytes[b] for b in chr(c - self.size).encode("utf-8")] for c in chars.tolist()]
+            sizes = np.ones(len(ids), np.int64)
+            sizes[unknown] = np.array([len(x) for x in spelt])[which]
+            stops = np.concatenate([[0], np.cumsum(sizes)])
+            ids = np.repeat(ids, sizes)
+            for i, k in zip(stops[unknown].tolist(), which.tolist()):
+                ids[i:i + len(spelt[k])] = spelt[k]
+            bounds = stops[bounds]
+        return ids, np.diff(bounds)
 
     def encode(self, text: str) -> list[int]:
         """The ids of one text."""

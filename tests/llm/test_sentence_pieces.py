@@ -112,3 +112,18 @@ def test_other_models_are_refused(tmp_path, model):
     path.write_bytes(proto.SerializeToString())
     with pytest.raises(ValueError):
         sentence_pieces.PieceModel(str(path))
+
+
+def test_short_units_are_searched_in_lockstep(model, lib, monkeypatch):
+    """Odd words, most of which need the search to go back: the same tokens as one by one, which only the last few are."""
+    rnd = random.Random(5)
+    units = sorted({" " + "".join(rnd.choice("aeinrstéß漢😀0.,") for _ in range(rnd.randint(1, 30))) for _ in range(3000)})
+    alone = [model.search(model.longest(u.replace(" ", "▁")), 0, len(u)) for u in units]
+    asked = []
+    one = model.search
+    monkeypatch.setattr(model, "search", lambda *a: asked.append(a) or one(*a))
+    flat, sizes = model.encode_units(units)
+    assert len(asked) <= sentence_pieces.FEWEST
+    assert flat.tolist() == [x for u in units for x in lib.encode(u[1:])]
+    spelt = [sum(1 if t < model.size else len(chr(t - model.size).encode()) for t in found) for found in alone]
+    assert sizes.tolist() == spelt
