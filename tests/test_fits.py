@@ -10,6 +10,7 @@ from lurescan.functions import text as T
 from lurescan.operators import models as MD
 from lurescan.operators import neighbors, ranking, resample, svd
 from lurescan.operators import vectorize as V
+from lurescan.plans import q_models as Q
 from lurescan.sources import fixtures as FX
 
 
@@ -270,3 +271,25 @@ def test_digits_are_those_of_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r[0]: r[1] for r in df.select("t", T.num_digits("t")).collect()}
     assert got == {t: sum(c.isdigit() for c in t) for t in texts}
+
+
+def test_deep_trees_keep_node_ids(spark):
+    """Rows keep the node they have reached between passes, and the trees are the same as without."""
+    rows = [(i, i * 7919 % 13 % 2, f"w{i * 31 % 17} w{i * 17 % 11} w{i % 5}") for i in range(120)]
+    feats, _ = MD.featurize(spark.createDataFrame(rows, "msg_id long, label int, text string").coalesce(2), "text", 100, None)
+    feats = feats.cache()
+    for name in ("tree", "forest"):
+        est = MD.estimator(name)
+        if name == "forest":
+            est = est.setNumTrees(5)
+        assert est.getCacheNodeIds()
+        assert est.fit(feats).toDebugString.split("\n")[1:] == est.copy().setCacheNodeIds(False).fit(feats).toDebugString.split("\n")[1:]
+    feats.unpersist()
+
+
+def test_fits_work_out_the_texts_of_their_own_rows_only(spark, monkeypatch):
+    seen, real = [], MD.with_features
+    monkeypatch.setattr(MD, "with_features", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
+    train, test, names, _, n = Q.prepared(spark, SF_SMALL)
+    assert seen == [n, test.count()] and train.count() == n
+    assert {len(r.features) for r in test.select("features").collect()} == {len(names)}
