@@ -230,7 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         bpe, words = coder(path, pattern)
-        for batch in batches:
+        for batch in common.released(batches):
             offsets, _ = common.string_parts(batch.column(1))
             for a, b in common.slices(offsets, SLICE_BYTES):
                 ids, at = words.ids(batch.column(1).slice(a, b - a))

@@ -76,3 +76,17 @@ def test_names_of_entry():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(E.oracle_sql()) <= set(names)
+
+
+def test_unused_memory_is_given_back_after_each_batch(monkeypatch):
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(len(taken))
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    taken = []
+    for batch in common.released(iter("abc")):
+        taken.append(batch)
+    assert taken == ["a", "b", "c"] and given == [1, 2, 3]
