@@ -108,3 +108,25 @@ def test_a_query_travels_once_to_a_bin(spark):
     d = NB._distances(x, x)
     np.fill_diagonal(d, np.inf)
     assert [r["nid"] for r in found] == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_differences_are_taken_of_near_pairs_only(monkeypatch, scale):
+    """A matrix product rules out the other pairs; distances, ties and their order are those of all differences."""
+    import pandas as pd
+
+    x = blobs(600, dims=5) * scale
+    x[40:60] = x[40]
+    x[70] = np.nextafter(x[71], np.inf)
+    d = NB._distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    monkeypatch.setattr(NB, "_distances", lambda *a: pytest.fail("differences of all pairs"))
+    ids = np.arange(600)[::-1] * 7
+    left = pd.DataFrame({"qid": ids, "qv": list(x), "leaves": [np.arange(3, dtype=np.int32)] * 600})
+    right = pd.DataFrame({"leaf": (np.arange(600) % 3).astype(np.int32), "nid": ids, "nv": list(x)})
+    for k in (1, 3, 700):
+        got = NB._block_topk(left, right, k, "euclidean", True).groupby("qid")
+        for q in range(0, 600, 7):
+            want = np.lexsort((ids, d[q]))[:min(k, 599)]
+            own = got.get_group(ids[q])
+            assert own["nid"].tolist() == ids[want].tolist() and own["dist"].tolist() == d[q][want].tolist()
