@@ -13,8 +13,9 @@
    a bucket are always in one.  Within a cluster links are confirmed on the full
    sets: the largest component so far is left alone, and each document outside
    it takes the hub's part in turn and is compared with all documents of other
-   components.  So the stars lose no link, no pair is ever written, and documents
-   that are already together are not compared.
+   components (in clusters of more than ``PAIRS``, with those that sizes and
+   signatures leave, see ``least_agreement``).  So the stars lose no link, no pair
+   is ever written, and documents that are already together are not compared.
 5. A cluster of more than ``CLUSTER`` documents or ``CLUSTER_SHINGLES`` shingles
    is not given to one task.  There the stars themselves are confirmed by joins
    on the full texts; buckets whose members are still in different components
@@ -51,7 +52,8 @@ from lurescan.llm.words import LOWER, PLACES, Words, in_doc, mix
 WIDTH = 5
 BINS, BANDS, ROWS = 120, 24, 5
 HUBS = 64
-CLUSTER, CLUSTER_SHINGLES = 8192, 6_000_000
+CLUSTER, CLUSTER_SHINGLES = 32768, 6_000_000
+PAIRS = 64  # members of a cluster up to which full sets meet without a look at their signatures
 SMALL_SET = 64  # densified bins repeat each other in smaller sets, so these are always confirmed
 _U = np.uint64
 
@@ -105,6 +107,21 @@ def shingles(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[one], win[one]
 
 
+def bins_of(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The densified signatures of ``n`` sets of hashes."""
+    value = (mix(h + _U(3)) >> _U(16)).astype(np.uint64)
+    bins = ((h >> _U(32)) % _U(BINS)).astype(np.int64)
+    sig = np.full(n * BINS, _U(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(sig, doc * BINS + bins, value)
+    sig = sig.reshape(n, BINS)
+    return densify(sig, sig == _U(0xFFFFFFFFFFFFFFFF))
+
+
+def short(sig: np.ndarray) -> np.ndarray:
+    """A byte a bin, for counting bins that agree."""
+    return (mix(sig) & _U(255)).astype(np.uint8)
+
+
 def sign(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     doc, h = shingles(offsets, data)
@@ -112,18 +129,13 @@ def sign(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     digest = np.zeros((2, n), _U)
     np.add.at(digest[0], doc, mix(h + _U(1)))
     np.add.at(digest[1], doc, mix(h + _U(2)))
-    value = (mix(h + _U(3)) >> _U(16)).astype(np.uint64)
-    bins = ((h >> _U(32)) % _U(BINS)).astype(np.int64)
-    sig = np.full(n * BINS, _U(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(sig, doc * BINS + bins, value)
-    sig = sig.reshape(n, BINS)
-    sig = densify(sig, sig == _U(0xFFFFFFFFFFFFFFFF))
+    sig = bins_of(doc, h, n)
     keys = np.zeros((n, BANDS), _U)
     for i in range(ROWS):
         keys += mix(sig[:, i::ROWS][:, :BANDS] + _U(i)) * PLACES[i]
     keys = mix(keys + np.arange(BANDS, dtype=_U))
     return {"size": size, "d1": digest[0].view(np.int64), "d2": digest[1].view(np.int64),
-            "sig": (mix(sig) & _U(255)).astype(np.uint8), "keys": keys.view(np.int64)}
+            "sig": short(sig), "keys": keys.view(np.int64)}
 
 
 def _kernel(ids, offsets, data):
@@ -212,13 +224,18 @@ def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def join_cluster(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
-    """The component (smallest id) of each member of one cluster, on the full sets."""
+    """The component (smallest id) of each member of one cluster, on the full sets.
+
+    In clusters of more than ``PAIRS`` members, sets meet a hub's only where sizes and signatures allow a link (see ``likely``).
+    """
     n = len(ids)
     size = np.array([len(x) for x in sets])
     _, word = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.cumsum(size) - size
     mark = np.zeros(word.max() + 1, np.int32)
     comp, todo = np.arange(n), np.ones(n, bool)
+    sig = short(bins_of(np.repeat(np.arange(n), size), np.concatenate(sets), n)).T.copy() if n > PAIRS else None
+    least = least_agreement(percent)
     while True:
         main = np.bincount(comp, minlength=n).argmax()
         left = np.flatnonzero(todo & (comp != main)) if n > 1 else ()
@@ -226,18 +243,26 @@ def join_cluster(ids: list[int], sets: list[np.ndarray], percent: int) -> list[i
             break
         hub = left[0]
         todo[hub] = False
+        may = (comp != comp[hub]) & (100 * np.minimum(size, size[hub]) >= percent * np.maximum(size, size[hub]))
+        if sig is not None and size[hub] >= SMALL_SET:
+            may &= (size < SMALL_SET) | ((sig == sig[:, hub, None]).view(np.uint8).sum(axis=0, dtype=np.uint8) >= least)
+        others = np.flatnonzero(may)
+        if not len(others):
+            continue
         own = word[start[hub]:start[hub] + size[hub]]
         mark[own] = 1
-        both = np.add.reduceat(mark[word], start)
+        held = size[others]
+        first = np.cumsum(held) - held
+        both = np.add.reduceat(mark[word[np.arange(held.sum()) + np.repeat(start[others] - first, held)]], first)
         mark[own] = 0
-        linked = (100 * both >= percent * (size + size[hub] - both)) & (comp != comp[hub])
-        if linked.any():
+        linked = others[100 * both >= percent * (held + size[hub] - both)]
+        if len(linked):
             merged = np.isin(comp, comp[linked]) | (comp == comp[hub])
             comp[merged] = main if (comp[merged] == main).any() else comp[hub]
-    least: dict[int, int] = {}
+    smallest: dict[int, int] = {}
     for c, i in zip(comp.tolist(), ids):
-        least[c] = min(i, least.get(c, i))
-    return [least[c] for c in comp.tolist()]
+        smallest[c] = min(i, smallest.get(c, i))
+    return [smallest[c] for c in comp.tolist()]
 
 
 def in_clusters(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -160,3 +160,31 @@ def test_components_of_paths_and_stars(spark):
 def test_materialise_keeps_schema_of_empty(spark):
     df = spark.range(0).withColumn("x", F.lit("a"))
     assert common.materialise(df, "t").schema.names == ["id", "x"]
+
+
+def test_large_clusters_meet_by_signatures(monkeypatch):
+    """Sets that signatures tell apart are not compared in full; the components stay those of all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    root, sets = rng.integers(0, 2**63, 300).astype(np.uint64), []
+    for share in (0.3, 0.4, 0.5):
+        base = root.copy()
+        away = rng.random(300) < share
+        base[away] = rng.integers(0, 2**63, away.sum())
+        for size in (300, 30):
+            for _ in range(40):
+                x = base[:size].copy()
+                away = rng.random(size) < rng.choice([0.0, 0.03, 0.08])
+                x[away] = rng.integers(0, 2**63, away.sum())
+                sets.append(np.unique(x))
+    order = rng.permutation(len(sets))
+    sets, ids = [sets[i] for i in order], [int(i) + 7 for i in order]
+    monkeypatch.setattr(minhash, "PAIRS", len(sets))
+    want = minhash.join_cluster(ids, sets, 85)
+    monkeypatch.setattr(minhash, "PAIRS", 64)
+    seen, real = [], np.add.reduceat
+    monkeypatch.setattr(minhash.np, "add", type("Add", (), {"reduceat": staticmethod(lambda x, at: seen.append(len(x)) or real(x, at)),
+                                                            "at": staticmethod(np.add.at)}))
+    assert minhash.join_cluster(ids, sets, 85) == want and len(set(want)) > 6
+    assert sum(seen) < sum(map(len, sets)) * len(sets) / 8
